@@ -249,3 +249,131 @@ overall AS (
   ORDER BY cnt DESC, line LIMIT 1)"""), body="""
 SELECT station_key, coalesce(line, (SELECT line FROM overall)) AS line, line IS NULL AS is_fallback
 FROM per_station""")
+
+
+def cte_options() -> str:
+    return f"""
+opt_found AS (
+  SELECT DISTINCT kind, value FROM (
+    SELECT 'day' AS kind, {strip('lower(day)')} AS value FROM raw UNION ALL
+    SELECT 'station', {strip('station')} FROM raw UNION ALL
+    SELECT 'line', {strip('line')} FROM raw)
+  WHERE value IS NOT NULL)"""
+
+
+ORACLE["options_long"] = with_ctes(cte_raw(), cte_options(), body="""
+SELECT kind, value FROM opt_found
+UNION ALL SELECT 'hour', cast(range AS VARCHAR) FROM range(0, 24)""")
+
+ORACLE["options_listing"] = with_ctes(cte_raw(), cte_options(), body="""
+SELECT cast(range(0, 24) AS INTEGER[]) AS hours,
+  coalesce((SELECT list_sort(list(value)) FROM opt_found WHERE kind = 'day'), []::VARCHAR[]) AS days,
+  coalesce((SELECT list_sort(list(value)) FROM opt_found WHERE kind = 'station'), []::VARCHAR[]) AS stations,
+  coalesce((SELECT list_sort(list(value)) FROM opt_found WHERE kind = 'line'), []::VARCHAR[]) AS lines""")
+
+ORACLE["csv_clean_observations"] = ORACLE["clean_observations"]
+
+
+def cte_requests() -> str:
+    """The request stand-in (rows only), then parse + validate -> ``checked``."""
+    n = len(station_rows())
+    rec_type = '[{"station":"VARCHAR","line":"VARCHAR","day":"VARCHAR","hour":"VARCHAR"}]'
+    return f"""
+rq_st(idx, st_name, st_line) AS (VALUES {_stations_values()}),
+rq_recs AS (
+  SELECT e.event_id // 4 AS request_id, e.event_id,
+    concat('{{',
+      CASE WHEN e.event_id % 19 = 0 THEN ''
+           ELSE concat('"station":"', CASE WHEN e.event_id % 5 = 0 THEN concat(' ', st_name, ' ')
+                                          ELSE st_name END, '",') END,
+      '"line":"', CASE WHEN e.event_id % 31 = 0 THEN '9' ELSE st_line END,
+      '","day":"', CASE WHEN e.event_id % 3 = 0 THEN concat(upper(dayname(e.ts)), ' ')
+                        WHEN e.event_id % 23 = 0 THEN 'Holiday' ELSE dayname(e.ts) END,
+      '","hour":', CASE WHEN e.event_id % 13 = 0 THEN concat('"', e.hn, '"')
+                        WHEN e.event_id % 17 = 0 THEN concat(e.hn, '.5') ELSE e.hn END,
+      '}}') AS rec
+  FROM (SELECT *, cast(CASE WHEN event_id % 29 = 0 THEN 24 ELSE hour(ts) END AS VARCHAR) AS hn
+        FROM events) e
+  JOIN rq_st ON e.user_id % {n} = rq_st.idx),
+rq_grouped AS (
+  SELECT request_id, string_agg(rec, ',' ORDER BY event_id) AS joined,
+         arg_min(rec, event_id) AS first_rec
+  FROM rq_recs GROUP BY request_id),
+requests AS (
+  SELECT request_id,
+    CASE WHEN request_id % 10 = 3 THEN concat('{{"records": ', first_rec, '}}')
+         WHEN request_id % 10 = 7 THEN concat('{{"records": [', first_rec)
+         WHEN request_id % 50 = 11 THEN '{{"records": []}}'
+         ELSE concat('{{"records": [', joined, ']}}') END AS body
+  FROM rq_grouped),
+rq_parsed AS (
+  SELECT request_id, from_json(
+    CASE WHEN NOT json_valid(body) THEN NULL
+         WHEN json_type(body, '$.records') = 'OBJECT' THEN json_array(json_extract(body, '$.records'))
+         WHEN json_type(body, '$.records') = 'ARRAY' THEN json_extract(body, '$.records') END,
+    '{rec_type}') AS recs
+  FROM requests),
+rq_records AS (
+  SELECT request_id, cast(pos0 - 1 AS INTEGER) AS pos, true AS body_ok,
+         r.station AS station, r.line AS line, r.day AS day, r.hour AS hour_text
+  FROM (SELECT request_id, generate_subscripts(recs, 1) AS pos0, unnest(recs) AS r
+        FROM rq_parsed WHERE recs IS NOT NULL)
+  UNION ALL
+  SELECT request_id, NULL::INTEGER, false, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR,
+         NULL::VARCHAR FROM rq_parsed WHERE recs IS NULL),
+rq_typed AS (
+  SELECT *, CASE WHEN hd IS NOT NULL AND NOT isnan(hd) AND hd = floor(hd)
+                  AND abs(hd) < 2147483648.0 THEN cast(hd AS INTEGER) END AS hour
+  FROM (SELECT *, try_cast(hour_text AS DOUBLE) AS hd FROM rq_records)),
+checked AS (
+  SELECT request_id, pos, station, line, day, hour,
+    CASE WHEN NOT body_ok THEN 'invalid body'
+         WHEN station IS NULL THEN 'missing station'
+         WHEN line IS NULL THEN 'missing line'
+         WHEN day IS NULL THEN 'missing day'
+         WHEN hour_text IS NULL THEN 'missing hour'
+         WHEN hour IS NULL THEN 'hour is not an integer' END AS reason,
+    CASE WHEN NOT body_ok THEN 'invalid body'
+         WHEN station IS NULL THEN 'missing station'
+         WHEN line IS NULL THEN 'missing line'
+         WHEN day IS NULL THEN 'missing day'
+         WHEN hour_text IS NULL THEN 'missing hour'
+         WHEN hour IS NULL THEN 'hour is not an integer'
+         WHEN NOT (hour BETWEEN 0 AND 23) THEN 'hour out of range' END AS strict_reason
+  FROM rq_typed),
+rq_valid AS (
+  SELECT request_id, pos, {strip('station')} AS station, {strip('line')} AS line,
+         {strip('lower(day)')} AS day, hour
+  FROM checked WHERE reason IS NULL)"""
+
+
+MODEL_VERSION_SQL = "strftime(TIMESTAMP '2024-02-01 12:46:00', 'v%Y.%m.%d.%H%M')"
+
+ORACLE["scored_requests"] = with_ctes(*_front(cte_split(), cte_baseline(), cte_requests()), body=f"""
+SELECT s.request_id, s.pos, s.station, s.line, s.hour, s.day,
+       CASE WHEN {open_serve('s.day', 's.hour')} THEN {PREDICTION} ELSE 0.0::DOUBLE END AS riders,
+       {MODEL_VERSION_SQL} AS model_version
+FROM (SELECT * REPLACE ({fill_expr('station')} AS station, {fill_expr('line')} AS line,
+                        {fill_expr('day')} AS day) FROM rq_valid) s
+LEFT JOIN cell_means cm ON s.station = cm.station AND s.line = cm.line
+     AND s.day = cm.day AND s.hour = cm.hour""")
+
+ORACLE["rejected_records"] = with_ctes(cte_requests(), body="""
+SELECT request_id, pos, reason FROM checked WHERE reason IS NOT NULL""")
+
+ORACLE["rejected_records_strict"] = with_ctes(cte_requests(), body="""
+SELECT request_id, pos, strict_reason AS reason FROM checked WHERE strict_reason IS NOT NULL""")
+
+ORACLE["unknown_request_categories"] = with_ctes(
+    *_front(cte_split(), cte_baseline(), cte_requests(), """
+vocab AS (
+  SELECT DISTINCT feature, value FROM (
+    SELECT 'station' AS feature, station AS value FROM filled_train UNION ALL
+    SELECT 'line', line FROM filled_train UNION ALL
+    SELECT 'day', day FROM filled_train) WHERE value IS NOT NULL),
+rq_long AS (
+  SELECT request_id, pos, 'station' AS feature, station AS value FROM rq_valid UNION ALL
+  SELECT request_id, pos, 'line', line FROM rq_valid UNION ALL
+  SELECT request_id, pos, 'day', day FROM rq_valid)"""), body="""
+SELECT r.request_id, r.pos, r.feature, r.value FROM rq_long r
+WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.feature = r.feature AND v.value = r.value)""")

@@ -12,12 +12,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farebox.functions.display import version_stamp
 from farebox.operators import service_hours as sh
+from farebox.operators.clean import clean_observations
+from farebox.operators.options import options_listing, options_long
+from farebox.operators.score import (parse_records, score, unknown_categories, validate,
+                                     vocabulary)
 from farebox.operators.evaluate import regression_metrics
 from farebox.operators.profile import (combinations, open_hours_profile, profile_24h,
                                        typical_line)
 from farebox.operators.split import bucket_split
-from farebox.plans.prepared import baseline, prepare
+from farebox.plans.prepared import TRAINED_AT, baseline, prepare
+from farebox.session import scratch_path
+from farebox.sources.observations import (observation_standin, raw_observations,
+                                          read_observations_csv)
+from farebox.sources.requests import requests_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,6 +96,62 @@ def typical_line_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typical_line(prepare(spark, sf_dir).train)
 
 
+def options_long_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4 + A2 + U2 (long form): hours and distinct days, stations, lines."""
+    return options_long(spark, raw_observations(spark, sf_dir))
+
+
+def options_listing_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of sorted option arrays."""
+    return options_listing(spark, raw_observations(spark, sf_dir))
+
+
+def csv_clean_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw observations landed as CSV text (padding and tabs kept),
+    read back as all-text columns, then cleaned."""
+    path = scratch_path(spark, "observations-csv")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    (observation_standin(spark, events).write.mode("overwrite")
+     .option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return clean_observations(read_observations_csv(spark, path))
+
+
+def _model_version():
+    return version_stamp(F.lit(TRAINED_AT).cast("timestamp"))
+
+
+def _validated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate(parse_records(requests_for(spark, sf_dir)))
+
+
+def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 + F10 + M9 + K3 with M10: every valid record scored in one pass,
+    closed hours exactly 0, stamped with the model version."""
+    model, _ = baseline(prepare(spark, sf_dir))
+    valid = _validated_requests(spark, sf_dir).filter(F.col("reason").isNull())
+    return score(valid, model, _model_version())
+
+
+def rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bodies that do not parse and records that fail validation."""
+    return (_validated_requests(spark, sf_dir).filter(F.col("reason").isNotNull())
+            .select("request_id", "pos", "reason"))
+
+
+def rejected_records_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """as F10, also refusing hours outside 0..23."""
+    return (validate(parse_records(requests_for(spark, sf_dir)), strict=True)
+            .filter(F.col("reason").isNotNull()).select("request_id", "pos", "reason"))
+
+
+def unknown_request_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12 + J8: request values outside the training vocabulary."""
+    _, filled_train = baseline(prepare(spark, sf_dir))
+    valid = _validated_requests(spark, sf_dir).filter(F.col("reason").isNull())
+    return unknown_categories(valid, vocabulary(filled_train))
+
+
 QUERIES: dict[str, Query] = {
     "hourly_profile_24h": hourly_profile_24h,
     "open_hours_profile": open_hours_profile_q,
@@ -99,4 +164,11 @@ QUERIES: dict[str, Query] = {
     "split_bucket": split_bucket,
     "baseline_holdout_metrics": baseline_holdout_metrics,
     "typical_line": typical_line_q,
+    "options_long": options_long_q,
+    "options_listing": options_listing_q,
+    "csv_clean_observations": csv_clean_observations,
+    "scored_requests": scored_requests,
+    "rejected_records": rejected_records,
+    "rejected_records_strict": rejected_records_strict,
+    "unknown_request_categories": unknown_request_categories,
 }
