@@ -377,3 +377,136 @@ rq_long AS (
   SELECT request_id, pos, 'day', day FROM rq_valid)"""), body="""
 SELECT r.request_id, r.pos, r.feature, r.value FROM rq_long r
 WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.feature = r.feature AND v.value = r.value)""")
+
+
+def _venue_values() -> str:
+    from farebox.sources.dimensions import VENUES
+    return ", ".join(f"({_q(v)}, {_q(n)}, {c})" for v, n, c in VENUES)
+
+
+def _venue_json_values() -> str:
+    from farebox.sources.dimensions import VENUE_COORDS, VENUES
+    from farebox.sources.payloads import OTHER_VENUE
+    coords = {name: (lat, lon) for name, lat, lon in VENUE_COORDS}
+    rows = []
+    for i, (vid, name, _cap) in enumerate(VENUES + [OTHER_VENUE + (0,)]):
+        loc = ""
+        if name in coords:
+            lat, lon = coords[name]
+            loc = f',"location":{{"latitude":"{lat}","longitude":"{lon}"}}'
+        rows.append(f"({i}, {_q('{' + f'\"id\":\"{vid}\",\"name\":\"{name}\"' + loc + '}')})")
+    return ", ".join(rows)
+
+
+def cte_context() -> str:
+    from farebox.sources.dimensions import VENUES
+    from farebox.sources.payloads import CONDITIONS, EVENT_PAGE_IDS
+    ev_type = ('[{"id":"VARCHAR","name":"VARCHAR","dates":{"start":{"localDate":"VARCHAR",'
+               '"localTime":"VARCHAR"}},"_embedded":{"venues":[{"id":"VARCHAR","name":"VARCHAR",'
+               '"location":{"latitude":"VARCHAR","longitude":"VARCHAR"}}]}}]')
+    conds = "[" + _list(CONDITIONS) + "]"
+    nv = len(VENUES) + 1
+    return f"""
+venues_dim(venue_id, venue_name, capacity) AS (VALUES {_venue_values()}),
+w_land AS (
+  SELECT ts AS fetched_at, CASE WHEN event_id % 13 = 0 THEN 500 ELSE 200 END AS status,
+    CASE WHEN event_id % 13 = 0
+         THEN '{{"error":{{"code":1006,"message":"No matching location found."}}}}'
+         ELSE concat('{{"location":{{"name":"Toronto"}},"current":{{"temp_c":',
+                     cast(cast(value AS DECIMAL(18,2)) - 15 AS VARCHAR),
+                     ',"condition":{{"text":"', ({conds})[user_id % {len(CONDITIONS)} + 1], '"}}}}}}')
+    END AS body
+  FROM events WHERE event_type = 'error'),
+readings AS (
+  SELECT fetched_at, try_cast(json_extract_string(body, '$.current.temp_c') AS DOUBLE) AS temp_c,
+         json_extract_string(body, '$.current.condition.text') AS condition
+  FROM w_land WHERE status = 200),
+ev_venue(v_idx, venue_json) AS (VALUES {_venue_json_values()}),
+ev_rows AS (
+  SELECT cast(e.ts AS DATE) AS d, e.event_id // {EVENT_PAGE_IDS} AS page, e.ts, e.event_id,
+    concat('{{"id":"E', cast(e.event_id AS VARCHAR), '",',
+      CASE WHEN e.event_id % 17 = 0 THEN ''
+           ELSE concat('"dates":{{"start":{{"localDate":"', cast(cast(e.ts AS DATE) AS VARCHAR),
+                       '","localTime":"', strftime(e.ts, '%H:%M:%S'), '"}}}},') END,
+      CASE WHEN e.event_id % 23 = 0 THEN ''
+           WHEN e.event_id % 19 = 0 THEN '"_embedded":{{"venues":[]}},'
+           ELSE concat('"_embedded":{{"venues":[', venue_json, ']}},') END,
+      '"name":"Event ', cast(e.event_id AS VARCHAR), '"}}') AS ev
+  FROM events e JOIN ev_venue ON e.user_id % {nv} = ev_venue.v_idx
+  WHERE e.event_type = 'signup'),
+ev_pages AS (
+  SELECT d, page, min(ts) AS fetched_at, string_agg(ev, ',' ORDER BY event_id) AS evs
+  FROM ev_rows GROUP BY d, page),
+e_land AS (
+  SELECT fetched_at, CASE WHEN page % 11 = 5 THEN 500 ELSE 200 END AS status,
+    CASE WHEN page % 11 = 5 THEN '{{"errors":[{{"code":"SERVER_ERROR"}}]}}'
+         WHEN page % 7 = 3 THEN '{{}}'
+         ELSE concat('{{"_embedded":{{"events":[', evs, ']}},"page":{{"number":',
+                     cast(page AS VARCHAR), '}}}}') END AS body
+  FROM ev_pages),
+ev_flat AS (
+  SELECT e.id AS event_id, e.name AS name, e.dates.start.localDate AS local_date,
+         e.dates.start.localTime AS local_time, e._embedded.venues[1].id AS venue_id,
+         e._embedded.venues[1].name AS venue_name,
+         e._embedded.venues[1].location.latitude AS lat_text,
+         e._embedded.venues[1].location.longitude AS lon_text
+  FROM (SELECT unnest(from_json(json_extract(body, '$._embedded.events'), '{ev_type}')) AS e
+        FROM e_land WHERE status = 200)),
+listings AS (
+  SELECT event_id, name, try_cast(local_date AS DATE) AS event_date, local_date, local_time,
+         venue_id, venue_name, try_cast(lat_text AS DOUBLE) AS lat, try_cast(lon_text AS DOUBLE) AS lon,
+         concat(coalesce(local_date, 'None'), ' ', coalesce(local_time, 'None'), ' — ',
+                coalesce(name, 'None'), ' @ ', coalesce(venue_name, 'None'), ' (',
+                coalesce(lat_text, 'None'), ',', coalesce(lon_text, 'None'), ')') AS message
+  FROM ev_flat),
+chosen AS (SELECT * FROM listings WHERE venue_id IN (SELECT venue_id FROM venues_dim))"""
+
+
+ORACLE["weather_readings"] = with_ctes(cte_context(), body="SELECT * FROM readings")
+
+ORACLE["failed_responses"] = with_ctes(cte_context(), body="""
+SELECT fetched_at, status, body AS error_text, 'weather' AS feed FROM w_land WHERE status <> 200
+UNION ALL
+SELECT fetched_at, status, body AS error_text, 'events' AS feed FROM e_land WHERE status <> 200""")
+
+ORACLE["event_listings"] = with_ctes(cte_context(), body="SELECT * FROM listings")
+
+ORACLE["daily_event_listing"] = with_ctes(cte_context(), body="""
+SELECT * FROM (
+  SELECT *, cast(row_number() OVER (PARTITION BY event_date ORDER BY local_time, event_id)
+                 AS INTEGER) AS rank
+  FROM chosen
+  WHERE event_date IS NOT NULL AND local_time IS NOT NULL
+    AND concat(local_date, 'T', local_time, 'Z')
+        BETWEEN strftime(event_date, '%Y-%m-%dT00:00:00Z') AND strftime(event_date, '%Y-%m-%dT23:59:59Z'))
+WHERE rank <= 100""")
+
+ORACLE["event_windows"] = with_ctes(cte_context(), body="""
+SELECT event_date, strftime(event_date, '%Y-%m-%dT00:00:00Z') AS start_bound,
+       strftime(event_date, '%Y-%m-%dT23:59:59Z') AS end_bound,
+       array_to_string(list_sort(list(DISTINCT venue_id)), ',') AS venue_query,
+       count(*) AS n_events
+FROM chosen WHERE event_date IS NOT NULL GROUP BY event_date""")
+
+ORACLE["fused_observations"] = with_ctes(*_front(cte_context(), """
+hw_latest AS (
+  SELECT cast(fetched_at AS DATE) AS service_date, hour(fetched_at) AS hour,
+         max({'fetched_at': fetched_at, 'temp_c': temp_c, 'condition': condition}) AS rd
+  FROM readings GROUP BY 1, 2),
+hw_grid AS (SELECT service_date, cast(unnest(range(0, 24)) AS INTEGER) AS hour
+            FROM (SELECT DISTINCT service_date FROM hw_latest)),
+hw AS (
+  SELECT g.service_date, g.hour,
+         last_value(l.rd IGNORE NULLS) OVER (PARTITION BY g.service_date ORDER BY g.hour
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rd
+  FROM hw_grid g LEFT JOIN hw_latest l ON g.service_date = l.service_date AND g.hour = l.hour),
+de AS (
+  SELECT l.event_date AS service_date, count(*) AS n_events,
+         cast(sum(v.capacity) AS BIGINT) AS event_capacity
+  FROM listings l JOIN venues_dim v ON l.venue_id = v.venue_id
+  WHERE l.event_date IS NOT NULL GROUP BY l.event_date)"""), body="""
+SELECT k.*, hw.rd.fetched_at AS weather_at, hw.rd.temp_c AS temp_c, hw.rd.condition AS condition,
+       coalesce(de.n_events, 0) AS n_events, coalesce(de.event_capacity, 0) AS event_capacity
+FROM kept k
+LEFT JOIN hw ON k.service_date = hw.service_date AND k.hour = hw.hour
+LEFT JOIN de ON k.service_date = de.service_date""")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from farebox.functions.display import version_stamp
 from farebox.operators import service_hours as sh
+from farebox.operators import context as ctx
 from farebox.operators.clean import clean_observations
 from farebox.operators.options import options_listing, options_long
 from farebox.operators.score import (parse_records, score, unknown_categories, validate,
@@ -26,6 +27,8 @@ from farebox.plans.prepared import TRAINED_AT, baseline, prepare
 from farebox.session import scratch_path
 from farebox.sources.observations import (observation_standin, raw_observations,
                                           read_observations_csv)
+from farebox.sources.dimensions import venues
+from farebox.sources.payloads import landed_events, landed_weather
 from farebox.sources.requests import requests_for
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +155,41 @@ def unknown_request_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unknown_categories(valid, vocabulary(filled_train))
 
 
+def weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + F8: temperature and condition from successful weather responses."""
+    return ctx.weather_readings(landed_weather(spark, sf_dir))
+
+
+def failed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: non-200 responses of both feeds, for reporting."""
+    w = ctx.failed(landed_weather(spark, sf_dir)).withColumn("feed", F.lit("weather"))
+    e = ctx.failed(landed_events(spark, sf_dir)).withColumn("feed", F.lit("events"))
+    return w.unionByName(e)
+
+
+def event_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + P10 + P18: flattened events with first venue and message line."""
+    return ctx.event_listings(landed_events(spark, sf_dir))
+
+
+def daily_event_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6 + L2 + P12: first 100 chosen-venue events inside each day's window."""
+    return ctx.daily_listing(ctx.event_listings(landed_events(spark, sf_dir)), venues(spark))
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11 + P12: per-day request window and venue id list."""
+    return ctx.event_windows(ctx.event_listings(landed_events(spark, sf_dir)), venues(spark))
+
+
+def fused_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 + J7: kept observations with the weather in force at their hour and
+    the day's chosen-venue event count and capacity."""
+    kept = prepare(spark, sf_dir).kept
+    return ctx.fuse_context(kept, ctx.weather_readings(landed_weather(spark, sf_dir)),
+                            ctx.event_listings(landed_events(spark, sf_dir)), venues(spark))
+
+
 QUERIES: dict[str, Query] = {
     "hourly_profile_24h": hourly_profile_24h,
     "open_hours_profile": open_hours_profile_q,
@@ -171,4 +209,10 @@ QUERIES: dict[str, Query] = {
     "rejected_records": rejected_records,
     "rejected_records_strict": rejected_records_strict,
     "unknown_request_categories": unknown_request_categories,
+    "weather_readings": weather_readings,
+    "failed_responses": failed_responses,
+    "event_listings": event_listings,
+    "daily_event_listing": daily_event_listing,
+    "event_windows": event_windows,
+    "fused_observations": fused_observations,
 }
