@@ -510,3 +510,121 @@ SELECT k.*, hw.rd.fetched_at AS weather_at, hw.rd.temp_c AS temp_c, hw.rd.condit
 FROM kept k
 LEFT JOIN hw ON k.service_date = hw.service_date AND k.hour = hw.hour
 LEFT JOIN de ON k.service_date = de.service_date""")
+
+
+def _num(x: float) -> str:
+    return f"'{x!r}'::DOUBLE"
+
+
+def cte_profile() -> str:
+    """The 24-hour baseline profile -> ``prof``."""
+    return f"""
+combos AS (SELECT DISTINCT station, line, day FROM filled_train),
+grid AS (SELECT station, line, day, cast(unnest(range(0, 24)) AS INTEGER) AS hour FROM combos),
+prof AS (
+  SELECT s.station, s.line, s.day, s.hour, {open_serve('s.day', 's.hour')} AS is_open,
+         CASE WHEN {open_serve('s.day', 's.hour')} THEN {PREDICTION} ELSE 0.0::DOUBLE END AS riders
+  FROM {predict_join('grid')})"""
+
+
+def cte_metrics() -> str:
+    """Baseline hold-out metrics -> ``metrics``."""
+    return f"""
+test AS (SELECT * FROM split WHERE is_test),
+scored AS (
+  SELECT s.riders AS y, {PREDICTION} AS p
+  FROM (SELECT * REPLACE ({fill_expr('station')} AS station, {fill_expr('line')} AS line,
+                          {fill_expr('day')} AS day) FROM test) s
+  LEFT JOIN cell_means cm ON s.station = cm.station AND s.line = cm.line
+       AND s.day = cm.day AND s.hour = cm.hour),
+sums AS (
+  SELECT count(*) AS n, cast(sum(y) AS DOUBLE) AS sy, cast(sum(y * y) AS DOUBLE) AS syy,
+         sum((cast(y AS DOUBLE) - p) * (cast(y AS DOUBLE) - p)) AS sse,
+         sum(abs(cast(y AS DOUBLE) - p)) AS sae
+  FROM scored WHERE y IS NOT NULL AND p IS NOT NULL),
+metrics AS (
+  SELECT n,
+       round(CASE WHEN syy - sy * sy / n = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END)
+                  ELSE 1.0 - sse / (syy - sy * sy / n) END, 6) AS r2,
+       round(sqrt(sse / n), 6) AS rmse,
+       round(sae / n, 6) AS mae
+  FROM sums)"""
+
+
+def cte_map() -> str:
+    from farebox.sources.dimensions import LINE_COLOURS, line_path_rows
+    path_rows = ", ".join(
+        f"({_q(line)}, {seq}, {_num(lat)}, {_num(lon)}, {_q(name) if name else 'NULL'}, {str(m).lower()})"
+        for line, seq, lat, lon, name, m in line_path_rows())
+    colour_rows = ", ".join(f"({_q(a)}, {_q(b)}, {_q(c)})" for a, b, c in LINE_COLOURS)
+    return f"""
+map_path(line, seq, lat, lon, name, show_marker) AS (VALUES {path_rows}),
+map_colours(line, css_colour, path_colour) AS (VALUES {colour_rows}),
+markers AS (SELECT name, line, lat, lon FROM map_path WHERE show_marker)"""
+
+
+ORACLE["station_predictions"] = with_ctes(
+    *_front(cte_split(), cte_baseline(), cte_profile(), cte_map()), body="""
+SELECT m.name, m.line, printf('%.4f', m.lat) AS lat_text, printf('%.4f', m.lon) AS lon_text,
+       c.css_colour, p.day, p.hour, p.riders,
+       format('{:,}', cast(CASE WHEN p.riders - floor(p.riders) >= 0.5 THEN floor(p.riders) + 1
+                                ELSE floor(p.riders) END AS BIGINT)) AS riders_text,
+       format('{:,.0f}', p.riders) AS riders_py_text
+FROM markers m LEFT JOIN map_colours c ON m.line = c.line
+LEFT JOIN prof p ON p.station = m.name AND p.line = m.line""")
+
+ORACLE["line_summary"] = with_ctes(*_front(cte_map(), """
+agg AS (SELECT line, count(*) AS n_obs, cast(sum(riders) AS DOUBLE) / count(riders) AS mean_riders
+        FROM kept WHERE line IS NOT NULL GROUP BY line),
+pl AS (SELECT line, list_transform(list_sort(list({'seq': seq, 'lat': lat, 'lon': lon})),
+                                   lambda x: [x.lat, x.lon]) AS path,
+              count_if(show_marker) AS n_stations
+       FROM map_path GROUP BY line)"""), body="""
+SELECT a.line, a.n_obs, a.mean_riders, pl.path, pl.n_stations, c.css_colour AS colour
+FROM agg a LEFT JOIN pl ON a.line = pl.line LEFT JOIN map_colours c ON a.line = c.line""")
+
+_RANGE_RE = r"^(\d{1,2})\s*[-–]\s*(\d{1,2})\s*([ap])\.?\s*m\.?$"
+
+ORACLE["time_features"] = f"""
+WITH src AS (
+  SELECT event_id, ts,
+    CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%-I:%M %p')
+         WHEN event_id % 3 = 1 THEN strftime(ts, '%H:%M')
+         ELSE concat(cast((hour(ts) + 11) % 12 + 1 AS VARCHAR), '–',
+                     cast(((hour(ts) + 11) % 12 + 1) % 12 + 1 AS VARCHAR), ' ',
+                     CASE WHEN hour(ts) < 12 THEN 'a.m.' ELSE 'p.m.' END) END AS clock_text
+  FROM events),
+p1 AS (
+  SELECT *, coalesce(try_strptime(trim(clock_text), '%I:%M %p'),
+                     try_strptime(trim(clock_text), '%H:%M')) AS pts,
+         regexp_extract(lower(trim(clock_text)), '{_RANGE_RE}', 1) AS rs,
+         regexp_extract(lower(trim(clock_text)), '{_RANGE_RE}', 3) AS rap
+  FROM src),
+p2 AS (SELECT *, CASE WHEN rs <> '' THEN cast(rs AS INTEGER) END AS si FROM p1),
+p3 AS (
+  SELECT event_id, clock_text, ts,
+    cast(coalesce(hour(pts), CASE WHEN si BETWEEN 1 AND 12 THEN
+         CASE WHEN rap = 'a' THEN CASE WHEN si = 12 THEN 0 ELSE si END
+              WHEN rap = 'p' THEN CASE WHEN si = 12 THEN 12 ELSE si + 12 END END END) AS INTEGER) AS hour,
+    cast(coalesce(minute(pts), CASE WHEN si BETWEEN 1 AND 12 THEN 0 END) AS INTEGER) AS minute
+  FROM p2)
+SELECT event_id, clock_text, hour, minute, hour * 60 + minute AS minute_of_day,
+       round(sin({_num(6.283185307179586)} * (hour * 60 + minute) / 1440), 6) AS tod_sin,
+       round(cos({_num(6.283185307179586)} * (hour * 60 + minute) / 1440), 6) AS tod_cos,
+       dayname(ts) AS weekday, cast(hour(ts) AS INTEGER) AS ts_hour
+FROM p3"""
+
+ORACLE["congestion_levels"] = with_ctes(*_front(cte_split(), cte_baseline(), cte_profile(), """
+q AS (SELECT quantile_disc(riders, 1/3) AS lo, quantile_disc(riders, 2/3) AS hi FROM prof WHERE is_open)"""),
+    body="""
+SELECT prof.*, CASE WHEN NOT is_open THEN 'closed' WHEN riders <= q.lo THEN 'low'
+                    WHEN riders <= q.hi THEN 'medium' ELSE 'high' END AS level
+FROM prof, q""")
+
+ORACLE["model_card"] = with_ctes(*_front(cte_split(), cte_baseline(), cte_metrics()), body=f"""
+SELECT {MODEL_VERSION_SQL} AS model_version,
+       ['station', 'line', 'day', 'hour', 'minute', 'is_weekend'] AS features,
+       'cell mean + categorical mode fill (baseline)' AS algo,
+       'Mon-Fri 06:00-01:30; Sat-Sun 08:00-01:30 (next day).' AS service_hours_rule,
+       r2, rmse, mae
+FROM metrics""")

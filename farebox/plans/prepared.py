@@ -8,6 +8,7 @@ numbers) and the split-cut search (at most a few thousand small rows).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,16 @@ TRAINED_AT = "2024-02-01 12:46:00"
 class Prepared:
     raw: DataFrame
     obs: DataFrame        # cleaned, null hours dropped
-    kept: DataFrame       # service-hours filter applied
-    split: DataFrame      # kept + is_test
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        """Service-hours filter applied (one small count action on first use)."""
+        return service_filter(self.obs)
+
+    @cached_property
+    def split(self) -> DataFrame:
+        """``kept`` with ``is_test`` (the cut search runs on first use)."""
+        return exact_split(self.kept)
 
     @property
     def train(self) -> DataFrame:
@@ -40,9 +49,7 @@ class Prepared:
 
 def prepare(spark: SparkSession, sf_dir: str) -> Prepared:
     raw = raw_observations(spark, sf_dir)
-    obs = clean_observations(raw)
-    kept = service_filter(obs)
-    return Prepared(raw, obs, kept, exact_split(kept))
+    return Prepared(raw, clean_observations(raw))
 
 
 def baseline(prep: Prepared) -> tuple[BaselineModel, DataFrame]:

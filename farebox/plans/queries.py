@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farebox.functions import display as disp
 from farebox.functions.display import version_stamp
+from farebox.operators import geo
 from farebox.operators import service_hours as sh
 from farebox.operators import context as ctx
 from farebox.operators.clean import clean_observations
@@ -20,15 +22,15 @@ from farebox.operators.options import options_listing, options_long
 from farebox.operators.score import (parse_records, score, unknown_categories, validate,
                                      vocabulary)
 from farebox.operators.evaluate import regression_metrics
-from farebox.operators.profile import (combinations, open_hours_profile, profile_24h,
-                                       typical_line)
+from farebox.operators.profile import (combinations, congestion_levels, open_hours_profile,
+                                       profile_24h, typical_line)
 from farebox.operators.split import bucket_split
 from farebox.plans.prepared import TRAINED_AT, baseline, prepare
 from farebox.session import scratch_path
 from farebox.sources.observations import (observation_standin, raw_observations,
                                           read_observations_csv)
 from farebox.sources.dimensions import venues
-from farebox.sources.payloads import landed_events, landed_weather
+from farebox.sources.payloads import clock_text_standin, landed_events, landed_weather
 from farebox.sources.requests import requests_for
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +192,62 @@ def fused_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
                             ctx.event_listings(landed_events(spark, sf_dir)), venues(spark))
 
 
+def station_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5 + F7 + P14 + P15 + P16 + P19: map stations with their 24-hour
+    predictions and display texts."""
+    return geo.station_predictions(spark, hourly_profile_24h(spark, sf_dir))
+
+
+def line_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P19 + P20: per observed line, counts and mean riders with its map path."""
+    return geo.line_summary(spark, prepare(spark, sf_dir).kept)
+
+
+def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P13 + P21 + P22: clock text parsed to hour/minute, minute of day and
+    its cyclical encoding; weekday and hour of the event timestamp."""
+    src = clock_text_standin(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    hour, minute = disp.parse_clock("clock_text")
+    parsed = src.select("event_id", "ts", "clock_text", hour.alias("hour"), minute.alias("minute"))
+    mod = disp.minute_of_day("hour", "minute")
+    return parsed.select(
+        "event_id", "clock_text", "hour", "minute", mod.alias("minute_of_day"),
+        F.round(disp.tod_sin(mod), 6).alias("tod_sin"),
+        F.round(disp.tod_cos(mod), 6).alias("tod_cos"),
+        disp.weekday_name("ts").alias("weekday"), F.hour("ts").alias("ts_hour"))
+
+
+def congestion_levels_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Network-wide tertile levels of the 24-hour profile."""
+    return congestion_levels(hourly_profile_24h(spark, sf_dir))
+
+
+CARD_SCHEMA = ("model_version string, features array<string>, algo string, "
+               "service_hours_rule string, metrics struct<r2: double, rmse: double, mae: double>")
+
+
+def model_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 + P17 + K4: the fitted model's metadata written as JSON to the shared
+    folder and read back; a missing version reads as "unknown"."""
+    prep = prepare(spark, sf_dir)
+    model, _ = baseline(prep)
+    metrics = regression_metrics(model.predict(prep.test))
+    card = metrics.select(
+        _model_version().alias("model_version"),
+        F.array(*[F.lit(c) for c in ("station", "line", "day", "hour", "minute", "is_weekend")])
+        .alias("features"),
+        F.lit("cell mean + categorical mode fill (baseline)").alias("algo"),
+        F.lit("Mon-Fri 06:00-01:30; Sat-Sun 08:00-01:30 (next day).").alias("service_hours_rule"),
+        F.struct("r2", "rmse", "mae").alias("metrics"))
+    path = scratch_path(spark, "model-card")
+    card.coalesce(1).write.mode("overwrite").json(path)
+    back = spark.read.schema(CARD_SCHEMA).json(path)
+    return back.select(F.coalesce("model_version", F.lit("unknown")).alias("model_version"),
+                       "features", "algo", "service_hours_rule",
+                       F.col("metrics.r2").alias("r2"), F.col("metrics.rmse").alias("rmse"),
+                       F.col("metrics.mae").alias("mae"))
+
+
 QUERIES: dict[str, Query] = {
     "hourly_profile_24h": hourly_profile_24h,
     "open_hours_profile": open_hours_profile_q,
@@ -215,4 +273,9 @@ QUERIES: dict[str, Query] = {
     "daily_event_listing": daily_event_listing,
     "event_windows": event_windows,
     "fused_observations": fused_observations,
+    "station_predictions": station_predictions,
+    "line_summary": line_summary,
+    "time_features": time_features,
+    "congestion_levels": congestion_levels_q,
+    "model_card": model_card,
 }

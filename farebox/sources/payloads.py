@@ -91,3 +91,17 @@ def landed_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_payload_standin(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def clock_text_standin(events: DataFrame) -> DataFrame:
+    """Free-text clock times in three shapes ("3:34 PM", "15:34", "6–7 a.m.")
+    from ``events.ts``; rows only, parsing is the job's."""
+    ts, eid = F.col("ts"), F.col("event_id")
+    h = F.hour(ts)
+    h12 = (h + 11) % 12 + 1
+    ap = F.when(h < 12, F.lit("a.m.")).otherwise(F.lit("p.m."))
+    text = (F.when(eid % 3 == 0, F.date_format(ts, "h:mm a"))
+             .when(eid % 3 == 1, F.date_format(ts, "HH:mm"))
+             .otherwise(F.concat(h12.cast("string"), F.lit("–"), (h12 % 12 + 1).cast("string"),
+                                 F.lit(" "), ap)))
+    return events.select("event_id", "ts", text.alias("clock_text"))
