@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farebox.functions.hours import all_hours, hours_for_daytype, service_open
+from farebox.functions.hours import all_hours, hours_for_daytype, is_weekend, service_open
 from farebox.functions.text import strip
 
 COMBO = ["station", "line", "day"]
@@ -24,7 +24,8 @@ def combinations(df: DataFrame) -> DataFrame:
 def profile_24h(model, combos: DataFrame) -> DataFrame:
     """Hours 0..23 for every combination; closed hours (serve policy) are
     exactly 0 riders, open hours take the model's prediction."""
-    grid = combos.select(*COMBO, F.explode(all_hours()).alias("hour"))
+    grid = (combos.select(*COMBO, F.explode(all_hours()).alias("hour"))
+            .withColumn("minute", F.lit(0)).withColumn("is_weekend", is_weekend("day")))
     is_open = service_open("day", "hour", None, "serve")
     scored = model.predict(grid)
     return scored.select(
@@ -36,7 +37,7 @@ def open_hours_profile(model, combos: DataFrame) -> DataFrame:
     """G1: the day's plotting hours (start..23, 0, 1) kept by the train mask,
     with the model's prediction (no zeroing: closed hours are not in it)."""
     grid = (combos.select(*COMBO, F.explode(hours_for_daytype("day")).alias("hour"))
-            .withColumn("minute", F.lit(0))
+            .withColumn("minute", F.lit(0)).withColumn("is_weekend", is_weekend("day"))
             .filter(service_open("day", "hour", "minute", "train")))
     return model.predict(grid).select(*COMBO, "hour", F.col("prediction").alias("riders"))
 

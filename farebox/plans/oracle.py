@@ -628,3 +628,5 @@ SELECT {MODEL_VERSION_SQL} AS model_version,
        'Mon-Fri 06:00-01:30; Sat-Sun 08:00-01:30 (next day).' AS service_hours_rule,
        r2, rmse, mae
 FROM metrics""")
+
+ORACLE["streamed_scored_requests"] = ORACLE["scored_requests"]

@@ -18,6 +18,7 @@ from farebox.operators import geo
 from farebox.operators import service_hours as sh
 from farebox.operators import context as ctx
 from farebox.operators.clean import clean_observations
+from farebox.operators import model as ml
 from farebox.operators.options import options_listing, options_long
 from farebox.operators.score import (parse_records, score, unknown_categories, validate,
                                      vocabulary)
@@ -30,6 +31,7 @@ from farebox.session import scratch_path
 from farebox.sources.observations import (observation_standin, raw_observations,
                                           read_observations_csv)
 from farebox.sources.dimensions import venues
+from farebox.streaming import scoring as stream_scoring
 from farebox.sources.payloads import clock_text_standin, landed_events, landed_weather
 from farebox.sources.requests import requests_for
 
@@ -248,6 +250,75 @@ def model_card(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("metrics.mae").alias("mae"))
 
 
+# Boosting rounds in registered queries; the library default is the
+# reference's 600 (``ml.GBT_PARAMS``).
+QUERY_TREES = 20
+
+
+def _fit(prep, algo: str = "gbt"):
+    return ml.fit_model(prep.train, algo=algo, max_iter=QUERY_TREES if algo == "gbt" else None)
+
+
+def _holdout(prep, scorer) -> DataFrame:
+    metrics = regression_metrics(scorer.predict(prep.test))
+    sizes = prep.split.agg(F.count_if(~F.col("is_test")).alias("n_train"),
+                           F.count_if("is_test").alias("n_test")).first()
+    return metrics.select(F.lit(sizes["n_train"]).cast("bigint").alias("n_train"),
+                          F.lit(sizes["n_test"]).cast("bigint").alias("n_test"),
+                          F.col("n").alias("n_scored"), "r2", "rmse", "mae")
+
+
+def gbt_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2-M7 + A4: boosted trees fitted on the train part, scored on the test part."""
+    prep = prepare(spark, sf_dir)
+    return _holdout(prep, ml.PipelineScorer(_fit(prep, "gbt")))
+
+
+def linear_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11 + A4: linear regression on the same features."""
+    prep = prepare(spark, sf_dir)
+    return _holdout(prep, ml.PipelineScorer(_fit(prep, "linear")))
+
+
+def gbt_scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + K2 + M8 + M9: fit, save model and metadata to the shared folder,
+    load both back, and score every valid request (closed hours 0)."""
+    prep = prepare(spark, sf_dir)
+    model = _fit(prep, "gbt")
+    metrics = regression_metrics(ml.PipelineScorer(model).predict(prep.test))
+    meta = ml.model_metadata(spark, metrics, F.lit(TRAINED_AT).cast("timestamp"),
+                             f"GBTRegressor({QUERY_TREES} trees) + one-hot(station/line/day)")
+    path = scratch_path(spark, "gbt-model")
+    ml.save_model(model, meta, path)
+    loaded, loaded_meta = ml.load_model(spark, path)
+    version = loaded_meta.first()["model_version"]
+    valid = _validated_requests(spark, sf_dir).filter(F.col("reason").isNull())
+    return score(valid, ml.PipelineScorer(loaded), version)
+
+
+def gbt_profile_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 with the boosted-tree model."""
+    prep = prepare(spark, sf_dir)
+    model = _fit(prep, "gbt")
+    fills = model.stages[0].fill_values()
+    filled = prep.train.na.fill({k: v for k, v in fills.items() if v is not None})
+    return profile_24h(ml.PipelineScorer(model), combinations(filled))
+
+
+def streamed_scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request stand-in landed as JSON files and scored by a
+    Structured Streaming query (one file per micro-batch); equals
+    ``scored_requests``."""
+    model, _ = baseline(prepare(spark, sf_dir))
+    landing = scratch_path(spark, "requests-landing")
+    out = scratch_path(spark, "requests-scored")
+    stream_scoring.land_requests(requests_for(spark, sf_dir), landing)
+    q = stream_scoring.start_scoring_stream(spark, landing, out, scratch_path(spark, "stream-ckpt"),
+                                            model, _model_version())
+    q.awaitTermination()
+    return stream_scoring.read_output(spark, out, "scored")
+
+
 QUERIES: dict[str, Query] = {
     "hourly_profile_24h": hourly_profile_24h,
     "open_hours_profile": open_hours_profile_q,
@@ -278,4 +349,9 @@ QUERIES: dict[str, Query] = {
     "time_features": time_features,
     "congestion_levels": congestion_levels_q,
     "model_card": model_card,
+    "gbt_holdout_metrics": gbt_holdout_metrics,
+    "linear_holdout_metrics": linear_holdout_metrics,
+    "gbt_scored_requests": gbt_scored_requests,
+    "gbt_profile_24h": gbt_profile_24h,
+    "streamed_scored_requests": streamed_scored_requests,
 }
