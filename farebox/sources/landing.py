@@ -1,0 +1,34 @@
+"""Landing stand-in inputs as files, the way production inputs arrive.
+
+Real observations, requests and context responses arrive as files of plain
+text columns; queries scan them. The stand-ins derived from the driver's
+tables are landed the same way: written once per session and scale folder
+to parquet under the shared checkpoint folder, then read back. Queries
+therefore plan against a file scan with plain columns (as in production)
+rather than against the stand-in's expressions, which Catalyst would
+otherwise inline into every cleaning expression and pushed-down filter.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from farebox.session import scratch_path
+
+_LANDED: dict[tuple, str] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str,
+           build: Callable[[], DataFrame]) -> DataFrame:
+    """Read the landed copy of ``build()``, writing it on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _LANDED.get(key)
+    if path is None:
+        path = scratch_path(spark, f"landed-{name}")
+        # Spread rows over several files, as a landing zone holds many.
+        files = spark.sparkContext.defaultParallelism
+        build().repartition(files).write.mode("overwrite").parquet(path)
+        _LANDED[key] = path
+    return spark.read.parquet(path)

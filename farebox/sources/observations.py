@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from farebox.functions.text import null_tokens
 from farebox.sources.dimensions import station_rows
+from farebox.sources.literal import literal_frame
 
 RAW_COLUMNS = ["obs_id", "station", "line", "day", "hour", "riders", "date"]
 
@@ -53,7 +54,7 @@ def read_observations_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_observations_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Same contract for a parquet landing of the raw text columns."""
-    return with_null_tokens(lower_names(spark.read.parquet(path)))
+    return read_observations_parquet_df(spark.read.parquet(path))
 
 
 def observation_standin(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -65,8 +66,8 @@ def observation_standin(spark: SparkSession, events: DataFrame) -> DataFrame:
     case, tabs, tokens, an unknown day, hour 24, missing values) so that
     the cleaning steps have work to do.
     """
-    st = spark.createDataFrame(
-        [(i, name, line) for i, (name, line, _lat, _lon) in enumerate(station_rows())],
+    st = literal_frame(
+        spark, [(i, name, line) for i, (name, line, _lat, _lon) in enumerate(station_rows())],
         "idx int, st_name string, st_line string")
     n = len(station_rows())
     eid, uid = F.col("event_id"), F.col("user_id")
@@ -101,6 +102,14 @@ def observation_standin(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw (text) observations for a driver scale-factor folder."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return with_null_tokens(lower_names(observation_standin(spark, events)))
+    """Raw (text) observations for a driver scale-factor folder: the stand-in
+    landed as parquet, read with the S1 contract."""
+    from farebox.sources.landing import landed
+
+    def build():
+        return observation_standin(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return read_observations_parquet_df(landed(spark, sf_dir, "observations", build))
+
+
+def read_observations_parquet_df(df: DataFrame) -> DataFrame:
+    return with_null_tokens(lower_names(df))

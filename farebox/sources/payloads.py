@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.sources.dimensions import VENUE_COORDS, VENUES
+from farebox.sources.literal import literal_frame
 
 # Invented condition texts for the weather stand-in (not reference data).
 CONDITIONS = ["Sunny", "Partly cloudy", "Light rain", "Overcast"]
@@ -48,7 +49,7 @@ def _venue_json(spark: SparkSession) -> DataFrame:
             lat, lon = coords[name]
             loc = f',"location":{{"latitude":"{lat}","longitude":"{lon}"}}'
         rows.append((i, f'{{"id":"{vid}","name":"{name}"{loc}}}'))
-    return spark.createDataFrame(rows, "v_idx int, venue_json string")
+    return literal_frame(spark, rows, "v_idx int, venue_json string")
 
 
 def events_payload_standin(spark: SparkSession, events: DataFrame) -> DataFrame:
@@ -86,11 +87,15 @@ def events_payload_standin(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 
 def landed_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weather_standin(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    from farebox.sources.landing import landed
+    return landed(spark, sf_dir, "weather", lambda: weather_standin(
+        spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_payload_standin(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+    from farebox.sources.landing import landed
+    return landed(spark, sf_dir, "event-pages", lambda: events_payload_standin(
+        spark, spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 def clock_text_standin(events: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.sources.dimensions import station_rows
+from farebox.sources.literal import literal_frame
 
 RECORDS_PER_BODY = 4
 
@@ -37,8 +38,8 @@ def record_json_columns(eid, name, line, ts):
 
 
 def request_standin(spark: SparkSession, events: DataFrame) -> DataFrame:
-    st = spark.createDataFrame(
-        [(i, name, line) for i, (name, line, _a, _b) in enumerate(station_rows())],
+    st = literal_frame(
+        spark, [(i, name, line) for i, (name, line, _a, _b) in enumerate(station_rows())],
         "idx int, st_name string, st_line string")
     n = len(station_rows())
     e = events.select("event_id", "ts", "user_id")
@@ -59,4 +60,7 @@ def request_standin(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 
 def requests_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return request_standin(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """Landed request bodies for a driver scale-factor folder."""
+    from farebox.sources.landing import landed
+    return landed(spark, sf_dir, "requests", lambda: request_standin(
+        spark, spark.read.parquet(f"{sf_dir}/events.parquet")))
