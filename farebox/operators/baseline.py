@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.operators.aggregates import most_frequent
-from farebox.operators.joins import lookup_join
+from farebox.operators.joins import broadcast_if_small, lookup_join
 
 CATEGORICAL = ["station", "line", "day"]
 CELL = ["station", "line", "day", "hour"]
@@ -61,7 +61,7 @@ class BaselineModel:
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         filled = self.impute(df)
-        joined = lookup_join(filled, self.means, CELL, "left")
+        joined = lookup_join(filled, self.means.select(*CELL, "cell_mean"), CELL, "left")
         pred = F.coalesce(F.col("cell_mean"), F.lit(self.global_mean).cast("double"))
         return joined.withColumn(out, pred).drop("cell_mean")
 
@@ -69,6 +69,13 @@ class BaselineModel:
 def fit_baseline(train: DataFrame, label: str = "riders") -> BaselineModel:
     fills = categorical_modes(train)
     labelled = fill_categorical(train, fills).filter(F.col(label).isNotNull())
-    means = labelled.groupBy(*CELL).agg(exact_mean(label).alias("cell_mean"))
-    global_mean = labelled.agg(exact_mean(label).alias("m")).first()["m"]
-    return BaselineModel(fills, global_mean, means)
+    cells = (labelled.groupBy(*CELL)
+             .agg(F.sum(label).alias("cell_sum"), F.count(label).alias("cell_n"))
+             .withColumn("cell_mean", F.col("cell_sum").cast("double") / F.col("cell_n")))
+    # The cell table is bounded by the category domains; the broadcast check
+    # materialises it once, and the global mean is re-aggregated from it
+    # (exact decimal sums) instead of scanning the observations again.
+    cells = broadcast_if_small(cells)
+    total = cells.agg(F.sum("cell_sum").alias("s"), F.sum("cell_n").alias("n")).first()
+    global_mean = float(total["s"]) / total["n"] if total["n"] else None
+    return BaselineModel(fills, global_mean, cells)

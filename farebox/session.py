@@ -61,3 +61,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/farebox/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(spark: SparkSession, df, name: str):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads files instead of recomputing
+    the upstream plan) and lets several later jobs scan a compact, already
+    computed table instead of repeating the work.
+    """
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
