@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.functions.hours import all_hours, hours_for_daytype, is_weekend, service_open
+from farebox.functions.display import title_day
 from farebox.functions.text import strip
 
 COMBO = ["station", "line", "day"]
@@ -34,12 +35,16 @@ def profile_24h(model, combos: DataFrame) -> DataFrame:
 
 
 def open_hours_profile(model, combos: DataFrame) -> DataFrame:
-    """G1: the day's plotting hours (start..23, 0, 1) kept by the train mask,
-    with the model's prediction (no zeroing: closed hours are not in it)."""
+    """G1 + P18: the day's plotting hours (start..23, 0, 1) kept by the train
+    mask, with the model's prediction (no zeroing: closed hours are not in
+    it) and the chart title "<station> — Estimated riders by hour (<Day>)"."""
     grid = (combos.select(*COMBO, F.explode(hours_for_daytype("day")).alias("hour"))
             .withColumn("minute", F.lit(0)).withColumn("is_weekend", is_weekend("day"))
             .filter(service_open("day", "hour", "minute", "train")))
-    return model.predict(grid).select(*COMBO, "hour", F.col("prediction").alias("riders"))
+    title = F.concat(F.col("station"), F.lit(" — Estimated riders by hour ("),
+                     title_day("day"), F.lit(")"))
+    return model.predict(grid).select(*COMBO, "hour", F.col("prediction").alias("riders"),
+                                      title.alias("title"))
 
 
 def typical_line(df: DataFrame) -> DataFrame:

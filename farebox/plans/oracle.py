@@ -181,7 +181,9 @@ grid0 AS (
 grid AS (SELECT station, line, day, cast(hour AS INTEGER) AS hour FROM grid0
          WHERE {open_train('day', 'hour', None)})"""),
     body=f"""
-SELECT s.station, s.line, s.day, s.hour, {PREDICTION} AS riders
+SELECT s.station, s.line, s.day, s.hour, {PREDICTION} AS riders,
+       concat(s.station, ' — Estimated riders by hour (',
+              upper(left(s.day, 1)), lower(substr(s.day, 2)), ')') AS title
 FROM {predict_join('grid')}""")
 
 ORACLE["clean_observations"] = with_ctes(*_front(), body="SELECT * FROM obs")
