@@ -414,7 +414,7 @@ w_land AS (
   SELECT ts AS fetched_at, CASE WHEN event_id % 13 = 0 THEN 500 ELSE 200 END AS status,
     CASE WHEN event_id % 13 = 0
          THEN '{{"error":{{"code":1006,"message":"No matching location found."}}}}'
-         ELSE concat('{{"location":{{"name":"Toronto"}},"current":{{"temp_c":',
+         ELSE concat('{{"location":{{"name":"Metro"}},"current":{{"temp_c":',
                      cast(cast(value AS DECIMAL(18,2)) - 15 AS VARCHAR),
                      ',"condition":{{"text":"', ({conds})[user_id % {len(CONDITIONS)} + 1], '"}}}}}}')
     END AS body

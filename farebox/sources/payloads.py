@@ -30,7 +30,7 @@ def weather_standin(events: DataFrame) -> DataFrame:
     cond = F.element_at(F.array(*[F.lit(c) for c in CONDITIONS]),
                         (F.col("user_id") % len(CONDITIONS) + 1).cast("int"))
     temp = (F.col("value").cast("decimal(18,2)") - 15).cast("string")
-    ok_body = F.concat(F.lit('{"location":{"name":"Toronto"},"current":{"temp_c":'), temp,
+    ok_body = F.concat(F.lit('{"location":{"name":"Metro"},"current":{"temp_c":'), temp,
                        F.lit(',"condition":{"text":"'), cond, F.lit('"}}}'))
     failed = eid % 13 == 0
     return e.select(
