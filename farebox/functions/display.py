@@ -9,7 +9,6 @@ that one helper is an Arrow-batched pandas UDF.
 from __future__ import annotations
 
 import math
-from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,24 +96,30 @@ def tod_cos(mod) -> Column:
     return F.cos(F.lit(TWO_PI) * _col(mod) / 1440)
 
 
-def _to_fixed_one(x, digits: int):
-    if x is None or (isinstance(x, float) and math.isnan(x)):
-        return None
-    if math.isinf(x):
-        return "Infinity" if x > 0 else "-Infinity"
-    q = Decimal(x).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP)
-    s = f"{q:f}"
-    if s.startswith("-") and q == 0 and x == 0:
-        s = s[1:]  # -0.0 prints without a sign in JavaScript
-    return s
-
-
 def to_fixed(x, digits: int = 4) -> Column:
     """JavaScript ``x.toFixed(digits)`` (exact binary value, ties away
-    from zero on the magnitude)."""
+    from zero on the magnitude).
+
+    The per-value helper is nested and uses only the standard library, so the
+    UDF is shipped to Python workers by value and needs no package import
+    there.
+    """
+
+    def fixed_text(v):
+        import math
+        from decimal import ROUND_HALF_UP, Decimal
+        if v is None or math.isnan(v):
+            return None
+        if math.isinf(v):
+            return "Infinity" if v > 0 else "-Infinity"
+        q = Decimal(v).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP)
+        text = f"{q:f}"
+        if text.startswith("-") and q == 0 and v == 0:
+            text = text[1:]  # -0.0 prints without a sign in JavaScript
+        return text
 
     @F.pandas_udf("string")
     def _fixed(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: _to_fixed_one(v, digits))
+        return s.map(fixed_text)
 
     return _fixed(_col(x).cast("double"))

@@ -29,9 +29,10 @@ def regression_metrics(df: DataFrame, label: str = "riders",
     ss_tot = F.col("syy") - F.col("sy") * F.col("sy") / n
     r2 = (F.when(ss_tot == 0, F.when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
           .otherwise(F.lit(1.0) - F.col("sse") / ss_tot))
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (engines differ on its sign).
     return sums.select(
         n.alias("n"),
-        F.round(r2, DIGITS).alias("r2"),
-        F.round(F.sqrt(F.col("sse") / n), DIGITS).alias("rmse"),
-        F.round(F.col("sae") / n, DIGITS).alias("mae"),
+        (F.round(r2, DIGITS) + F.lit(0.0)).alias("r2"),
+        (F.round(F.sqrt(F.col("sse") / n), DIGITS) + F.lit(0.0)).alias("rmse"),
+        (F.round(F.col("sae") / n, DIGITS) + F.lit(0.0)).alias("mae"),
     )

@@ -61,5 +61,8 @@ def line_summary(spark: SparkSession, obs: DataFrame) -> DataFrame:
                 (F.sum("riders").cast("double") / F.count("riders")).alias("mean_riders")))
     paths = line_paths(spark)
     colours = line_colours(spark).select("line", F.col("css_colour").alias("colour"))
-    return (agg.join(F.broadcast(paths.select("line", "path", "n_stations")), "line", "left")
-            .join(F.broadcast(colours), "line", "left"))
+    joined = (agg.join(F.broadcast(paths.select("line", "path", "n_stations")), "line", "left")
+              .join(F.broadcast(colours), "line", "left"))
+    # A line without a map path has an empty path and no stations on the map.
+    return (joined.withColumn("n_stations", F.coalesce("n_stations", F.lit(0).cast("bigint")))
+            .withColumn("path", F.coalesce("path", F.array().cast("array<array<double>>"))))

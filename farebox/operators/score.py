@@ -26,7 +26,8 @@ def parse_records(requests: DataFrame) -> DataFrame:
     """request_id, pos, body_ok, station, line, day, hour_text.
 
     A body that is not JSON or has no ``records`` yields one row with
-    ``body_ok = false``; an empty list yields no rows.
+    ``body_ok = false`` and ``pos = -1`` (no record position); an empty list
+    yields no rows.
     """
     recs = F.from_json(F.get_json_object("body", "$.records"), REQUEST_SCHEMA)
     parsed = requests.select("request_id", recs.alias("recs"))
@@ -36,7 +37,7 @@ def parse_records(requests: DataFrame) -> DataFrame:
         F.posexplode(F.coalesce(F.col("recs"), filler)).alias("pos", "r"))
     return exploded.select(
         "request_id",
-        F.when(F.col("body_ok"), F.col("pos")).alias("pos"),
+        F.when(F.col("body_ok"), F.col("pos")).otherwise(F.lit(-1)).alias("pos"),
         "body_ok",
         F.col("r.station").alias("station"), F.col("r.line").alias("line"),
         F.col("r.day").alias("day"), F.col("r.hour").alias("hour_text"))

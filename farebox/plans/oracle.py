@@ -194,8 +194,8 @@ ORACLE["service_mask_counts"] = with_ctes(*_front(), body=f"""
 SELECT n_before, n_open,
        CASE WHEN n_open > 0 THEN n_open ELSE n_in_range END AS n_after,
        n_open = 0 AS fallback_used
-FROM (SELECT count(*) AS n_before, count_if({open_train()}) AS n_open,
-             count_if(hour BETWEEN 0 AND 23) AS n_in_range FROM obs)""")
+FROM (SELECT count(*) AS n_before, cast(count_if({open_train()}) AS BIGINT) AS n_open,
+             cast(count_if(hour BETWEEN 0 AND 23) AS BIGINT) AS n_in_range FROM obs)""")
 
 ORACLE["open_hours"] = with_ctes(*_front(), body="SELECT DISTINCT hour FROM kept")
 
@@ -227,13 +227,13 @@ sums AS (
          sum((cast(y AS DOUBLE) - p) * (cast(y AS DOUBLE) - p)) AS sse,
          sum(abs(cast(y AS DOUBLE) - p)) AS sae
   FROM scored WHERE y IS NOT NULL AND p IS NOT NULL)"""), body="""
-SELECT (SELECT count_if(NOT is_test) FROM split) AS n_train,
-       (SELECT count_if(is_test) FROM split) AS n_test,
+SELECT (SELECT cast(count_if(NOT is_test) AS BIGINT) FROM split) AS n_train,
+       (SELECT cast(count_if(is_test) AS BIGINT) FROM split) AS n_test,
        n AS n_scored,
        round(CASE WHEN syy - sy * sy / n = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END)
-                  ELSE 1.0 - sse / (syy - sy * sy / n) END, 6) AS r2,
-       round(sqrt(sse / n), 6) AS rmse,
-       round(sae / n, 6) AS mae
+                  ELSE 1.0 - sse / (syy - sy * sy / n) END, 6) + 0.0::DOUBLE AS r2,
+       round(sqrt(sse / n), 6) + 0.0::DOUBLE AS rmse,
+       round(sae / n, 6) + 0.0::DOUBLE AS mae
 FROM sums""")
 
 ORACLE["typical_line"] = with_ctes(*_front(cte_split(), """
@@ -321,7 +321,7 @@ rq_records AS (
   FROM (SELECT request_id, generate_subscripts(recs, 1) AS pos0, unnest(recs) AS r
         FROM rq_parsed WHERE recs IS NOT NULL)
   UNION ALL
-  SELECT request_id, NULL::INTEGER, false, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR,
+  SELECT request_id, -1, false, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR,
          NULL::VARCHAR FROM rq_parsed WHERE recs IS NULL),
 rq_typed AS (
   SELECT *, CASE WHEN hd IS NOT NULL AND NOT isnan(hd) AND hd = floor(hd)
@@ -547,9 +547,9 @@ sums AS (
 metrics AS (
   SELECT n,
        round(CASE WHEN syy - sy * sy / n = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END)
-                  ELSE 1.0 - sse / (syy - sy * sy / n) END, 6) AS r2,
-       round(sqrt(sse / n), 6) AS rmse,
-       round(sae / n, 6) AS mae
+                  ELSE 1.0 - sse / (syy - sy * sy / n) END, 6) + 0.0::DOUBLE AS r2,
+       round(sqrt(sse / n), 6) + 0.0::DOUBLE AS rmse,
+       round(sae / n, 6) + 0.0::DOUBLE AS mae
   FROM sums)"""
 
 
@@ -580,9 +580,11 @@ agg AS (SELECT line, count(*) AS n_obs, cast(sum(riders) AS DOUBLE) / count(ride
         FROM kept WHERE line IS NOT NULL GROUP BY line),
 pl AS (SELECT line, list_transform(list_sort(list({'seq': seq, 'lat': lat, 'lon': lon})),
                                    lambda x: [x.lat, x.lon]) AS path,
-              count_if(show_marker) AS n_stations
+              cast(count_if(show_marker) AS BIGINT) AS n_stations
        FROM map_path GROUP BY line)"""), body="""
-SELECT a.line, a.n_obs, a.mean_riders, pl.path, pl.n_stations, c.css_colour AS colour
+SELECT a.line, a.n_obs, a.mean_riders, coalesce(pl.path, []::DOUBLE[][]) AS path,
+       coalesce(pl.n_stations, 0) AS n_stations,
+       c.css_colour AS colour
 FROM agg a LEFT JOIN pl ON a.line = pl.line LEFT JOIN map_colours c ON a.line = c.line""")
 
 _RANGE_RE = r"^(\d{1,2})\s*[-–]\s*(\d{1,2})\s*([ap])\.?\s*m\.?$"
@@ -611,8 +613,8 @@ p3 AS (
     cast(coalesce(minute(pts), CASE WHEN si BETWEEN 1 AND 12 THEN 0 END) AS INTEGER) AS minute
   FROM p2)
 SELECT event_id, clock_text, hour, minute, hour * 60 + minute AS minute_of_day,
-       round(sin({_num(6.283185307179586)} * (hour * 60 + minute) / 1440), 6) AS tod_sin,
-       round(cos({_num(6.283185307179586)} * (hour * 60 + minute) / 1440), 6) AS tod_cos,
+       round(sin({_num(6.283185307179586)} * (hour * 60 + minute) / 1440), 6) + 0.0::DOUBLE AS tod_sin,
+       round(cos({_num(6.283185307179586)} * (hour * 60 + minute) / 1440), 6) + 0.0::DOUBLE AS tod_cos,
        dayname(ts) AS weekday, cast(hour(ts) AS INTEGER) AS ts_hour
 FROM p3"""
 
@@ -632,3 +634,26 @@ SELECT {MODEL_VERSION_SQL} AS model_version,
 FROM metrics""")
 
 ORACLE["streamed_scored_requests"] = ORACLE["scored_requests"]
+
+
+# Output presentation (see ``queries.present``): decimals as double, dates as text.
+_PRESENT = {
+    "clean_observations": ["riders", "service_date"],
+    "service_filtered": ["riders", "service_date"],
+    "csv_clean_observations": ["riders", "service_date"],
+    "fused_observations": ["riders", "service_date"],
+    "event_listings": ["event_date"],
+    "daily_event_listing": ["event_date"],
+    "event_windows": ["event_date"],
+}
+
+
+def _presented_sql(sql: str, cols: list[str]) -> str:
+    casts = ", ".join(
+        f"cast({c} AS DOUBLE) AS {c}" if c == "riders" else f"cast({c} AS VARCHAR) AS {c}"
+        for c in cols)
+    return f"SELECT * REPLACE ({casts}) FROM (\n{sql}\n)"
+
+
+for _name, _cols in _PRESENT.items():
+    ORACLE[_name] = _presented_sql(ORACLE[_name], _cols)

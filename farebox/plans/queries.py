@@ -38,6 +38,21 @@ from farebox.sources.requests import requests_for
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def present(df: DataFrame) -> DataFrame:
+    """Output presentation shared with the SQL twins: exact decimals leave as
+    double (the declared riders type) and dates as ISO ``yyyy-MM-dd`` text."""
+    cols = []
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        if t.startswith("decimal"):
+            cols.append(F.col(f.name).cast("double").alias(f.name))
+        elif t == "date":
+            cols.append(F.col(f.name).cast("string").alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
+
+
 def hourly_profile_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2 with M10: 24-hour profile of every station/line/day seen in the
     train part, closed hours exactly 0 riders (the flagship query)."""
@@ -214,8 +229,9 @@ def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     mod = disp.minute_of_day("hour", "minute")
     return parsed.select(
         "event_id", "clock_text", "hour", "minute", mod.alias("minute_of_day"),
-        F.round(disp.tod_sin(mod), 6).alias("tod_sin"),
-        F.round(disp.tod_cos(mod), 6).alias("tod_cos"),
+        # "+ 0.0" turns a rounded -0.0 into 0.0 (engines differ on its sign)
+        (F.round(disp.tod_sin(mod), 6) + F.lit(0.0)).alias("tod_sin"),
+        (F.round(disp.tod_cos(mod), 6) + F.lit(0.0)).alias("tod_cos"),
         disp.weekday_name("ts").alias("weekday"), F.hour("ts").alias("ts_hour"))
 
 
@@ -319,7 +335,7 @@ def streamed_scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_scoring.read_output(spark, out, "scored")
 
 
-QUERIES: dict[str, Query] = {
+_QUERIES: dict[str, Query] = {
     "hourly_profile_24h": hourly_profile_24h,
     "open_hours_profile": open_hours_profile_q,
     "clean_observations": clean_observations_q,
@@ -355,3 +371,13 @@ QUERIES: dict[str, Query] = {
     "gbt_profile_24h": gbt_profile_24h,
     "streamed_scored_requests": streamed_scored_requests,
 }
+
+
+def _presented(fn: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return present(fn(spark, sf_dir))
+    run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+    return run
+
+
+QUERIES: dict[str, Query] = {name: _presented(fn) for name, fn in _QUERIES.items()}

@@ -27,7 +27,7 @@ def test_one_or_many_records(spark):
     checked = validate(parse_records(req))
     rejected = {(r["request_id"], r["pos"], r["reason"])
                 for r in checked.filter("reason is not null").collect()}
-    assert rejected == {(4, None, "invalid body"), (5, 0, "missing station"),
+    assert rejected == {(4, -1, "invalid body"), (5, 0, "missing station"),
                         (5, 1, "hour is not an integer")}
     valid = checked.filter("reason is null")
     out = score(valid, _model(spark), "v-test").orderBy("request_id", "pos").collect()
