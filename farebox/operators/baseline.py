@@ -17,11 +17,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.operators.aggregates import most_frequent
-from farebox.operators.joins import broadcast_if_small, lookup_join
+from farebox.operators.joins import hint_if_small
 
 CATEGORICAL = ["station", "line", "day"]
 CELL = ["station", "line", "day", "hour"]
@@ -60,8 +61,9 @@ class BaselineModel:
         return fill_categorical(df, self.fills)
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        # ``means`` already carries the broadcast decision made at fit time.
         filled = self.impute(df)
-        joined = lookup_join(filled, self.means.select(*CELL, "cell_mean"), CELL, "left")
+        joined = filled.join(self.means, CELL, "left")
         pred = F.coalesce(F.col("cell_mean"), F.lit(self.global_mean).cast("double"))
         return joined.withColumn(out, pred).drop("cell_mean")
 
@@ -75,7 +77,9 @@ def fit_baseline(train: DataFrame, label: str = "riders") -> BaselineModel:
     # The cell table is bounded by the category domains; the broadcast check
     # materialises it once, and the global mean is re-aggregated from it
     # (exact decimal sums) instead of scanning the observations again.
-    cells = broadcast_if_small(cells)
-    total = cells.agg(F.sum("cell_sum").alias("s"), F.sum("cell_n").alias("n")).first()
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    total = cells.agg(F.count(F.lit(1)).alias("rows"), F.sum("cell_sum").alias("s"),
+                      F.sum("cell_n").alias("n")).first()
     global_mean = float(total["s"]) / total["n"] if total["n"] else None
-    return BaselineModel(fills, global_mean, cells)
+    lookup = hint_if_small(cells.select(*CELL, "cell_mean"), total["rows"])
+    return BaselineModel(fills, global_mean, lookup)

@@ -27,16 +27,24 @@ def station_markers(spark: SparkSession) -> DataFrame:
 def station_predictions(spark: SparkSession, profile: DataFrame) -> DataFrame:
     """Every map station with its predictions, matched on (name, line).
 
-    ``profile`` is (station, line, day, hour, riders, ...). The profile is
-    first reduced to map stations by a semi join with the broadcast marker
-    table (profile rows stream, nothing large moves); the marker-preserving
-    left join then only sees that reduced side. A station with no
-    prediction keeps one row with nulls.
+    ``profile`` is (station, line, day, hour, riders, ...). It is joined to
+    the broadcast marker table (56 rows), so profile rows stream and are
+    never shuffled on the station key: a station holding a large share of
+    the rows cannot skew a partition. Stations without any prediction are
+    found by an anti join against the profile's distinct matched keys (at
+    most 56 rows) and keep one row with nulls, as a left join would give.
     """
     markers = station_markers(spark)
-    keys = markers.select(F.col("name").alias("station"), "line")
-    on_map = profile.join(F.broadcast(keys), ["station", "line"], "left_semi")
-    joined = markers.join(on_map.withColumnRenamed("station", "name"), ["name", "line"], "left")
+    keys = ["name", "line"]
+    prof = profile.withColumnRenamed("station", "name").select(
+        "name", "line", "day", "hour", "riders")
+    matched = prof.join(F.broadcast(markers), keys, "inner")
+    present = matched.select(*keys).distinct()
+    unmatched = (markers.join(F.broadcast(present), keys, "left_anti")
+                 .select("*", F.lit(None).cast("string").alias("day"),
+                         F.lit(None).cast("int").alias("hour"),
+                         F.lit(None).cast("double").alias("riders")))
+    joined = matched.unionByName(unmatched)
     return joined.select(
         "name", "line", "lat_text", "lon_text", "css_colour", "day", "hour", "riders",
         js_riders_text("riders").alias("riders_text"),

@@ -24,6 +24,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
     return F.broadcast(df) if n <= max_rows else df
 
 
+def hint_if_small(df: DataFrame, n_rows: int,
+                  max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a side whose row count is already known."""
+    return F.broadcast(df) if n_rows <= max_rows else df
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",
                 max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Join a (possibly huge) fact side to a lookup side of checked size."""
