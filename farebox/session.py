@@ -27,6 +27,24 @@ BASE_CONF = {
 }
 
 
+def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a cluster run, sized from the expected shuffle volume.
+
+    One shuffle partition per ~256 MB of shuffle input (AQE coalesces small
+    ones and splits skewed ones), file splits of 256 MB for the scans, and a
+    broadcast threshold kept modest because farebox broadcasts explicitly,
+    after counting the side.
+    """
+    partitions = max(200, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 app_name: str = "farebox", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
