@@ -104,6 +104,15 @@ def daily_listing(listings: DataFrame, venues: DataFrame, page_size: int = PAGE_
             .filter(F.col("rank") <= page_size))
 
 
+def events_for_day(listings: DataFrame, venues: DataFrame, day: str,
+                   page_size: int = PAGE_SIZE) -> DataFrame:
+    """F6 for one date parameter (``yyyy-MM-dd``): that day's first
+    ``page_size`` chosen-venue events. The date is always passed in, never
+    taken from the clock."""
+    one_day = listings.filter(F.col("event_date") == F.lit(day).cast("date"))
+    return daily_listing(one_day, venues, page_size)
+
+
 def event_windows(listings: DataFrame, venues: DataFrame) -> DataFrame:
     """P11 + P12: per event day, the request window and the comma-joined ids
     of the chosen venues with events that day."""

@@ -38,3 +38,15 @@ def test_options_sorted_distinct(spark):
     assert row["stations"] == ["Bay", "Union"]
     assert row["lines"] == ["1", "2"]
     assert options_long(spark, raw).filter("kind = 'hour'").count() == 24
+
+
+def test_events_for_one_day(spark, small_dir):
+    from farebox.operators.context import event_listings, events_for_day
+    from farebox.sources.dimensions import venues
+    from farebox.sources.payloads import events_payload_standin
+    landed = events_payload_standin(spark, spark.read.parquet(f"{small_dir}/events.parquet"))
+    listings = event_listings(landed)
+    day = listings.filter("event_date is not null").select("event_date").first()[0]
+    out = events_for_day(listings, venues(spark), str(day), page_size=3).collect()
+    assert 0 < len(out) <= 3 and all(str(r["event_date"]) == str(day) for r in out)
+    assert [r["rank"] for r in out] == list(range(1, len(out) + 1))

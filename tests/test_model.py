@@ -66,3 +66,11 @@ def test_compressed_training_equals_raw_rows(spark):
         preds.append([r[0] for r in fitted.transform(train).orderBy(
             "station", "line", "day", "hour", "riders").select("prediction").collect()])
     assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(*preds))
+
+
+def test_missing_metadata_reads_unknown_version(spark, tmp_path):
+    train = spark.createDataFrame(ROWS, SCHEMA)
+    model = ml.fit_model(train, algo="linear")
+    model.write().overwrite().save(str(tmp_path / "m" / "pipeline"))
+    _, meta = ml.load_model(spark, str(tmp_path / "m"))
+    assert meta.first()["model_version"] == "unknown"
