@@ -69,17 +69,36 @@ class BaselineModel:
 
 
 def fit_baseline(train: DataFrame, label: str = "riders") -> BaselineModel:
-    fills = categorical_modes(train)
-    labelled = fill_categorical(train, fills).filter(F.col(label).isNotNull())
-    cells = (labelled.groupBy(*CELL)
-             .agg(F.sum(label).alias("cell_sum"), F.count(label).alias("cell_n"))
-             .withColumn("cell_mean", F.col("cell_sum").cast("double") / F.col("cell_n")))
-    # The cell table is bounded by the category domains; the broadcast check
-    # materialises it once, and the global mean is re-aggregated from it
-    # (exact decimal sums) instead of scanning the observations again.
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    """One grouped pass over the train part, then work on a bounded table.
+
+    Rows are grouped on the raw cell keys (a null key is its own group) with
+    the row count, the exact decimal label sum and the label count. The
+    categorical modes come from that table (row counts summed per value), the
+    null keys are then filled and the table re-aggregated: the same cells and
+    means as filling every row first, without a second pass over the data.
+    """
+    raw_cells = (train.groupBy(*CELL)
+                 .agg(F.count(F.lit(1)).alias("rows"), F.sum(label).alias("cell_sum"),
+                      F.count(label).alias("cell_n"))
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+    long = raw_cells.select("rows", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val"))
+        for c in CATEGORICAL])).alias("kv")).select("rows", "kv.col", "kv.val")
+    counted = (long.where(F.col("val").isNotNull()).groupBy("col", "val")
+               .agg(F.sum("rows").alias("n")))
+    found = {r["col"]: r["val"] for r in counted.groupBy("col").agg(
+        F.min_by("val", F.struct((-F.col("n")).alias("neg_n"), F.col("val").alias("v")))
+        .alias("val")).collect()}
+    fills = {c: found.get(c) for c in CATEGORICAL}
+    cells = (fill_categorical(raw_cells, fills).groupBy(*CELL)
+             .agg(F.sum("cell_sum").alias("cell_sum"), F.sum("cell_n").alias("cell_n"))
+             .filter(F.col("cell_n") > 0)
+             .withColumn("cell_mean", F.col("cell_sum").cast("double") / F.col("cell_n"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
     total = cells.agg(F.count(F.lit(1)).alias("rows"), F.sum("cell_sum").alias("s"),
                       F.sum("cell_n").alias("n")).first()
     global_mean = float(total["s"]) / total["n"] if total["n"] else None
+    # The cell table is bounded by the category domains; its counted size
+    # decides the broadcast.
     lookup = hint_if_small(cells.select(*CELL, "cell_mean"), total["rows"])
     return BaselineModel(fills, global_mean, lookup)

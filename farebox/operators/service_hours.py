@@ -32,10 +32,22 @@ def mask_counts(obs: DataFrame) -> DataFrame:
         (F.col("n_open") == 0).alias("fallback_used"))
 
 
-def service_filter(obs: DataFrame, policy: str = "train") -> DataFrame:
-    """F2 + F4: keep open rows; if none is open, keep hours 0..23 instead."""
+def mask_metrics(obs: DataFrame, policy: str = "train") -> list:
+    """The A3 counts as aggregate expressions, for ``DataFrame.observe``."""
+    return [F.count(F.lit(1)).alias("n_before"),
+            F.count_if(open_column(obs, policy)).alias("n_open"),
+            F.count_if(F.col("hour").between(0, 23)).alias("n_in_range")]
+
+
+def service_filter(obs: DataFrame, policy: str = "train", n_open: int | None = None) -> DataFrame:
+    """F2 + F4: keep open rows; if none is open, keep hours 0..23 instead.
+
+    ``n_open`` may be passed when already known (e.g. observed while the
+    observations were written); otherwise one count action finds it.
+    """
     is_open = open_column(obs, policy)
-    n_open = obs.agg(F.count_if(is_open).alias("n")).first()["n"]
+    if n_open is None:
+        n_open = obs.agg(F.count_if(is_open).alias("n")).first()["n"]
     if n_open > 0:
         return obs.filter(is_open)
     return obs.filter(F.col("hour").between(0, 23))

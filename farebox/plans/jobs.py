@@ -24,7 +24,7 @@ from farebox.operators import model as ml
 from farebox.operators.clean import clean_observations
 from farebox.operators.evaluate import regression_metrics
 from farebox.operators.score import parse_records, score, validate
-from farebox.operators.service_hours import mask_counts, require_rows, service_filter
+from farebox.operators.service_hours import mask_metrics, require_rows, service_filter
 from farebox.operators.split import exact_split
 from farebox.session import materialize
 
@@ -33,9 +33,10 @@ def train_job(spark: SparkSession, raw: DataFrame, out_path: str, algo: str = "g
               max_iter: int | None = None, trained_at: Column | None = None,
               compress: bool = True) -> dict:
     """Fit, evaluate and save; returns counts and metrics (a few numbers)."""
-    obs = materialize(spark, clean_observations(raw), "train-clean")
-    counts = mask_counts(obs).first()
-    kept = require_rows(service_filter(obs))
+    cleaned = clean_observations(raw)
+    # The mask counts are observed while the cleaned table is written.
+    obs, counts = materialize(spark, cleaned, "train-clean", mask_metrics(cleaned))
+    kept = require_rows(service_filter(obs, n_open=counts["n_open"]))
     split = materialize(spark, exact_split(kept), "train-split")
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     model = ml.fit_model(train, algo=algo, max_iter=max_iter, compress=compress)
@@ -47,8 +48,10 @@ def train_job(spark: SparkSession, raw: DataFrame, out_path: str, algo: str = "g
                              else F.current_timestamp(), algo_text)
     ml.save_model(model, meta, out_path)
     m = metrics.first()
-    return {"rows_before_mask": counts["n_before"], "rows_after_mask": counts["n_after"],
-            "fallback_used": counts["fallback_used"], "n_scored": m["n"],
+    fallback = counts["n_open"] == 0
+    return {"rows_before_mask": counts["n_before"],
+            "rows_after_mask": counts["n_in_range"] if fallback else counts["n_open"],
+            "fallback_used": fallback, "n_scored": m["n"],
             "r2": m["r2"], "rmse": m["rmse"], "mae": m["mae"], "model_path": out_path}
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from farebox.operators.baseline import BaselineModel, fit_baseline
 from farebox.operators.clean import clean_observations
-from farebox.operators.service_hours import service_filter
+from farebox.operators.service_hours import mask_metrics, service_filter
 from farebox.operators.split import exact_split
 from farebox.session import materialize
 from farebox.sources.observations import raw_observations
@@ -30,12 +30,14 @@ TRAINED_AT = "2024-02-01 12:46:00"
 @dataclass
 class Prepared:
     raw: DataFrame
-    obs: DataFrame        # cleaned, null hours dropped
+    obs: DataFrame              # cleaned, null hours dropped
+    n_open: int | None = None   # open rows, observed while staging ``obs``
 
     @cached_property
     def kept(self) -> DataFrame:
-        """Service-hours filter applied (one small count action on first use)."""
-        return service_filter(self.obs)
+        """Service-hours filter applied (the open-row count is known from
+        staging; without staging one small count action finds it)."""
+        return service_filter(self.obs, n_open=self.n_open)
 
     @cached_property
     def split(self) -> DataFrame:
@@ -54,9 +56,10 @@ class Prepared:
 def prepare(spark: SparkSession, sf_dir: str, stage: bool = True) -> Prepared:
     raw = raw_observations(spark, sf_dir)
     obs = clean_observations(raw)
-    if stage:
-        obs = materialize(spark, obs, "clean-observations")
-    return Prepared(raw, obs)
+    if not stage:
+        return Prepared(raw, obs)
+    staged, counts = materialize(spark, obs, "clean-observations", mask_metrics(obs))
+    return Prepared(raw, staged, counts["n_open"])
 
 
 def baseline(prep: Prepared) -> tuple[BaselineModel, DataFrame]:

@@ -81,13 +81,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/farebox/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(spark: SparkSession, df, name: str):
+def materialize(spark: SparkSession, df, name: str, metrics: list | None = None):
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing
     the upstream plan) and lets several later jobs scan a compact, already
-    computed table instead of repeating the work.
+    computed table instead of repeating the work. With ``metrics`` (aggregate
+    columns) the write also observes them and the call returns
+    ``(table, metrics_dict)``: no extra pass over the data.
     """
+    from pyspark.sql import Observation
+
     path = scratch_path(spark, name)
+    observation = None
+    if metrics:
+        observation = Observation(name)
+        df = df.observe(observation, *metrics)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    return (table, observation.get) if observation is not None else table
