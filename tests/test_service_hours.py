@@ -1,6 +1,5 @@
 """Edge table for the two service-hours policies and the cleaning rules."""
 
-from pyspark.sql import functions as F
 
 from farebox.functions.hours import hour_24_to_0, service_open
 from farebox.functions.text import norm_day, null_tokens, strip, to_number

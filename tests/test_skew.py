@@ -6,7 +6,6 @@ from decimal import Decimal
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from farebox.operators.baseline import fit_baseline
 from farebox.operators.profile import combinations, profile_24h, typical_line

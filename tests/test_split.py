@@ -4,7 +4,6 @@ import hashlib
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from farebox.operators import split as split_mod
 
