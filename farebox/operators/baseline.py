@@ -98,6 +98,7 @@ def fit_baseline(train: DataFrame, label: str = "riders") -> BaselineModel:
     total = cells.agg(F.count(F.lit(1)).alias("rows"), F.sum("cell_sum").alias("s"),
                       F.sum("cell_n").alias("n")).first()
     global_mean = float(total["s"]) / total["n"] if total["n"] else None
+    raw_cells.unpersist()  # ``cells`` is cached now (the aggregate above filled it)
     # The cell table is bounded by the category domains; its counted size
     # decides the broadcast.
     lookup = hint_if_small(cells.select(*CELL, "cell_mean"), total["rows"])
