@@ -274,6 +274,7 @@ SELECT cast(range(0, 24) AS INTEGER[]) AS hours,
   coalesce((SELECT list_sort(list(value)) FROM opt_found WHERE kind = 'line'), []::VARCHAR[]) AS lines""")
 
 ORACLE["csv_clean_observations"] = ORACLE["clean_observations"]
+ORACLE["csv_options_long"] = ORACLE["options_long"]
 
 
 def cte_requests() -> str:

@@ -128,15 +128,26 @@ def options_listing_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return options_listing(spark, raw_observations(spark, sf_dir))
 
 
-def csv_clean_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw observations landed as CSV text (padding and tabs kept),
-    read back as all-text columns, then cleaned."""
+def _observations_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Land the raw observations as CSV text with title-case headers
+    (padding and tabs kept) and return the folder."""
     path = scratch_path(spark, "observations-csv")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     (observation_standin(spark, events).write.mode("overwrite")
      .option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
-    return clean_observations(read_observations_csv(spark, path))
+    return path
+
+
+def csv_clean_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations read from CSV as all-text columns, then cleaned."""
+    return clean_observations(read_observations_csv(spark, _observations_csv(spark, sf_dir)))
+
+
+def csv_options_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 + G4: the options listing read straight from the CSV
+    (``Day``/``Station``/``Line`` headers in any case)."""
+    return options_long(spark, read_observations_csv(spark, _observations_csv(spark, sf_dir)))
 
 
 def _model_version():
@@ -350,6 +361,7 @@ _QUERIES: dict[str, Query] = {
     "options_long": options_long_q,
     "options_listing": options_listing_q,
     "csv_clean_observations": csv_clean_observations,
+    "csv_options_long": csv_options_long,
     "scored_requests": scored_requests,
     "rejected_records": rejected_records,
     "rejected_records_strict": rejected_records_strict,
