@@ -36,6 +36,11 @@ HEADLINE = [
     "daily_event_listing",
     "fused_observations",
     "station_predictions",
+    "open_hours_profile",
+    "congestion_levels",
+    "time_features",
+    "streamed_scored_requests",
+    "linear_holdout_metrics",
     "gbt_holdout_metrics",
 ]
 
