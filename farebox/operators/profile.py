@@ -85,3 +85,25 @@ def congestion_levels(profile: DataFrame, low_q: float = 1 / 3, high_q: float =
              .when(F.col("riders") <= high, F.lit("medium"))
              .otherwise(F.lit("high")))
     return profile.withColumn("level", level)
+
+
+def typical_line_for(df: DataFrame, station_name: str):
+    """G3 for one station name (matched case-insensitively): its most common
+    line, or the network's most common line when it has none."""
+    key = station_name.strip().lower()
+    row = typical_line(df).filter(F.col("station_key") == key).select("line").first()
+    if row is not None:
+        return row["line"]
+    overall = (df.where(F.col("line").isNotNull()).groupBy("line")
+               .agg(F.count(F.lit(1)).alias("_n"))
+               .agg(F.min_by("line", F.struct((-F.col("_n")).alias("neg_n"),
+                                               F.col("line").alias("v"))).alias("line"))
+               .first())
+    return overall["line"] if overall is not None else None
+
+
+def profile_for(spark, model, station: str, line: str, day: str, hours: str = "open") -> DataFrame:
+    """One combination's profile: ``hours="open"`` gives G1 (plotting hours
+    kept by the train mask), ``hours="all"`` gives G2 (0..23, closed = 0)."""
+    combo = spark.createDataFrame([(station, line, day)], "station string, line string, day string")
+    return open_hours_profile(model, combo) if hours == "open" else profile_24h(model, combo)

@@ -50,3 +50,11 @@ def test_events_for_one_day(spark, small_dir):
     out = events_for_day(listings, venues(spark), str(day), page_size=3).collect()
     assert 0 < len(out) <= 3 and all(str(r["event_date"]) == str(day) for r in out)
     assert [r["rank"] for r in out] == list(range(1, len(out) + 1))
+
+
+def test_typical_line_for_one_station(spark):
+    from farebox.operators.profile import typical_line_for
+    df = spark.createDataFrame([("Finch", "1"), ("finch ", "2"), ("Finch", "1"), ("Bay", "2"),
+                                ("Bay", "2"), ("Bay", "2")], "station string, line string")
+    assert typical_line_for(df, "FINCH") == "1"
+    assert typical_line_for(df, "Nowhere") == "2"
