@@ -46,6 +46,7 @@ CATEGORICAL = ["station", "line", "day"]
 NUMERIC = ["hour", "minute", "is_weekend"]
 FEATURES = CATEGORICAL + NUMERIC
 LABEL = "label"
+ROWS_PER_FIT_PARTITION = 50_000
 WEIGHT = "weight"
 
 # Fixed values of the reference model (trees, depth, rate, sampling, seed).
@@ -163,11 +164,20 @@ def fit_model(train: DataFrame, algo: str = "gbt", max_iter: int | None = None,
         stages = pipeline.getStages()
         stages[0] = WeightedModeImputer(inputCols=CATEGORICAL)
         pipeline = Pipeline(stages=stages)
-    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    # Boosting runs several jobs per tree over the same frame, so its
+    # partition count is sized from its row count (not the shuffle width):
+    # tiny tasks would cost more in scheduling than in work.
+    staged = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = staged.count()
+    parts = max(1, min(frame.sparkSession.sparkContext.defaultParallelism,
+                       -(-rows // ROWS_PER_FIT_PARTITION)))
+    fit_frame = staged.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    fit_frame.count()
+    staged.unpersist()
     try:
-        return pipeline.fit(frame)
+        return pipeline.fit(fit_frame)
     finally:
-        frame.unpersist()
+        fit_frame.unpersist()
 
 
 @dataclass
