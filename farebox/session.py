@@ -70,7 +70,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    # Unset (local tests only): register a fresh local folder.
+    if not sc.master.startswith("local"):
+        # A machine-local folder is invisible to other executors.
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    # Unset in local mode (tests): register a fresh local folder.
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="farebox-ckpt-"))
     return sc.getCheckpointDir()
 
