@@ -36,6 +36,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,7 +218,7 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame
     model = PipelineModel.load(f"{path}/pipeline")
     try:
         meta = spark.read.schema(META_SCHEMA).json(f"{path}/meta")
-    except Exception:  # no metadata written: version unknown, as the reference
+    except AnalysisException:  # no metadata written: version unknown, as the reference
         meta = spark.createDataFrame([(None,)], "model_version string")
     return model, meta.select(F.coalesce("model_version", F.lit("unknown")).alias("model_version"),
                               *[c for c in meta.columns if c != "model_version"])
