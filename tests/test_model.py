@@ -74,3 +74,13 @@ def test_missing_metadata_reads_unknown_version(spark, tmp_path):
     model.write().overwrite().save(str(tmp_path / "m" / "pipeline"))
     _, meta = ml.load_model(spark, str(tmp_path / "m"))
     assert meta.first()["model_version"] == "unknown"
+
+
+def test_compressed_linear_equals_raw_rows(spark):
+    train = spark.createDataFrame(ROWS, SCHEMA).withColumn(
+        "riders", F.col("riders").cast("decimal(18,2)"))
+    raw = ml.fit_model(train, algo="linear", compress=False).stages[-1]
+    packed = ml.fit_model(train, algo="linear", compress=True).stages[-1]
+    assert math.isclose(raw.intercept, packed.intercept, rel_tol=1e-7, abs_tol=1e-7)
+    assert all(math.isclose(a, b, rel_tol=1e-7, abs_tol=1e-7)
+               for a, b in zip(raw.coefficients, packed.coefficients))
