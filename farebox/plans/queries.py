@@ -14,26 +14,26 @@ from pyspark.sql import functions as F
 
 from farebox.functions import display as disp
 from farebox.functions.display import version_stamp
+from farebox.operators import context as ctx
 from farebox.operators import geo
+from farebox.operators import model as ml
 from farebox.operators import service_hours as sh
-from farebox.operators import context as ctx
 from farebox.operators.clean import clean_observations
-from farebox.operators import model as ml
-from farebox.operators.options import options_listing, options_long
-from farebox.operators.score import (parse_records, score, unknown_categories, validate,
-                                     vocabulary)
 from farebox.operators.evaluate import regression_metrics
+from farebox.operators.options import options_listing, options_long
 from farebox.operators.profile import (combinations, congestion_levels, open_hours_profile,
                                        profile_24h, typical_line)
+from farebox.operators.score import (parse_records, score, unknown_categories, validate,
+                                     vocabulary)
 from farebox.operators.split import bucket_split
 from farebox.plans.prepared import TRAINED_AT, baseline, prepare
 from farebox.session import scratch_path
+from farebox.sources.dimensions import venues
 from farebox.sources.observations import (observation_standin, raw_observations,
                                           read_observations_csv)
-from farebox.sources.dimensions import venues
-from farebox.streaming import scoring as stream_scoring
 from farebox.sources.payloads import clock_text_standin, landed_events, landed_weather
 from farebox.sources.requests import requests_for
+from farebox.streaming import scoring as stream_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,11 +101,9 @@ def split_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_split(prepare(spark, sf_dir).kept).select("obs_id", "is_test")
 
 
-def baseline_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M10 + A4 + K4: fit on the train part, R²/RMSE/MAE on the test part."""
-    prep = prepare(spark, sf_dir)
-    model, _ = baseline(prep)
-    metrics = regression_metrics(model.predict(prep.test))
+def _holdout(prep, scorer) -> DataFrame:
+    """Split sizes and hold-out metrics of ``scorer`` (anything with ``predict``)."""
+    metrics = regression_metrics(scorer.predict(prep.test))
     sizes = prep.split.agg(F.count_if(~F.col("is_test")).alias("n_train"),
                            F.count_if("is_test").alias("n_test")).first()
     return metrics.select(F.lit(sizes["n_train"]).cast("bigint").alias("n_train"),
@@ -113,6 +111,13 @@ def baseline_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("n").alias("n_scored"), "r2", "rmse", "mae")
 
 
+def baseline_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 + A4 + K4: fit on the train part, R²/RMSE/MAE on the test part."""
+    prep = prepare(spark, sf_dir)
+    model, _ = baseline(prep)
+    return _holdout(prep, model)
+
+
 def typical_line_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G3 + J4: typical line of every station in the train part."""
     return typical_line(prepare(spark, sf_dir).train)
@@ -286,15 +291,6 @@ def _fit(prep, algo: str = "gbt"):
     return ml.fit_model(prep.train, algo=algo, max_iter=QUERY_TREES if algo == "gbt" else None)
 
 
-def _holdout(prep, scorer) -> DataFrame:
-    metrics = regression_metrics(scorer.predict(prep.test))
-    sizes = prep.split.agg(F.count_if(~F.col("is_test")).alias("n_train"),
-                           F.count_if("is_test").alias("n_test")).first()
-    return metrics.select(F.lit(sizes["n_train"]).cast("bigint").alias("n_train"),
-                          F.lit(sizes["n_test"]).cast("bigint").alias("n_test"),
-                          F.col("n").alias("n_scored"), "r2", "rmse", "mae")
-
-
 def gbt_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2-M7 + A4: boosted trees fitted on the train part, scored on the test part."""
     prep = prepare(spark, sf_dir)
