@@ -4,6 +4,10 @@
                                        [--algo gbt|linear] [--trees 600]
     python -m farebox.plans.jobs score --model <model dir> --requests <json files>
                                        --out <output dir> [--strict]
+    python -m farebox.plans.jobs options --csv <observations.csv>
+    python -m farebox.plans.jobs profile --model <model dir> --station Finch --line 1
+                                         --day monday [--hours all|open]
+    python -m farebox.plans.jobs version --model <model dir>
 
 ``train`` is the reference's training script as one chain of Spark jobs:
 read (all text) -> clean -> drop null hours -> service-hours mask with
@@ -84,14 +88,36 @@ def main(argv=None) -> None:
     s.add_argument("--requests", required=True)
     s.add_argument("--out", required=True)
     s.add_argument("--strict", action="store_true")
+    o = sub.add_parser("options")
+    o.add_argument("--csv", required=True)
+    pr = sub.add_parser("profile")
+    pr.add_argument("--model", required=True)
+    pr.add_argument("--station", required=True)
+    pr.add_argument("--line", required=True)
+    pr.add_argument("--day", required=True)
+    pr.add_argument("--hours", default="all", choices=["all", "open"])
+    v = sub.add_parser("version")
+    v.add_argument("--model", required=True)
     args = p.parse_args(argv)
     spark = get_session()
     if args.cmd == "train":
         raw = read_observations_csv(spark, args.csv)
         print(train_job(spark, raw, args.out, algo=args.algo, max_iter=args.trees))
-    else:
+    elif args.cmd == "score":
         reqs = spark.read.schema("request_id bigint, body string").json(args.requests)
         score_job(spark, args.model, reqs, args.out, strict=args.strict)
+    elif args.cmd == "options":
+        from farebox.operators.options import options_listing
+        print(options_listing(spark, read_observations_csv(spark, args.csv)).first().asDict())
+    elif args.cmd == "profile":
+        from farebox.operators.profile import profile_for
+        model, _ = ml.load_model(spark, args.model)
+        day = args.day.strip().lower()
+        profile_for(spark, ml.PipelineScorer(model), args.station.strip(), args.line.strip(),
+                    day, args.hours).orderBy("hour").show(24, truncate=False)
+    else:
+        _, meta = ml.load_model(spark, args.model)
+        print(meta.first()["model_version"])
 
 
 if __name__ == "__main__":

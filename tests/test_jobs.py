@@ -50,3 +50,17 @@ def test_train_then_score_from_csv(spark, small_dir):
     assert scored.count() + rejected.filter("pos >= 0").count() > 0
     closed = scored.filter("hour between 2 and 5")
     assert closed.count() > 0 and closed.filter("riders != 0.0").count() == 0
+
+
+def test_cli_options_profile_version(spark, small_dir, capsys):
+    from farebox.plans.jobs import main
+    events = spark.read.parquet(f"{small_dir}/events.parquet")
+    csv = scratch_path(spark, "cli-csv")
+    observation_standin(spark, events).write.option("header", True).csv(csv)
+    out = scratch_path(spark, "cli-model")
+    main(["train", "--csv", csv, "--out", out, "--algo", "linear"])
+    main(["options", "--csv", csv])
+    main(["profile", "--model", out, "--station", "Finch", "--line", "1", "--day", "Monday"])
+    main(["version", "--model", out])
+    text = capsys.readouterr().out
+    assert "'hours': [0, 1, 2" in text and "Finch" in text and text.strip().splitlines()[-1].startswith("v")
