@@ -329,15 +329,15 @@ def gbt_profile_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The request stand-in landed as JSON files and scored by a
-    Structured Streaming query (one file per micro-batch); equals
+    """The request stand-in landed as JSON files (eight) and scored by a
+    Structured Streaming query, four files per micro-batch; equals
     ``scored_requests``."""
     model, _ = baseline(prepare(spark, sf_dir))
     landing = scratch_path(spark, "requests-landing")
     out = scratch_path(spark, "requests-scored")
-    stream_scoring.land_requests(requests_for(spark, sf_dir), landing)
+    stream_scoring.land_requests(requests_for(spark, sf_dir), landing, files=8)
     q = stream_scoring.start_scoring_stream(spark, landing, out, scratch_path(spark, "stream-ckpt"),
-                                            model, _model_version())
+                                            model, _model_version(), files_per_trigger=4)
     q.awaitTermination()
     return stream_scoring.read_output(spark, out, "scored")
 
