@@ -109,6 +109,9 @@ def build_pipeline(algo: str = "gbt", max_iter: int | None = None, weighted: boo
         VectorAssembler(inputCols=ohe + num, outputCol="features"),
     ]
     if algo == "gbt":
+        # checkpointInterval: boosting checkpoints its running predictions and
+        # errors every 10 trees in the shared checkpoint folder, so a 600-tree
+        # run keeps a short lineage and a lost executor does not replay it.
         params = dict(GBT_PARAMS, maxBins=max_bins, checkpointInterval=10)
         if max_iter is not None:
             params["maxIter"] = max_iter

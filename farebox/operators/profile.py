@@ -73,8 +73,10 @@ def congestion_levels(profile: DataFrame, low_q: float = 1 / 3, high_q: float =
                       accuracy: int = 1_000_000) -> DataFrame:
     """P23 (our semantics): network-wide thresholds at the given quantiles of
     open-hour riders, then low / medium / high. Thresholds come from a
-    bounded-memory quantile sketch; with fewer open rows than ``accuracy``
-    they are exact (nearest-rank)."""
+    quantile sketch merged across tasks; with fewer open rows than
+    ``accuracy`` they are exact (nearest-rank). The input is a profile,
+    bounded by stations x lines x days x 24 rather than by observations, so
+    the sketch stays bounded too."""
     open_rows = profile.filter("is_open")
     q = open_rows.agg(F.percentile_approx("riders", [low_q, high_q], accuracy).alias("q")).first()["q"]
     if q is None:
