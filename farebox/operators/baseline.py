@@ -56,6 +56,19 @@ class BaselineModel:
     fills: dict
     global_mean: float | None
     means: DataFrame  # station, line, day, hour, cell_mean
+    cells: DataFrame | None = None  # every filled train cell (cached), labelled or not
+
+    def combinations(self) -> DataFrame:
+        """Distinct filled (station, line, day) of the train part, read from
+        the cached cell table instead of another pass over the rows."""
+        return self.cells.select("station", "line", "day").distinct()
+
+    def vocabulary(self) -> DataFrame:
+        """Filled training categories in long form (feature, value)."""
+        return (self.cells.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))
+            for c in CATEGORICAL])).alias("kv")).select("kv.feature", "kv.value")
+            .where(F.col("value").isNotNull()).distinct())
 
     def impute(self, df: DataFrame) -> DataFrame:
         return fill_categorical(df, self.fills)
@@ -90,16 +103,16 @@ def fit_baseline(train: DataFrame, label: str = "riders") -> BaselineModel:
         F.min_by("val", F.struct((-F.col("n")).alias("neg_n"), F.col("val").alias("v")))
         .alias("val")).collect()}
     fills = {c: found.get(c) for c in CATEGORICAL}
-    cells = (fill_categorical(raw_cells, fills).groupBy(*CELL)
-             .agg(F.sum("cell_sum").alias("cell_sum"), F.sum("cell_n").alias("cell_n"))
-             .filter(F.col("cell_n") > 0)
-             .withColumn("cell_mean", F.col("cell_sum").cast("double") / F.col("cell_n"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    all_cells = (fill_categorical(raw_cells, fills).groupBy(*CELL)
+                 .agg(F.sum("cell_sum").alias("cell_sum"), F.sum("cell_n").alias("cell_n"))
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+    cells = (all_cells.filter(F.col("cell_n") > 0)
+             .withColumn("cell_mean", F.col("cell_sum").cast("double") / F.col("cell_n")))
     total = cells.agg(F.count(F.lit(1)).alias("rows"), F.sum("cell_sum").alias("s"),
                       F.sum("cell_n").alias("n")).first()
     global_mean = float(total["s"]) / total["n"] if total["n"] else None
-    raw_cells.unpersist()  # ``cells`` is cached now (the aggregate above filled it)
+    raw_cells.unpersist()  # ``all_cells`` is cached now (the aggregate above filled it)
     # The cell table is bounded by the category domains; its counted size
     # decides the broadcast.
     lookup = hint_if_small(cells.select(*CELL, "cell_mean"), total["rows"])
-    return BaselineModel(fills, global_mean, lookup)
+    return BaselineModel(fills, global_mean, lookup, all_cells)

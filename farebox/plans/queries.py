@@ -23,8 +23,7 @@ from farebox.operators.evaluate import regression_metrics
 from farebox.operators.options import options_listing, options_long
 from farebox.operators.profile import (combinations, congestion_levels, open_hours_profile,
                                        profile_24h, typical_line)
-from farebox.operators.score import (parse_records, score, unknown_categories, validate,
-                                     vocabulary)
+from farebox.operators.score import parse_records, score, unknown_categories, validate
 from farebox.operators.split import bucket_split
 from farebox.plans.prepared import TRAINED_AT, baseline, prepare
 from farebox.session import scratch_path
@@ -56,14 +55,14 @@ def present(df: DataFrame) -> DataFrame:
 def hourly_profile_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2 with M10: 24-hour profile of every station/line/day seen in the
     train part, closed hours exactly 0 riders (the flagship query)."""
-    model, filled_train = baseline(prepare(spark, sf_dir))
-    return profile_24h(model, combinations(filled_train))
+    model, _ = baseline(prepare(spark, sf_dir))
+    return profile_24h(model, model.combinations())
 
 
 def open_hours_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 with M10: each combination's open plotting hours with predictions."""
-    model, filled_train = baseline(prepare(spark, sf_dir))
-    return open_hours_profile(model, combinations(filled_train))
+    model, _ = baseline(prepare(spark, sf_dir))
+    return open_hours_profile(model, model.combinations())
 
 
 def clean_observations_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,9 +184,9 @@ def rejected_records_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unknown_request_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F12 + J8: request values outside the training vocabulary."""
-    _, filled_train = baseline(prepare(spark, sf_dir))
+    model, _ = baseline(prepare(spark, sf_dir))
     valid = _validated_requests(spark, sf_dir).filter(F.col("reason").isNull())
-    return unknown_categories(valid, vocabulary(filled_train))
+    return unknown_categories(valid, model.vocabulary())
 
 
 def weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
