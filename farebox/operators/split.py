@@ -81,14 +81,22 @@ def _find_cut(df: DataFrame, id_col: str, seed: int, test_share: float):
         prefix = bucket
 
 
-def exact_split(df: DataFrame, id_col: str = "obs_id", test_share: float = TEST_SHARE,
-                seed: int = SEED) -> DataFrame:
-    """Exactly ceil(share * n) test rows (smallest split keys); adds ``is_test``."""
+def exact_split_sized(df: DataFrame, id_col: str = "obs_id", test_share: float = TEST_SHARE,
+                      seed: int = SEED) -> tuple[DataFrame, int, int]:
+    """``exact_split`` plus the row count and test size, known from the cut
+    search (no extra pass)."""
     cut, total = _find_cut(df, id_col, seed, test_share)
+    n_test = min(n_test_for(total, test_share), total)
     if cut is None:
-        all_test = n_test_for(total, test_share) >= total and total > 0
-        return df.withColumn("is_test", F.lit(all_test))
+        all_test = n_test >= total and total > 0
+        return df.withColumn("is_test", F.lit(all_test)), total, (total if all_test else 0)
     cut_key, cut_id = cut
     k = split_key(id_col, seed)
     is_test = (k < F.lit(cut_key)) | ((k == F.lit(cut_key)) & (F.col(id_col) <= F.lit(cut_id)))
-    return df.withColumn("is_test", is_test)
+    return df.withColumn("is_test", is_test), total, n_test
+
+
+def exact_split(df: DataFrame, id_col: str = "obs_id", test_share: float = TEST_SHARE,
+                seed: int = SEED) -> DataFrame:
+    """Exactly ceil(share * n) test rows (smallest split keys); adds ``is_test``."""
+    return exact_split_sized(df, id_col, test_share, seed)[0]

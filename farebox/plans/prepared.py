@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from farebox.operators.baseline import BaselineModel, fit_baseline
 from farebox.operators.clean import clean_observations
 from farebox.operators.service_hours import mask_metrics, service_filter
-from farebox.operators.split import exact_split
+from farebox.operators.split import exact_split_sized
 from farebox.session import materialize
 from farebox.sources.observations import raw_observations
 
@@ -40,9 +40,19 @@ class Prepared:
         return service_filter(self.obs, n_open=self.n_open)
 
     @cached_property
+    def _split_sized(self) -> tuple[DataFrame, int, int]:
+        return exact_split_sized(self.kept)
+
+    @property
     def split(self) -> DataFrame:
         """``kept`` with ``is_test`` (the cut search runs on first use)."""
-        return exact_split(self.kept)
+        return self._split_sized[0]
+
+    @property
+    def sizes(self) -> tuple[int, int]:
+        """(n_train, n_test), known from the cut search."""
+        _, total, n_test = self._split_sized
+        return total - n_test, n_test
 
     @property
     def train(self) -> DataFrame:

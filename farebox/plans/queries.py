@@ -103,10 +103,9 @@ def split_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _holdout(prep, scorer) -> DataFrame:
     """Split sizes and hold-out metrics of ``scorer`` (anything with ``predict``)."""
     metrics = regression_metrics(scorer.predict(prep.test))
-    sizes = prep.split.agg(F.count_if(~F.col("is_test")).alias("n_train"),
-                           F.count_if("is_test").alias("n_test")).first()
-    return metrics.select(F.lit(sizes["n_train"]).cast("bigint").alias("n_train"),
-                          F.lit(sizes["n_test"]).cast("bigint").alias("n_test"),
+    n_train, n_test = prep.sizes
+    return metrics.select(F.lit(n_train).cast("bigint").alias("n_train"),
+                          F.lit(n_test).cast("bigint").alias("n_test"),
                           F.col("n").alias("n_scored"), "r2", "rmse", "mae")
 
 
