@@ -7,6 +7,7 @@ hour array (no cross join), scored by a single model pass.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +51,19 @@ def open_hours_profile(model, combos: DataFrame) -> DataFrame:
 def typical_line(df: DataFrame) -> DataFrame:
     """G3 + J4: most common line per station (matched case-insensitively),
     ties -> smallest; a station with no known line gets the most common
-    line overall. Two partial aggregates, no join back to the data."""
+    line overall. One partial aggregate over the rows builds a cached
+    (station, line) count table, bounded by the station and line domains;
+    the per-station choice and the network-wide fallback both read it."""
     keyed = df.select(F.lower(strip("station")).alias("station_key"), "line")
-    counted = (keyed.where(F.col("station_key").isNotNull())
-               .groupBy("station_key", "line").agg(F.count(F.lit(1)).alias("_n")))
+    # Rows without a station stay in the table: they count for the fallback.
+    counted = (keyed.groupBy("station_key", "line").agg(F.count(F.lit(1)).alias("_n"))
+               .persist(StorageLevel.MEMORY_AND_DISK))
     order = F.struct(F.col("line").isNull().alias("missing"),
                      (-F.col("_n")).alias("neg_n"), F.col("line").alias("v"))
-    per_station = counted.groupBy("station_key").agg(F.min_by("line", order).alias("line"))
-    overall = (keyed.where(F.col("line").isNotNull()).groupBy("line")
-               .agg(F.count(F.lit(1)).alias("_n"))
+    per_station = (counted.where(F.col("station_key").isNotNull()).groupBy("station_key")
+                   .agg(F.min_by("line", order).alias("line")))
+    overall = (counted.where(F.col("line").isNotNull()).groupBy("line")
+               .agg(F.sum("_n").alias("_n"))
                .agg(F.min_by("line", F.struct((-F.col("_n")).alias("neg_n"),
                                                F.col("line").alias("v"))).alias("line"))
                .first())

@@ -58,3 +58,11 @@ def test_typical_line_for_one_station(spark):
                                 ("Bay", "2"), ("Bay", "2")], "station string, line string")
     assert typical_line_for(df, "FINCH") == "1"
     assert typical_line_for(df, "Nowhere") == "2"
+
+
+def test_typical_line_fallback_counts_rows_without_station(spark):
+    # Overall mode over all rows: "9" (3 rows, two of them without a station).
+    df = spark.createDataFrame([(None, "9"), (None, "9"), ("A", "9"), ("A", "1"), ("A", "1"),
+                                ("B", None)], "station string, line string")
+    got = {r["station_key"]: r["line"] for r in typical_line(df).collect()}
+    assert got == {"a": "1", "b": "9"}
