@@ -1,4 +1,4 @@
-"""Aggregates the reference relies on: A1, A2, A6.
+"""Aggregates the reference relies on: A1, A6 (A2 lives in ``options``).
 
 ``most_frequent`` is computed as two grouped aggregates instead of one
 ``mode`` map per group: the first counts (key, value) pairs with map-side
@@ -33,10 +33,3 @@ def most_frequent_value(df: DataFrame, value: str):
     """Scalar mode (one small action); ``None`` when every value is null."""
     row = most_frequent(df, value).first()
     return None if row is None else row[0]
-
-
-def sorted_distinct(df: DataFrame, value, alias: str) -> DataFrame:
-    """A2 (long form): distinct non-null values, ascending codepoint order."""
-    c = F.col(value) if isinstance(value, str) else value
-    return (df.select(c.alias(alias)).where(F.col(alias).isNotNull())
-            .distinct().orderBy(alias))

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from farebox.functions.hours import hour_24_to_0, is_weekend
 from farebox.functions.text import norm_day, strip, to_number
 
-CLEAN_COLUMNS = ["obs_id", "station", "line", "day", "hour", "minute",
-                 "is_weekend", "riders", "service_date"]
-
 
 def normalise(raw: DataFrame) -> DataFrame:
     """Typed, normalised columns (no rows removed).

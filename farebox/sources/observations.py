@@ -21,9 +21,6 @@ from farebox.functions.text import null_tokens
 from farebox.sources.dimensions import station_rows
 from farebox.sources.literal import literal_frame
 
-RAW_COLUMNS = ["obs_id", "station", "line", "day", "hour", "riders", "date"]
-
-
 def lower_names(df: DataFrame) -> DataFrame:
     """Lower-case every column name."""
     return df.toDF(*[c.lower() for c in df.columns])
