@@ -1,16 +1,14 @@
 """Time features and display formatting: P13-P18, P21, P22.
 
-All JVM-side except ``to_fixed``: JavaScript's ``toFixed`` rounds the exact
-binary value of a double, while every Spark formatter rounds its shortest
-decimal form (43.64545 gives 43.6455 in Spark, 43.6454 in a browser), so
-that one helper is an Arrow-batched pandas UDF.
+Column expressions, but for ``to_fixed``, which formats the literals of the
+fixed station table on the driver.
 """
 
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,30 +94,9 @@ def tod_cos(mod) -> Column:
     return F.cos(F.lit(TWO_PI) * _col(mod) / 1440)
 
 
-def to_fixed(x, digits: int = 4) -> Column:
-    """JavaScript ``x.toFixed(digits)`` (exact binary value, ties away
-    from zero on the magnitude).
-
-    The per-value helper is nested and uses only the standard library, so the
-    UDF is shipped to Python workers by value and needs no package import
-    there.
-    """
-
-    def fixed_text(v):
-        import math
-        from decimal import ROUND_HALF_UP, Decimal
-        if v is None or math.isnan(v):
-            return None
-        if math.isinf(v):
-            return "Infinity" if v > 0 else "-Infinity"
-        q = Decimal(v).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP)
-        text = f"{q:f}"
-        if text.startswith("-") and q == 0 and v == 0:
-            text = text[1:]  # -0.0 prints without a sign in JavaScript
-        return text
-
-    @F.pandas_udf("string")
-    def _fixed(s: pd.Series) -> pd.Series:
-        return s.map(fixed_text)
-
-    return _fixed(_col(x).cast("double"))
+def to_fixed(x: float, digits: int = 4) -> str:
+    """JavaScript ``x.toFixed(digits)`` (exact binary value, ties away from
+    zero), for the literals of a fixed table. Spark's formatters round the
+    shortest decimal form instead (43.64545 gives 43.6455, a browser 43.6454)."""
+    text = f"{Decimal(x).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP):f}"
+    return text[1:] if x == 0 and text.startswith("-") else text     # -0.0 prints without a sign

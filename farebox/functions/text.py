@@ -37,7 +37,13 @@ def null_tokens(c) -> Column:
     return F.when(c.isin(NA_TOKENS), F.lit(None).cast("string")).otherwise(c)
 
 
+# A decimal number or infinity. Spark's cast alone would also take Java's
+# suffixes and hexadecimal floats ("6d", "0x1p3").
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
+
+
 def to_number(c) -> Column:
     """Numeric coercion; unparsable text and NaN become null."""
-    d = _col(c).try_cast("double")
+    text = _col(c).cast("string")
+    d = F.when(text.rlike(NUMBER), text.try_cast("double"))
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)

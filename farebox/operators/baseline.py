@@ -9,8 +9,7 @@ metrics, scoring and profiles can be checked exactly against SQL.
 * prediction: mean riders of the train rows with the same (station, line,
   day, hour); the global train mean where that cell was never seen
 
-Means are exact: riders are summed as decimals, converted to double once and
-divided by the count.
+Means are sums of doubles by counts; queries round what they derive from them.
 """
 
 from __future__ import annotations
@@ -22,16 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.operators.aggregates import most_frequent
-from farebox.operators.joins import hint_if_small
+from farebox.session import materialize
 
 CATEGORICAL = ["station", "line", "day"]
 CELL = ["station", "line", "day", "hour"]
 
 
-def exact_mean(c: str = "riders"):
-    return F.sum(c).cast("double") / F.count(c)
-
-
 def categorical_modes(train: DataFrame, columns=CATEGORICAL) -> dict:
     """Every column's mode in one pass (long form, grouped by column)."""
     long = train.select(F.explode(F.array(*[
@@ -56,11 +51,11 @@ class BaselineModel:
     fills: dict
     global_mean: float | None
     means: DataFrame  # station, line, day, hour, cell_mean
-    cells: DataFrame | None = None  # every filled train cell (cached), labelled or not
+    cells: DataFrame | None = None  # every filled train cell (stored), labelled or not
 
     def combinations(self) -> DataFrame:
         """Distinct filled (station, line, day) of the train part, read from
-        the cached cell table instead of another pass over the rows."""
+        the stored cell table instead of another pass over the rows."""
         return self.cells.select("station", "line", "day").distinct()
 
     def vocabulary(self) -> DataFrame:
@@ -74,7 +69,6 @@ class BaselineModel:
         return fill_categorical(df, self.fills)
 
     def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        # ``means`` already carries the broadcast decision made at fit time.
         filled = self.impute(df)
         joined = filled.join(self.means, CELL, "left")
         pred = F.coalesce(F.col("cell_mean"), F.lit(self.global_mean).cast("double"))
@@ -85,7 +79,7 @@ def fit_baseline(train: DataFrame, label: str = "riders") -> BaselineModel:
     """One grouped pass over the train part, then work on a bounded table.
 
     Rows are grouped on the raw cell keys (a null key is its own group) with
-    the row count, the exact decimal label sum and the label count. The
+    the row count, the label sum and the label count. The
     categorical modes come from that table (row counts summed per value), the
     null keys are then filled and the table re-aggregated: the same cells and
     means as filling every row first, without a second pass over the data.
@@ -103,16 +97,12 @@ def fit_baseline(train: DataFrame, label: str = "riders") -> BaselineModel:
         F.min_by("val", F.struct((-F.col("n")).alias("neg_n"), F.col("val").alias("v")))
         .alias("val")).collect()}
     fills = {c: found.get(c) for c in CATEGORICAL}
-    all_cells = (fill_categorical(raw_cells, fills).groupBy(*CELL)
-                 .agg(F.sum("cell_sum").alias("cell_sum"), F.sum("cell_n").alias("cell_n"))
-                 .persist(StorageLevel.MEMORY_AND_DISK))
+    all_cells = materialize(train.sparkSession, fill_categorical(raw_cells, fills).groupBy(*CELL)
+                            .agg(F.sum("cell_sum").alias("cell_sum"), F.sum("cell_n").alias("cell_n")), "cells")
+    raw_cells.unpersist()
     cells = (all_cells.filter(F.col("cell_n") > 0)
              .withColumn("cell_mean", F.col("cell_sum").cast("double") / F.col("cell_n")))
-    total = cells.agg(F.count(F.lit(1)).alias("rows"), F.sum("cell_sum").alias("s"),
-                      F.sum("cell_n").alias("n")).first()
+    total = cells.agg(F.sum("cell_sum").alias("s"), F.sum("cell_n").alias("n")).first()
     global_mean = float(total["s"]) / total["n"] if total["n"] else None
-    raw_cells.unpersist()  # ``all_cells`` is cached now (the aggregate above filled it)
-    # The cell table is bounded by the category domains; its counted size
-    # decides the broadcast.
-    lookup = hint_if_small(cells.select(*CELL, "cell_mean"), total["rows"])
-    return BaselineModel(fills, global_mean, lookup, all_cells)
+    # The cell table is a small file; the planner broadcasts it by its bytes.
+    return BaselineModel(fills, global_mean, cells.select(*CELL, "cell_mean"), all_cells)

@@ -20,19 +20,23 @@ def normalise(raw: DataFrame) -> DataFrame:
     * day: lower + strip; station, line: strip, case kept
     * hour: numeric (text that does not parse becomes null), 24 -> 0
     * minute: constant 0; is_weekend from the normalised day
-    * riders: exact decimal(18,2); service_date when a ``date`` column exists
+    * riders: double; service_date when a ``date`` column exists
+    * obs_id: the input's whole-number id, else a hash of the row's text (rows
+      with equal text then share an id and stay on one side of a split)
     """
     day = norm_day("day")
     has_date = "date" in raw.columns
+    content = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in raw.columns if c != "obs_id"])
+    row_id = F.coalesce(F.col("obs_id").try_cast("bigint"), content) if "obs_id" in raw.columns else content
     return raw.select(
-        F.col("obs_id").cast("bigint").alias("obs_id"),
+        row_id.alias("obs_id"),
         strip("station").alias("station"),
         strip("line").alias("line"),
         day.alias("day"),
         hour_24_to_0(to_number("hour")).alias("hour"),
         F.lit(0).alias("minute"),
         is_weekend(day).alias("is_weekend"),
-        F.col("riders").try_cast("decimal(18,2)").alias("riders"),
+        to_number("riders").alias("riders"),
         (F.col("date").try_cast("date") if has_date else F.lit(None).cast("date"))
         .alias("service_date"),
     )

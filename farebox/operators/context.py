@@ -2,10 +2,9 @@
 
 Landed responses are parsed with ``from_json`` against a fixed schema in
 which every level is optional, so a missing key is a null, never an error.
-Fusion with the observations goes through small per-day lookup tables
-(at most 24 rows per date for weather, one per date for events) whose size
-is checked before they are broadcast; the observation side never shuffles
-for them.
+Fusion with the observations goes through small per-day lookup tables (24
+rows per date for weather, one per date for events), which the planner
+broadcasts by their bytes.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 
 from farebox.functions.display import event_line
 from farebox.functions.hours import all_hours
-from farebox.operators.joins import lookup_join
 
 WEATHER_SCHEMA = "struct<current: struct<temp_c: double, condition: struct<text: string>>>"
 EVENT_TYPE = ("struct<id: string, name: string, "
@@ -113,35 +111,40 @@ def events_for_day(listings: DataFrame, venues: DataFrame, day: str,
     return daily_listing(one_day, venues, page_size)
 
 
-def event_windows(listings: DataFrame, venues: DataFrame) -> DataFrame:
-    """P11 + P12: per event day, the request window and the comma-joined ids
-    of the chosen venues with events that day."""
+def event_windows(days: DataFrame, listings: DataFrame, venues: DataFrame, venue_ids: list[str]) -> DataFrame:
+    """P11 + P12: per requested day (``days(event_date)``), with or without
+    events, the request window, the chosen venue ids joined in list order, and
+    the number of their events listed for the day."""
     lo, hi = day_window("event_date")
-    per_day = (chosen_venue_events(listings, venues).filter(F.col("event_date").isNotNull())
-               .groupBy("event_date")
-               .agg(F.array_join(F.array_sort(F.collect_set("venue_id")), ",").alias("venue_query"),
-                    F.count(F.lit(1)).alias("n_events")))
-    return per_day.select("event_date", lo.alias("start_bound"), hi.alias("end_bound"),
-                          "venue_query", "n_events")
-
-
-def hourly_weather(readings: DataFrame) -> DataFrame:
-    """Per (date, hour): the latest reading at or before the end of that hour
-    on the same date (null before the day's first reading).
-
-    The latest reading within each hour is one grouped aggregate; carrying
-    it forward is a window partitioned by date over at most 24 rows.
+    found = (chosen_venue_events(listings, venues).filter(F.col("event_date").isNotNull())
+             .groupBy("event_date").agg(F.count(F.lit(1)).alias("n_events")))
+    return days.select("event_date").distinct().join(found, "event_date", "left").select(
+        "event_date", lo.alias("start_bound"), hi.alias("end_bound"), F.lit(",".join(venue_ids)).alias("venue_query"),
+        F.coalesce("n_events", F.lit(0).cast("bigint")).alias("n_events"))
+
+
+def hourly_weather(readings: DataFrame, dates: DataFrame) -> DataFrame:
+    """J6, per (date, hour) of ``dates(service_date)``: the latest reading at or
+    before the start of the hour, be it from an earlier day (null before the
+    first reading of all).
+
+    A reading counts from the next full hour on (its own if it is on the hour).
+    The latest per hour is a grouped aggregate. Carrying forward takes a window
+    over the 24 hours of a date, and one over a table with one row per date
+    for what the days before left.
     """
-    r = readings.select(F.col("fetched_at").cast("date").alias("service_date"),
-                        F.hour("fetched_at").alias("hour"),
-                        F.struct("fetched_at", "temp_c", "condition").alias("rd"))
-    latest = r.groupBy("service_date", "hour").agg(F.max("rd").alias("rd"))
-    grid = (latest.select("service_date").distinct()
-            .select("service_date", F.explode(all_hours()).alias("hour")))
-    w = (Window.partitionBy("service_date").orderBy("hour")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    start = F.date_trunc("hour", "fetched_at")
+    counts_from = F.when(F.col("fetched_at") == start, start).otherwise(start + F.expr("INTERVAL 1 HOUR"))
+    latest = (readings.select(counts_from.alias("at"), F.struct("fetched_at", "temp_c", "condition").alias("rd"))
+              .groupBy(F.col("at").cast("date").alias("service_date"), F.hour("at").alias("hour")).agg(F.max("rd").alias("rd")))
+    last = latest.groupBy("service_date").agg(F.max("rd").alias("last_rd"))
+    every = dates.select("service_date").where("service_date is not null").unionByName(last.select("service_date")).distinct()
+    before = Window.orderBy("service_date").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.join(last, "service_date", "left").withColumn("before", F.last("last_rd", ignorenulls=True).over(before))
+    grid = carried.select("service_date", "before", F.explode(all_hours()).alias("hour"))
+    so_far = Window.partitionBy("service_date").orderBy("hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = (grid.join(latest, ["service_date", "hour"], "left")
-              .withColumn("rd", F.last("rd", ignorenulls=True).over(w)))
+              .withColumn("rd", F.coalesce(F.last("rd", ignorenulls=True).over(so_far), "before")))
     return filled.select("service_date", "hour",
                          F.col("rd.fetched_at").alias("weather_at"),
                          F.col("rd.temp_c").alias("temp_c"),
@@ -161,9 +164,9 @@ def fuse_context(obs: DataFrame, readings: DataFrame, listings: DataFrame,
                  venues: DataFrame) -> DataFrame:
     """J6 + J7: each observation with the weather in force at its hour and
     the day's event count and capacity (0 when there were none)."""
-    weather = hourly_weather(readings)
+    weather = hourly_weather(readings, obs)
     events = daily_events(listings, venues)
-    with_weather = lookup_join(obs, weather, ["service_date", "hour"], "left")
-    fused = lookup_join(with_weather, events, ["service_date"], "left")
+    with_weather = obs.join(weather, ["service_date", "hour"], "left")
+    fused = with_weather.join(events, ["service_date"], "left")
     return fused.withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("bigint"))) \
                 .withColumn("event_capacity", F.coalesce("event_capacity", F.lit(0).cast("bigint")))

@@ -1,9 +1,11 @@
 """Hold-out metrics: A4, K4.
 
 One aggregate pass. R² is ``1 - SSres / SStot`` (not the squared
-correlation). SStot comes from exact decimal sums of the label, so it does
-not depend on summation order; a constant label gives R² = 1 when every
-residual is 0 and 0 otherwise. Derived floats are rounded to 6 places.
+correlation). SStot is n times the label's population variance, which Spark
+merges from running means and never as a difference of large sums, so a label
+of little spread keeps its digits. A constant label (smallest = largest)
+gives R² = 1 when every residual is 0 and 0 otherwise. Derived floats are
+rounded to 6 places.
 """
 
 from __future__ import annotations
@@ -21,14 +23,13 @@ def regression_metrics(df: DataFrame, label: str = "riders",
     resid = y.cast("double") - p
     sums = (df.filter(y.isNotNull() & p.isNotNull())
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.sum(y).cast("double").alias("sy"),
-                 F.sum(y * y).cast("double").alias("syy"),
+                 F.var_pop(y.cast("double")).alias("variance"),
+                 (F.min(y) == F.max(y)).alias("constant"),
                  F.sum(resid * resid).alias("sse"),
                  F.sum(F.abs(resid)).alias("sae")))
     n = F.col("n")
-    ss_tot = F.col("syy") - F.col("sy") * F.col("sy") / n
-    r2 = (F.when(ss_tot == 0, F.when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-          .otherwise(F.lit(1.0) - F.col("sse") / ss_tot))
+    r2 = (F.when(F.col("constant"), F.when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+          .otherwise(F.lit(1.0) - F.col("sse") / (F.col("variance") * n)))
     # "+ 0.0" turns a rounded -0.0 into 0.0 (engines differ on its sign).
     return sums.select(
         n.alias("n"),

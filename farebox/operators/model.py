@@ -7,7 +7,8 @@ A ``pyspark.ml`` Pipeline mirroring the reference's preprocessing:
   with ``handleInvalid="keep"`` puts unseen and null labels in an extra last
   index and ``OneHotEncoder(dropLast=True)`` drops exactly that index, so n
   known levels give n columns.
-* numeric columns (hour, minute, is_weekend): null -> mean.
+* numeric columns (hour, minute, is_weekend): null -> mean over the rows
+  (compressed rows count by their weight).
 * regressor: ``GBTRegressor`` (600 trees, depth 5, step 0.05, row sampling
   0.9, feature sampling 0.9 per node, squared loss, seed 42) or
   ``LinearRegression``.
@@ -22,6 +23,13 @@ equal those on the raw rows (rows with equal features never separate). The
 one difference is that row sub-sampling draws aggregated rows, not raw
 rows. Boosting then iterates over a bounded, cached table instead of
 re-reading the observations on every iteration.
+
+Reproducibility. Boosting draws its row samples partition by partition, so
+the rows are dealt to ``FIT_PARTITIONS`` partitions by a hash of their
+features and sorted inside, whatever the layout of the input or the width of
+the cluster. The mean labels are rounded to 9 places, which removes what is
+left of the order of summation. Raw-row training (``compress=False``) on large
+data should pass more partitions; the result belongs to that number.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -47,13 +55,14 @@ CATEGORICAL = ["station", "line", "day"]
 NUMERIC = ["hour", "minute", "is_weekend"]
 FEATURES = CATEGORICAL + NUMERIC
 LABEL = "label"
-ROWS_PER_FIT_PARTITION = 50_000
+FIT_PARTITIONS = 4
 WEIGHT = "weight"
 
 # Fixed values of the reference model (trees, depth, rate, sampling, seed).
 GBT_PARAMS = dict(maxIter=600, maxDepth=5, stepSize=0.05, subsamplingRate=0.9,
                   featureSubsetStrategy="0.9", lossType="squared", seed=42)
-SERVICE_HOURS_RULE = "Mon-Fri 06:00-01:30; Sat-Sun 08:00-01:30 (next day)."
+# Fixed value: the rule as the metadata states it.
+SERVICE_HOURS_RULE = "Mon–Fri 06:00–01:30; Sat–Sun 08:00–01:30 (next day)."
 
 
 class _HasFills(Params):
@@ -95,6 +104,42 @@ class CategoricalModeImputer(Estimator, HasInputCols, DefaultParamsReadable, Def
                                            fills=json.dumps(categorical_modes(df, cols)))
 
 
+class NumericMeanImputerModel(Model, HasInputCols, _HasFills,
+                              DefaultParamsReadable, DefaultParamsWritable):
+    """Adds ``<column>_num``: the column as double, nulls replaced by the fitted mean."""
+
+    def __init__(self, inputCols=None, fills=None):
+        super().__init__()
+        self._setDefault(fills="{}")
+        if inputCols is not None:
+            self._set(inputCols=inputCols)
+        if fills is not None:
+            self._set(fills=fills)
+
+    def fill_values(self) -> dict:
+        return json.loads(self.getOrDefault(self.fills))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        fills = self.fill_values()
+        return df.withColumns({f"{c}_num": F.coalesce(F.col(c).cast("double"), F.lit(fills[c]).cast("double"))
+                               for c in self.getInputCols()})
+
+
+class NumericMeanImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Mean per column over the rows; a ``weight`` column, if any, counts a row so often."""
+
+    def __init__(self, inputCols=None):
+        super().__init__()
+        if inputCols is not None:
+            self._set(inputCols=inputCols)
+
+    def _fit(self, df: DataFrame) -> NumericMeanImputerModel:
+        cols = self.getInputCols()
+        weight = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1.0)
+        row = df.agg(*[(F.sum(F.col(c) * weight) / F.sum(F.when(F.col(c).isNotNull(), weight))).alias(c) for c in cols]).first()
+        return NumericMeanImputerModel(inputCols=cols, fills=json.dumps({c: row[c] for c in cols}))
+
+
 def build_pipeline(algo: str = "gbt", max_iter: int | None = None, weighted: bool = False,
                    max_bins: int = 32) -> Pipeline:
     idx = [f"{c}_idx" for c in CATEGORICAL]
@@ -105,7 +150,7 @@ def build_pipeline(algo: str = "gbt", max_iter: int | None = None, weighted: boo
         StringIndexer(inputCols=CATEGORICAL, outputCols=idx, handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
-        Imputer(strategy="mean", inputCols=NUMERIC, outputCols=num),
+        NumericMeanImputer(inputCols=NUMERIC),
         VectorAssembler(inputCols=ohe + num, outputCol="features"),
     ]
     if algo == "gbt":
@@ -135,9 +180,9 @@ def training_frame(train: DataFrame, label: str = "riders", compress: bool = Tru
         return rows.select(*FEATURES, F.col("_y").cast("double").alias(LABEL))
     # Null categorical cells are filled after fitting the imputer; group on raw
     # values here (null is its own group) so the imputer sees true frequencies
-    # through the weights. Exact decimal sums keep the mean order-independent.
+    # through the weights.
     return (rows.groupBy(*FEATURES)
-            .agg((F.sum("_y").cast("double") / F.count("_y")).alias(LABEL),
+            .agg(F.round(F.sum(F.col("_y").cast("double")) / F.count("_y"), 9).alias(LABEL),
                  F.count("_y").cast("double").alias(WEIGHT)))
 
 
@@ -160,7 +205,7 @@ class WeightedModeImputer(CategoricalModeImputer):
 
 
 def fit_model(train: DataFrame, algo: str = "gbt", max_iter: int | None = None,
-              compress: bool = True) -> PipelineModel:
+              compress: bool = True, partitions: int = FIT_PARTITIONS) -> PipelineModel:
     """M7: fit on the train part only."""
     frame = training_frame(train, compress=compress)
     pipeline = build_pipeline(algo, max_iter, weighted=compress)
@@ -168,20 +213,13 @@ def fit_model(train: DataFrame, algo: str = "gbt", max_iter: int | None = None,
         stages = pipeline.getStages()
         stages[0] = WeightedModeImputer(inputCols=CATEGORICAL)
         pipeline = Pipeline(stages=stages)
-    # Boosting runs several jobs per tree over the same frame, so its
-    # partition count is sized from its row count (not the shuffle width):
-    # tiny tasks would cost more in scheduling than in work.
-    staged = frame.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = staged.count()
-    parts = max(1, min(frame.sparkSession.sparkContext.defaultParallelism,
-                       -(-rows // ROWS_PER_FIT_PARTITION)))
-    fit_frame = staged.coalesce(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    fit_frame.count()
-    staged.unpersist()
+    # Boosting runs several jobs per tree over this frame.
+    dealt = (frame.repartition(partitions, *FEATURES).sortWithinPartitions(*FEATURES, LABEL)
+             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        return pipeline.fit(fit_frame)
+        return pipeline.fit(dealt)
     finally:
-        fit_frame.unpersist()
+        dealt.unpersist()
 
 
 @dataclass
@@ -213,15 +251,24 @@ META_SCHEMA = ("model_version string, features array<string>, algo string, "
 def save_model(model: PipelineModel, meta: DataFrame, path: str) -> None:
     """K1 + K2: pipeline directory plus a JSON metadata file beside it."""
     model.write().overwrite().save(f"{path}/pipeline")
+    write_metadata(meta, path)
+
+
+def write_metadata(meta: DataFrame, path: str) -> None:
+    """K2: the one-row metadata as a JSON file."""
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    """K1 + K2: the pipeline and its metadata; a missing version reads "unknown"."""
-    model = PipelineModel.load(f"{path}/pipeline")
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """K2: the metadata; a missing file or version reads "unknown"."""
     try:
         meta = spark.read.schema(META_SCHEMA).json(f"{path}/meta")
     except AnalysisException:  # no metadata written: version unknown, as the reference
         meta = spark.createDataFrame([(None,)], "model_version string")
-    return model, meta.select(F.coalesce("model_version", F.lit("unknown")).alias("model_version"),
-                              *[c for c in meta.columns if c != "model_version"])
+    return meta.select(F.coalesce("model_version", F.lit("unknown")).alias("model_version"),
+                       *[c for c in meta.columns if c != "model_version"])
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
+    """K1 + K2: the pipeline and its metadata."""
+    return PipelineModel.load(f"{path}/pipeline"), read_metadata(spark, path)

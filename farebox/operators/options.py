@@ -2,8 +2,8 @@
 
 Long form first: the three text columns are stacked into (kind, value) in
 one projection and de-duplicated with one shuffle, so the work grows with
-the distinct values, never with a single group. The one-row listing with
-arrays is built from that long form only after its size is checked.
+the distinct values. The one-row listing gathers those distinct values, whose
+number is that of the network's stations, lines and day names.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from farebox.functions.text import norm_day, strip
 
-MAX_LISTED_VALUES = 100_000
-
 
 def options_long(spark: SparkSession, raw: DataFrame) -> DataFrame:
     """(kind, value): hours 0..23, and the distinct non-null days (lower +
@@ -30,14 +28,10 @@ def options_long(spark: SparkSession, raw: DataFrame) -> DataFrame:
     return found.unionByName(hours)
 
 
-def options_listing(spark: SparkSession, raw: DataFrame,
-                    max_values: int = MAX_LISTED_VALUES) -> DataFrame:
+def options_listing(spark: SparkSession, raw: DataFrame) -> DataFrame:
     """G4 shape: one row ``hours array<int>, days, stations, lines array<string>``,
     each sorted ascending (codepoint order)."""
     long = options_long(spark, raw).filter(F.col("kind") != "hour")
-    n = long.count()
-    if n > max_values:
-        raise ValueError(f"{n} distinct option values exceed {max_values}; use options_long")
     per_kind = long.groupBy("kind").agg(F.array_sort(F.collect_list("value")).alias("vals"))
     lists = per_kind.agg(*[
         F.coalesce(F.max(F.when(F.col("kind") == k, F.col("vals"))),

@@ -7,13 +7,13 @@ hour array (no cross join), scored by a single model pass.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farebox.functions.hours import all_hours, hours_for_daytype, is_weekend, service_open
 from farebox.functions.display import title_day
 from farebox.functions.text import strip
+from farebox.session import materialize
 
 COMBO = ["station", "line", "day"]
 
@@ -51,13 +51,13 @@ def open_hours_profile(model, combos: DataFrame) -> DataFrame:
 def typical_line(df: DataFrame) -> DataFrame:
     """G3 + J4: most common line per station (matched case-insensitively),
     ties -> smallest; a station with no known line gets the most common
-    line overall. One partial aggregate over the rows builds a cached
+    line overall. One partial aggregate over the rows builds a stored
     (station, line) count table, bounded by the station and line domains;
     the per-station choice and the network-wide fallback both read it."""
     keyed = df.select(F.lower(strip("station")).alias("station_key"), "line")
     # Rows without a station stay in the table: they count for the fallback.
-    counted = (keyed.groupBy("station_key", "line").agg(F.count(F.lit(1)).alias("_n"))
-               .persist(StorageLevel.MEMORY_AND_DISK))
+    counted = materialize(df.sparkSession, keyed.groupBy("station_key", "line").agg(F.count(F.lit(1)).alias("_n")),
+                          "line-counts")
     order = F.struct(F.col("line").isNull().alias("missing"),
                      (-F.col("_n")).alias("neg_n"), F.col("line").alias("v"))
     per_station = (counted.where(F.col("station_key").isNotNull()).groupBy("station_key")
@@ -74,19 +74,16 @@ def typical_line(df: DataFrame) -> DataFrame:
         F.col("line").isNull().alias("is_fallback"))
 
 
-def congestion_levels(profile: DataFrame, low_q: float = 1 / 3, high_q: float = 2 / 3,
-                      accuracy: int = 1_000_000) -> DataFrame:
+def congestion_levels(profile: DataFrame, low_q: float = 1 / 3, high_q: float = 2 / 3) -> DataFrame:
     """P23 (our semantics): network-wide thresholds at the given quantiles of
-    open-hour riders, then low / medium / high. Thresholds come from a
-    quantile sketch merged across tasks; with fewer open rows than
-    ``accuracy`` they are exact (nearest-rank). The input is a profile,
-    bounded by stations x lines x days x 24 rather than by observations, so
-    the sketch stays bounded too."""
-    open_rows = profile.filter("is_open")
-    q = open_rows.agg(F.percentile_approx("riders", [low_q, high_q], accuracy).alias("q")).first()["q"]
-    if q is None:
+    open-hour riders, then low / medium / high. Thresholds are exact (the
+    smallest value that the share of rows reaches), from counts of distinct
+    values merged across tasks; a profile is bounded by stations x lines x days
+    x 24, not by observations. It is read twice, so pass a stored one."""
+    low, high = profile.filter("is_open").agg(*[
+        F.expr(f"percentile_disc({q!r}D) WITHIN GROUP (ORDER BY riders)") for q in (low_q, high_q)]).first()
+    if low is None:
         return profile.withColumn("level", F.lit(None).cast("string"))
-    low, high = q
     level = (F.when(~F.col("is_open"), F.lit("closed"))
              .when(F.col("riders") <= low, F.lit("low"))
              .when(F.col("riders") <= high, F.lit("medium"))

@@ -7,7 +7,8 @@ partitioning or file layout (``randomSplit`` is not).
 * ``bucket_split``: test when the key's leading 32 bits mod 100 fall below
   the test share; a pure row expression, no shuffle.
 * ``exact_split``: exactly ``ceil(share * n)`` test rows, the rows with the
-  smallest (key, id). No global sort and no single-partition window: the
+  smallest (key, id). Rows that share an id stay on one side, so an id that
+  many rows share can make the test part larger. No global sort and no single-partition window: the
   cut point is found by histogram refinement over key prefixes. Each level
   is one grouped count over at most 4,096 prefixes (collected: 4,096 small
   rows), narrowing the boundary by 4,096x; once the boundary bucket holds at
@@ -51,7 +52,7 @@ def n_test_for(n: int, test_share: float = TEST_SHARE) -> int:
 
 
 def _find_cut(df: DataFrame, id_col: str, seed: int, test_share: float):
-    """(key, id) of the last test row, or None when no cut is needed; plus n."""
+    """(key, id) of the last test row, or None when no cut is needed; n; the test size."""
     keyed = df.select(split_key(id_col, seed).alias("_k"), F.col(id_col).alias("_id"))
     prefix, need, total = "", 0, None
     while True:
@@ -64,7 +65,7 @@ def _find_cut(df: DataFrame, id_col: str, seed: int, test_share: float):
             total = sum(c for _, c in hist)
             need = n_test_for(total, test_share)
             if need <= 0 or need >= total:
-                return None, total
+                return None, total, (total if need > 0 else 0)
         cum = 0
         for bucket, count in hist:
             if cum + count >= need:
@@ -74,10 +75,11 @@ def _find_cut(df: DataFrame, id_col: str, seed: int, test_share: float):
         if count <= BOUNDARY_ROWS:
             rows = sorted(tuple(r) for r in
                           region.filter(F.col("_k").startswith(bucket)).collect())
-            return rows[need - 1], total
-        if width >= 32:
-            raise ValueError(f"more than {BOUNDARY_ROWS} rows share one split key; "
-                             f"'{id_col}' must identify rows")
+            cut = rows[need - 1]
+            return cut, total, n_test_for(total, test_share) + sum(r <= cut for r in rows) - need
+        if width >= 32:                # one key: the rows of one id, all of them in the test part
+            cut = tuple(region.filter(F.col("_k") == bucket).orderBy(F.desc("_id")).first())
+            return cut, total, n_test_for(total, test_share) + count - need
         prefix = bucket
 
 
@@ -85,11 +87,9 @@ def exact_split_sized(df: DataFrame, id_col: str = "obs_id", test_share: float =
                       seed: int = SEED) -> tuple[DataFrame, int, int]:
     """``exact_split`` plus the row count and test size, known from the cut
     search (no extra pass)."""
-    cut, total = _find_cut(df, id_col, seed, test_share)
-    n_test = min(n_test_for(total, test_share), total)
+    cut, total, n_test = _find_cut(df, id_col, seed, test_share)
     if cut is None:
-        all_test = n_test >= total and total > 0
-        return df.withColumn("is_test", F.lit(all_test)), total, (total if all_test else 0)
+        return df.withColumn("is_test", F.lit(0 < total == n_test)), total, n_test
     cut_key, cut_id = cut
     k = split_key(id_col, seed)
     is_test = (k < F.lit(cut_key)) | ((k == F.lit(cut_key)) & (F.col(id_col) <= F.lit(cut_id)))

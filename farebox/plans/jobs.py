@@ -2,8 +2,9 @@
 
     python -m farebox.plans.jobs train --csv <observations.csv> --out <model dir>
                                        [--algo gbt|linear] [--trees 600]
+    (all: [--scratch <shared folder>], where spark.checkpoint.dir is unset)
     python -m farebox.plans.jobs score --model <model dir> --requests <json files>
-                                       --out <output dir> [--strict]
+                                       --out <output dir> [--strict] [--bodies]
     python -m farebox.plans.jobs options --csv <observations.csv>
     python -m farebox.plans.jobs profile --model <model dir> --station Finch --line 1
                                          --day monday [--hours all|open]
@@ -14,7 +15,9 @@ read (all text) -> clean -> drop null hours -> service-hours mask with
 fallback -> fail if empty -> exact 80/20 split -> fit on the train part ->
 R²/RMSE/MAE on the test part -> save pipeline and metadata. ``score`` loads
 the pipeline and its metadata and scores landed request bodies in one pass,
-writing predictions and rejections separately.
+writing predictions and rejections separately; with ``--bodies`` each file is
+one body as it was sent. Master and widths are spark-submit's; intermediate
+copies go to the scratch folder and are removed when the job ends.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ def train_job(spark: SparkSession, raw: DataFrame, out_path: str, algo: str = "g
     # The mask counts are observed while the cleaned table is written.
     obs, counts = materialize(spark, cleaned, "train-clean", mask_metrics(cleaned))
     kept = require_rows(service_filter(obs, n_open=counts["n_open"]))
-    split = materialize(spark, exact_split(kept), "train-split")
+    split = exact_split(kept)
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
     model = ml.fit_model(train, algo=algo, max_iter=max_iter, compress=compress)
     metrics = regression_metrics(ml.PipelineScorer(model).predict(test))
@@ -73,10 +76,12 @@ def score_job(spark: SparkSession, model_path: str, requests: DataFrame, out_pat
 
 
 def main(argv=None) -> None:
-    from farebox.session import get_session
+    from farebox.session import job_session
     from farebox.sources.observations import read_observations_csv
+    from farebox.sources.requests import read_request_bodies
 
     p = argparse.ArgumentParser(prog="farebox.plans.jobs")
+    p.add_argument("--scratch", default=None)
     sub = p.add_subparsers(dest="cmd", required=True)
     t = sub.add_parser("train")
     t.add_argument("--csv", required=True)
@@ -88,6 +93,7 @@ def main(argv=None) -> None:
     s.add_argument("--requests", required=True)
     s.add_argument("--out", required=True)
     s.add_argument("--strict", action="store_true")
+    s.add_argument("--bodies", action="store_true")
     o = sub.add_parser("options")
     o.add_argument("--csv", required=True)
     pr = sub.add_parser("profile")
@@ -99,12 +105,13 @@ def main(argv=None) -> None:
     v = sub.add_parser("version")
     v.add_argument("--model", required=True)
     args = p.parse_args(argv)
-    spark = get_session()
+    spark = job_session(scratch=args.scratch)
     if args.cmd == "train":
         raw = read_observations_csv(spark, args.csv)
         print(train_job(spark, raw, args.out, algo=args.algo, max_iter=args.trees))
     elif args.cmd == "score":
-        reqs = spark.read.schema("request_id bigint, body string").json(args.requests)
+        reqs = (read_request_bodies(spark, args.requests) if args.bodies
+                else spark.read.schema("request_id bigint, body string").json(args.requests))
         score_job(spark, args.model, reqs, args.out, strict=args.strict)
     elif args.cmd == "options":
         from farebox.operators.options import options_listing

@@ -1,16 +1,25 @@
 """DuckDB twins of the registered queries (the correctness oracle).
 
-Each query is plain SQL over the driver's pre-registered tables, written
-independently of the Spark code: the global ``row_number()`` split, the
-``row_number()`` mode, the correlated fallbacks and so on are the textbook
-formulations, which is what makes them a useful check of the distributed
-versions.
+Each query is plain SQL over the driver's pre-registered tables. The rules
+are written on their own: the global ``row_number()`` split, the
+``row_number()`` mode, the as-of lookups, the two-pass R² and the fixed values
+below. Only the tables that the stand-in inputs are made of (stations, venues
+and their bodies) come from the library.
 """
 
 from __future__ import annotations
 
-from farebox.functions.text import NA_TOKENS
-from farebox.sources.dimensions import WEEKDAYS, WEEKENDS, station_rows
+from farebox.sources.dimensions import station_rows
+
+# Fixed values, written out once more on purpose.
+NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+             "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday"]
+WEEKENDS = ["saturday", "sunday"]
+CHOSEN = [("KovZpZAFFE1A", 20000), ("KovZpZAEkkIA", 17000), ("KovZpa3Bbe", 40000), ("KovZpZAE77aA", 30000),
+          ("KovZpZAEdJIA", 12500), ("KovZpZAFFEJA", 3200), ("KovZpZAFnlnA", 2800), ("KovZpZAJt7FA", 9000)]
+COLOURS = [("1", "#ffd700"), ("2", "#008000"), ("4", "#800080")]
+RULE = "Mon–Fri 06:00–01:30; Sat–Sun 08:00–01:30 (next day)."
 
 
 def _q(s: str) -> str:
@@ -29,6 +38,11 @@ def nulltok(c: str) -> str:
     return f"CASE WHEN {c} IN ({_list(NA_TOKENS)}) THEN NULL ELSE {c} END"
 
 
+def number(c: str) -> str:
+    shape = "[+-]?([0-9]+[.]?[0-9]*([eE][+-]?[0-9]+)?|[.][0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))"
+    return f"CASE WHEN regexp_full_match(trim({c}), '{shape}') THEN try_cast(trim({c}) AS DOUBLE) END"
+
+
 def open_train(day="day", hour="hour", minute="minute") -> str:
     m = f"coalesce({minute}, 0)" if minute else "0"
     return (f"coalesce((({hour} >= CASE WHEN {day} IN ({_list(WEEKDAYS)}) THEN 6 ELSE 8 END"
@@ -84,8 +98,7 @@ def cte_obs() -> str:
     """Cleaning + null-hour drop -> ``obs``; mask + fallback -> ``kept``."""
     return f"""
 norm0 AS (
-  SELECT *, CASE WHEN isnan(try_cast(hour AS DOUBLE)) THEN NULL
-                 ELSE try_cast(hour AS DOUBLE) END AS h,
+  SELECT *, {number('hour')} AS h,
          {strip('lower(day)')} AS dn
   FROM raw),
 norm AS (
@@ -94,7 +107,7 @@ norm AS (
          CASE WHEN h = 24 THEN 0 ELSE h END AS hour,
          0 AS minute,
          CASE WHEN dn IN ({_list(WEEKENDS)}) THEN 1 ELSE 0 END AS is_weekend,
-         try_cast(riders AS DECIMAL(18,2)) AS riders,
+         {number('riders')} AS riders,
          try_cast(date AS DATE) AS service_date
   FROM norm0),
 obs AS (SELECT * FROM norm WHERE hour IS NOT NULL),
@@ -151,6 +164,7 @@ def predict_join(src: str, alias: str = "s") -> str:
 
 
 PREDICTION = "coalesce(cm.cell_mean, (SELECT g FROM global_mean))"
+SHOWN = f"round({PREDICTION}, 6) + 0.0::DOUBLE"
 
 
 def with_ctes(*parts: str, body: str) -> str:
@@ -168,7 +182,7 @@ combos AS (SELECT DISTINCT station, line, day FROM filled_train),
 grid AS (SELECT station, line, day, cast(unnest(range(0, 24)) AS INTEGER) AS hour FROM combos)"""),
     body=f"""
 SELECT s.station, s.line, s.day, s.hour, {open_serve('s.day', 's.hour')} AS is_open,
-       CASE WHEN {open_serve('s.day', 's.hour')} THEN {PREDICTION} ELSE 0.0::DOUBLE END AS riders
+       CASE WHEN {open_serve('s.day', 's.hour')} THEN {SHOWN} ELSE 0.0::DOUBLE END AS riders
 FROM {predict_join('grid')}""")
 
 ORACLE["open_hours_profile"] = with_ctes(*_front(cte_split(), cte_baseline(), f"""
@@ -181,7 +195,7 @@ grid0 AS (
 grid AS (SELECT station, line, day, cast(hour AS INTEGER) AS hour FROM grid0
          WHERE {open_train('day', 'hour', None)})"""),
     body=f"""
-SELECT s.station, s.line, s.day, s.hour, {PREDICTION} AS riders,
+SELECT s.station, s.line, s.day, s.hour, {SHOWN} AS riders,
        concat(s.station, ' — Estimated riders by hour (',
               upper(left(s.day, 1)), lower(substr(s.day, 2)), ')') AS title
 FROM {predict_join('grid')}""")
@@ -190,6 +204,9 @@ ORACLE["clean_observations"] = with_ctes(*_front(), body="SELECT * FROM obs")
 
 ORACLE["service_filtered"] = with_ctes(*_front(), body="SELECT * FROM kept")
 
+ORACLE["closed_hours_fallback"] = with_ctes(*_front(), body=f"""
+SELECT * FROM obs WHERE NOT {open_train()} AND hour BETWEEN 0 AND 23""")
+
 ORACLE["service_mask_counts"] = with_ctes(*_front(), body=f"""
 SELECT n_before, n_open,
        CASE WHEN n_open > 0 THEN n_open ELSE n_in_range END AS n_after,
@@ -214,7 +231,11 @@ SELECT obs_id,
   (('0x' || substr(md5(concat('42|', cast(obs_id AS VARCHAR))), 1, 8))::BIGINT % 100) < 20 AS is_test
 FROM kept""")
 
-ORACLE["baseline_holdout_metrics"] = with_ctes(*_front(cte_split(), cte_baseline(), f"""
+
+
+def cte_metrics() -> str:
+    """Baseline hold-out metrics, in a second pass around the label's mean -> ``metrics``."""
+    return f"""
 test AS (SELECT * FROM split WHERE is_test),
 scored AS (
   SELECT s.riders AS y, {PREDICTION} AS p
@@ -222,19 +243,22 @@ scored AS (
                           {fill_expr('day')} AS day) FROM test) s
   LEFT JOIN cell_means cm ON s.station = cm.station AND s.line = cm.line
        AND s.day = cm.day AND s.hour = cm.hour),
-sums AS (
-  SELECT count(*) AS n, cast(sum(y) AS DOUBLE) AS sy, cast(sum(y * y) AS DOUBLE) AS syy,
-         sum((cast(y AS DOUBLE) - p) * (cast(y AS DOUBLE) - p)) AS sse,
-         sum(abs(cast(y AS DOUBLE) - p)) AS sae
-  FROM scored WHERE y IS NOT NULL AND p IS NOT NULL)"""), body="""
+both AS (SELECT y, p, (SELECT avg(y) FROM scored WHERE y IS NOT NULL AND p IS NOT NULL) AS m
+         FROM scored WHERE y IS NOT NULL AND p IS NOT NULL),
+metrics AS (
+  SELECT count(*) AS n,
+       round(CASE WHEN count(DISTINCT y) = 1 THEN (CASE WHEN max(abs(y - p)) = 0 THEN 1.0 ELSE 0.0 END)
+                  ELSE 1.0 - sum((y - p) * (y - p)) / sum((y - m) * (y - m)) END, 6) + 0.0::DOUBLE AS r2,
+       round(sqrt(avg((y - p) * (y - p))), 6) + 0.0::DOUBLE AS rmse,
+       round(avg(abs(y - p)), 6) + 0.0::DOUBLE AS mae
+  FROM both)""".replace("both", "judged")
+
+
+ORACLE["baseline_holdout_metrics"] = with_ctes(*_front(cte_split(), cte_baseline(), cte_metrics()), body="""
 SELECT (SELECT cast(count_if(NOT is_test) AS BIGINT) FROM split) AS n_train,
        (SELECT cast(count_if(is_test) AS BIGINT) FROM split) AS n_test,
-       n AS n_scored,
-       round(CASE WHEN syy - sy * sy / n = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END)
-                  ELSE 1.0 - sse / (syy - sy * sy / n) END, 6) + 0.0::DOUBLE AS r2,
-       round(sqrt(sse / n), 6) + 0.0::DOUBLE AS rmse,
-       round(sae / n, 6) + 0.0::DOUBLE AS mae
-FROM sums""")
+       n AS n_scored, r2, rmse, mae
+FROM metrics""")
 
 ORACLE["typical_line"] = with_ctes(*_front(cte_split(), """
 train AS (SELECT * FROM split WHERE NOT is_test),
@@ -273,14 +297,14 @@ SELECT cast(range(0, 24) AS INTEGER[]) AS hours,
   coalesce((SELECT list_sort(list(value)) FROM opt_found WHERE kind = 'station'), []::VARCHAR[]) AS stations,
   coalesce((SELECT list_sort(list(value)) FROM opt_found WHERE kind = 'line'), []::VARCHAR[]) AS lines""")
 
-ORACLE["csv_clean_observations"] = ORACLE["clean_observations"]
+ORACLE["csv_clean_observations"] = with_ctes(*_front(), body="SELECT * EXCLUDE (obs_id, service_date) FROM obs")
 ORACLE["csv_options_long"] = ORACLE["options_long"]
 
 
 def cte_requests() -> str:
     """The request stand-in (rows only), then parse + validate -> ``checked``."""
     n = len(station_rows())
-    rec_type = '[{"station":"VARCHAR","line":"VARCHAR","day":"VARCHAR","hour":"VARCHAR"}]'
+    from farebox.sources.requests import TYPED_RECORDS
     return f"""
 rq_st(idx, st_name, st_line) AS (VALUES {_stations_values()}),
 rq_recs AS (
@@ -303,47 +327,51 @@ rq_grouped AS (
          arg_min(rec, event_id) AS first_rec
   FROM rq_recs GROUP BY request_id),
 requests AS (
-  SELECT request_id,
-    CASE WHEN request_id % 10 = 3 THEN concat('{{"records": ', first_rec, '}}')
-         WHEN request_id % 10 = 7 THEN concat('{{"records": [', first_rec)
-         WHEN request_id % 50 = 11 THEN '{{"records": []}}'
-         ELSE concat('{{"records": [', joined, ']}}') END AS body
-  FROM rq_grouped),
+  SELECT request_id, concat('{{"records": [', joined, ']}}') AS body FROM rq_grouped WHERE request_id % 10 <> 3
+  UNION ALL SELECT 1000000000000 + event_id, concat('{{"records": ', rec, '}}') FROM rq_recs WHERE request_id % 10 = 3
+  UNION ALL SELECT -(request_id * 4) - 1, concat('{{"records": [', first_rec) FROM rq_grouped WHERE request_id % 10 = 7
+  UNION ALL SELECT -(request_id * 4 + 1) - 1, '{{"records": []}}' FROM rq_grouped WHERE request_id % 50 = 11
+  UNION ALL SELECT -(request_id * 4 + 2) - 1, concat('{{"records": [', first_rec, ']}} trailing')
+            FROM rq_grouped WHERE request_id % 20 = 2
+  UNION ALL SELECT -(request_id * 4 + 3) - 1, {_q('{"records": [' + ",".join(TYPED_RECORDS) + "]}")}
+            FROM rq_grouped WHERE request_id % 20 = 4),
 rq_parsed AS (
-  SELECT request_id, from_json(
+  SELECT request_id,
     CASE WHEN NOT json_valid(body) THEN NULL
-         WHEN json_type(body, '$.records') = 'OBJECT' THEN json_array(json_extract(body, '$.records'))
-         WHEN json_type(body, '$.records') = 'ARRAY' THEN json_extract(body, '$.records') END,
-    '{rec_type}') AS recs
+         WHEN json_type(body, '$.records') = 'OBJECT' THEN [json_extract(body, '$.records')]
+         WHEN json_type(body, '$.records') = 'ARRAY' THEN json_extract(body, '$.records[*]') END AS recs
   FROM requests),
 rq_records AS (
-  SELECT request_id, cast(pos0 - 1 AS INTEGER) AS pos, true AS body_ok,
-         r.station AS station, r.line AS line, r.day AS day, r.hour AS hour_text
+  SELECT request_id, cast(pos0 - 1 AS INTEGER) AS pos, true AS body_ok, r
   FROM (SELECT request_id, generate_subscripts(recs, 1) AS pos0, unnest(recs) AS r
         FROM rq_parsed WHERE recs IS NOT NULL)
   UNION ALL
-  SELECT request_id, -1, false, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR,
-         NULL::VARCHAR FROM rq_parsed WHERE recs IS NULL),
+  SELECT request_id, -1, false, NULL FROM rq_parsed WHERE recs IS NULL),
 rq_typed AS (
-  SELECT *, CASE WHEN hd IS NOT NULL AND NOT isnan(hd) AND hd = floor(hd)
-                  AND abs(hd) < 2147483648.0 THEN cast(hd AS INTEGER) END AS hour
-  FROM (SELECT *, try_cast(hour_text AS DOUBLE) AS hd FROM rq_records)),
-checked AS (
-  SELECT request_id, pos, station, line, day, hour,
+  SELECT request_id, pos, body_ok, coalesce(json_type(r) = 'OBJECT', false) AS is_object,
+    {", ".join(f"coalesce(json_type(r, '$.{c}'), 'NULL') AS {c}_type, json_extract_string(r, '$.{c}') AS {c}_text"
+               for c in ("station", "line", "day", "hour"))}
+  FROM rq_records),
+rq_hours AS (
+  SELECT *, CASE WHEN hd = floor(hd) AND abs(hd) < 2147483648.0 THEN cast(hd AS INTEGER) END AS hour
+  FROM (SELECT *, CASE WHEN hour_type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN try_cast(hour_text AS DOUBLE)
+                       WHEN hour_type = 'BOOLEAN' THEN CASE WHEN hour_text = 'true' THEN 1 ELSE 0 END
+                       WHEN hour_type = 'VARCHAR' AND regexp_full_match(trim(hour_text), '[+-]?[0-9]+([.]0+)?')
+                       THEN try_cast(trim(hour_text) AS DOUBLE) END AS hd FROM rq_typed)),
+checked0 AS (
+  SELECT *,
     CASE WHEN NOT body_ok THEN 'invalid body'
-         WHEN station IS NULL THEN 'missing station'
-         WHEN line IS NULL THEN 'missing line'
-         WHEN day IS NULL THEN 'missing day'
-         WHEN hour_text IS NULL THEN 'missing hour'
-         WHEN hour IS NULL THEN 'hour is not an integer' END AS reason,
-    CASE WHEN NOT body_ok THEN 'invalid body'
-         WHEN station IS NULL THEN 'missing station'
-         WHEN line IS NULL THEN 'missing line'
-         WHEN day IS NULL THEN 'missing day'
-         WHEN hour_text IS NULL THEN 'missing hour'
-         WHEN hour IS NULL THEN 'hour is not an integer'
-         WHEN NOT (hour BETWEEN 0 AND 23) THEN 'hour out of range' END AS strict_reason
-  FROM rq_typed),
+         WHEN NOT is_object THEN 'record is not an object'
+         WHEN station_type = 'NULL' THEN 'missing station' WHEN station_type <> 'VARCHAR' THEN 'station is not text'
+         WHEN line_type = 'NULL' THEN 'missing line' WHEN line_type <> 'VARCHAR' THEN 'line is not text'
+         WHEN day_type = 'NULL' THEN 'missing day' WHEN day_type <> 'VARCHAR' THEN 'day is not text'
+         WHEN hour_type = 'NULL' THEN 'missing hour'
+         WHEN hour IS NULL THEN 'hour is not an integer' END AS reason
+  FROM rq_hours),
+checked AS (
+  SELECT *, station_text AS station, line_text AS line, day_text AS day,
+    CASE WHEN reason IS NOT NULL THEN reason WHEN NOT (hour BETWEEN 0 AND 23) THEN 'hour out of range' END AS strict_reason
+  FROM checked0),
 rq_valid AS (
   SELECT request_id, pos, {strip('station')} AS station, {strip('line')} AS line,
          {strip('lower(day)')} AS day, hour
@@ -354,7 +382,7 @@ MODEL_VERSION_SQL = "strftime(TIMESTAMP '2024-02-01 12:46:00', 'v%Y.%m.%d.%H%M')
 
 ORACLE["scored_requests"] = with_ctes(*_front(cte_split(), cte_baseline(), cte_requests()), body=f"""
 SELECT s.request_id, s.pos, s.station, s.line, s.hour, s.day,
-       CASE WHEN {open_serve('s.day', 's.hour')} THEN {PREDICTION} ELSE 0.0::DOUBLE END AS riders,
+       CASE WHEN {open_serve('s.day', 's.hour')} THEN {SHOWN} ELSE 0.0::DOUBLE END AS riders,
        {MODEL_VERSION_SQL} AS model_version
 FROM (SELECT * REPLACE ({fill_expr('station')} AS station, {fill_expr('line')} AS line,
                         {fill_expr('day')} AS day) FROM rq_valid) s
@@ -383,8 +411,7 @@ WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.feature = r.feature AND v.value
 
 
 def _venue_values() -> str:
-    from farebox.sources.dimensions import VENUES
-    return ", ".join(f"({_q(v)}, {_q(n)}, {c})" for v, n, c in VENUES)
+    return ", ".join(f"({_q(v)}, {c})" for v, c in CHOSEN)
 
 
 def _venue_json_values() -> str:
@@ -410,16 +437,14 @@ def cte_context() -> str:
     conds = "[" + _list(CONDITIONS) + "]"
     nv = len(VENUES) + 1
     return f"""
-venues_dim(venue_id, venue_name, capacity) AS (VALUES {_venue_values()}),
+venues_dim(venue_id, capacity) AS (VALUES {_venue_values()}),
 w_land AS (
-  SELECT ts AS fetched_at, CASE WHEN event_id % 13 = 0 THEN 500 ELSE 200 END AS status,
-    CASE WHEN event_id % 13 = 0
-         THEN '{{"error":{{"code":1006,"message":"No matching location found."}}}}'
-         ELSE concat('{{"location":{{"name":"Metro"}},"current":{{"temp_c":',
-                     cast(cast(value AS DECIMAL(18,2)) - 15 AS VARCHAR),
-                     ',"condition":{{"text":"', ({conds})[user_id % {len(CONDITIONS)} + 1], '"}}}}}}')
-    END AS body
-  FROM events WHERE event_type = 'error'),
+  SELECT ts AS fetched_at, 200 AS status,
+    concat('{{"location":{{"name":"Metro"}},"current":{{"temp_c":', cast(cast(value AS DECIMAL(18,2)) - 15 AS VARCHAR),
+           ',"condition":{{"text":"', ({conds})[user_id % {len(CONDITIONS)} + 1], '"}}}}}}') AS body
+  FROM events
+  UNION ALL
+  SELECT ts, 500, '{{"error":{{"code":1006,"message":"No matching location found."}}}}' FROM events WHERE event_id % 13 = 0),
 readings AS (
   SELECT fetched_at, try_cast(json_extract_string(body, '$.current.temp_c') AS DOUBLE) AS temp_c,
          json_extract_string(body, '$.current.condition.text') AS condition
@@ -435,18 +460,15 @@ ev_rows AS (
            WHEN e.event_id % 19 = 0 THEN '"_embedded":{{"venues":[]}},'
            ELSE concat('"_embedded":{{"venues":[', venue_json, ']}},') END,
       '"name":"Event ', cast(e.event_id AS VARCHAR), '"}}') AS ev
-  FROM events e JOIN ev_venue ON e.user_id % {nv} = ev_venue.v_idx
-  WHERE e.event_type = 'signup'),
+  FROM events e JOIN ev_venue ON e.user_id % {nv} = ev_venue.v_idx),
 ev_pages AS (
   SELECT d, page, min(ts) AS fetched_at, string_agg(ev, ',' ORDER BY event_id) AS evs
   FROM ev_rows GROUP BY d, page),
 e_land AS (
-  SELECT fetched_at, CASE WHEN page % 11 = 5 THEN 500 ELSE 200 END AS status,
-    CASE WHEN page % 11 = 5 THEN '{{"errors":[{{"code":"SERVER_ERROR"}}]}}'
-         WHEN page % 7 = 3 THEN '{{}}'
-         ELSE concat('{{"_embedded":{{"events":[', evs, ']}},"page":{{"number":',
-                     cast(page AS VARCHAR), '}}}}') END AS body
-  FROM ev_pages),
+  SELECT fetched_at, 200 AS status, concat('{{"_embedded":{{"events":[', evs, ']}},"page":{{"number":',
+                                           cast(page AS VARCHAR), '}}}}') AS body FROM ev_pages
+  UNION ALL SELECT fetched_at, 200, '{{}}' FROM ev_pages WHERE page % 7 = 3
+  UNION ALL SELECT fetched_at, 500, '{{"errors":[{{"code":"SERVER_ERROR"}}]}}' FROM ev_pages WHERE page % 11 = 5),
 ev_flat AS (
   SELECT e.id AS event_id, e.name AS name, e.dates.start.localDate AS local_date,
          e.dates.start.localTime AS local_time, e._embedded.venues[1].id AS venue_id,
@@ -484,31 +506,24 @@ SELECT * FROM (
         BETWEEN strftime(event_date, '%Y-%m-%dT00:00:00Z') AND strftime(event_date, '%Y-%m-%dT23:59:59Z'))
 WHERE rank <= 100""")
 
-ORACLE["event_windows"] = with_ctes(cte_context(), body="""
-SELECT event_date, strftime(event_date, '%Y-%m-%dT00:00:00Z') AS start_bound,
-       strftime(event_date, '%Y-%m-%dT23:59:59Z') AS end_bound,
-       array_to_string(list_sort(list(DISTINCT venue_id)), ',') AS venue_query,
-       count(*) AS n_events
-FROM chosen WHERE event_date IS NOT NULL GROUP BY event_date""")
+ORACLE["event_windows"] = with_ctes(cte_context(), body=f"""
+SELECT d.event_date, strftime(d.event_date, '%Y-%m-%dT00:00:00Z') AS start_bound,
+       strftime(d.event_date, '%Y-%m-%dT23:59:59Z') AS end_bound,
+       {_q(",".join(v for v, _ in CHOSEN))} AS venue_query,
+       (SELECT count(*) FROM chosen c WHERE c.event_date = d.event_date) AS n_events
+FROM (SELECT DISTINCT cast(fetched_at AS DATE) AS event_date FROM e_land) d""")
 
 ORACLE["fused_observations"] = with_ctes(*_front(cte_context(), """
-hw_latest AS (
-  SELECT cast(fetched_at AS DATE) AS service_date, hour(fetched_at) AS hour,
-         max({'fetched_at': fetched_at, 'temp_c': temp_c, 'condition': condition}) AS rd
-  FROM readings GROUP BY 1, 2),
-hw_grid AS (SELECT service_date, cast(unnest(range(0, 24)) AS INTEGER) AS hour
-            FROM (SELECT DISTINCT service_date FROM hw_latest)),
-hw AS (
-  SELECT g.service_date, g.hour,
-         last_value(l.rd IGNORE NULLS) OVER (PARTITION BY g.service_date ORDER BY g.hour
-           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rd
-  FROM hw_grid g LEFT JOIN hw_latest l ON g.service_date = l.service_date AND g.hour = l.hour),
+hours AS (SELECT DISTINCT service_date, hour, service_date + to_hours(cast(hour AS INTEGER)) AS at FROM kept
+          WHERE service_date IS NOT NULL),
+one AS (SELECT fetched_at, max({'t': temp_c, 'c': condition}) AS rd FROM readings GROUP BY fetched_at),
+hw AS (SELECT h.service_date, h.hour, o.fetched_at, o.rd FROM hours h ASOF JOIN one o ON h.at >= o.fetched_at),
 de AS (
   SELECT l.event_date AS service_date, count(*) AS n_events,
          cast(sum(v.capacity) AS BIGINT) AS event_capacity
   FROM listings l JOIN venues_dim v ON l.venue_id = v.venue_id
   WHERE l.event_date IS NOT NULL GROUP BY l.event_date)"""), body="""
-SELECT k.*, hw.rd.fetched_at AS weather_at, hw.rd.temp_c AS temp_c, hw.rd.condition AS condition,
+SELECT k.*, hw.fetched_at AS weather_at, hw.rd.t AS temp_c, hw.rd.c AS condition,
        coalesce(de.n_events, 0) AS n_events, coalesce(de.event_capacity, 0) AS event_capacity
 FROM kept k
 LEFT JOIN hw ON k.service_date = hw.service_date AND k.hour = hw.hour
@@ -526,43 +541,19 @@ combos AS (SELECT DISTINCT station, line, day FROM filled_train),
 grid AS (SELECT station, line, day, cast(unnest(range(0, 24)) AS INTEGER) AS hour FROM combos),
 prof AS (
   SELECT s.station, s.line, s.day, s.hour, {open_serve('s.day', 's.hour')} AS is_open,
-         CASE WHEN {open_serve('s.day', 's.hour')} THEN {PREDICTION} ELSE 0.0::DOUBLE END AS riders
+         CASE WHEN {open_serve('s.day', 's.hour')} THEN {SHOWN} ELSE 0.0::DOUBLE END AS riders
   FROM {predict_join('grid')})"""
 
 
-def cte_metrics() -> str:
-    """Baseline hold-out metrics -> ``metrics``."""
-    return f"""
-test AS (SELECT * FROM split WHERE is_test),
-scored AS (
-  SELECT s.riders AS y, {PREDICTION} AS p
-  FROM (SELECT * REPLACE ({fill_expr('station')} AS station, {fill_expr('line')} AS line,
-                          {fill_expr('day')} AS day) FROM test) s
-  LEFT JOIN cell_means cm ON s.station = cm.station AND s.line = cm.line
-       AND s.day = cm.day AND s.hour = cm.hour),
-sums AS (
-  SELECT count(*) AS n, cast(sum(y) AS DOUBLE) AS sy, cast(sum(y * y) AS DOUBLE) AS syy,
-         sum((cast(y AS DOUBLE) - p) * (cast(y AS DOUBLE) - p)) AS sse,
-         sum(abs(cast(y AS DOUBLE) - p)) AS sae
-  FROM scored WHERE y IS NOT NULL AND p IS NOT NULL),
-metrics AS (
-  SELECT n,
-       round(CASE WHEN syy - sy * sy / n = 0 THEN (CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END)
-                  ELSE 1.0 - sse / (syy - sy * sy / n) END, 6) + 0.0::DOUBLE AS r2,
-       round(sqrt(sse / n), 6) + 0.0::DOUBLE AS rmse,
-       round(sae / n, 6) + 0.0::DOUBLE AS mae
-  FROM sums)"""
-
-
 def cte_map() -> str:
-    from farebox.sources.dimensions import LINE_COLOURS, line_path_rows
+    from farebox.sources.dimensions import line_path_rows
     path_rows = ", ".join(
         f"({_q(line)}, {seq}, {_num(lat)}, {_num(lon)}, {_q(name) if name else 'NULL'}, {str(m).lower()})"
         for line, seq, lat, lon, name, m in line_path_rows())
-    colour_rows = ", ".join(f"({_q(a)}, {_q(b)}, {_q(c)})" for a, b, c in LINE_COLOURS)
+    colour_rows = ", ".join(f"({_q(a)}, {_q(b)})" for a, b in COLOURS)
     return f"""
 map_path(line, seq, lat, lon, name, show_marker) AS (VALUES {path_rows}),
-map_colours(line, css_colour, path_colour) AS (VALUES {colour_rows}),
+map_colours(line, css_colour) AS (VALUES {colour_rows}),
 markers AS (SELECT name, line, lat, lon FROM map_path WHERE show_marker)"""
 
 
@@ -577,7 +568,7 @@ FROM markers m LEFT JOIN map_colours c ON m.line = c.line
 LEFT JOIN prof p ON p.station = m.name AND p.line = m.line""")
 
 ORACLE["line_summary"] = with_ctes(*_front(cte_map(), """
-agg AS (SELECT line, count(*) AS n_obs, cast(sum(riders) AS DOUBLE) / count(riders) AS mean_riders
+agg AS (SELECT line, count(*) AS n_obs, round(avg(riders), 6) + 0.0::DOUBLE AS mean_riders
         FROM kept WHERE line IS NOT NULL GROUP BY line),
 pl AS (SELECT line, list_transform(list_sort(list({'seq': seq, 'lat': lat, 'lon': lon})),
                                    lambda x: [x.lat, x.lon]) AS path,
@@ -630,31 +621,28 @@ ORACLE["model_card"] = with_ctes(*_front(cte_split(), cte_baseline(), cte_metric
 SELECT {MODEL_VERSION_SQL} AS model_version,
        ['station', 'line', 'day', 'hour', 'minute', 'is_weekend'] AS features,
        'cell mean + categorical mode fill (baseline)' AS algo,
-       'Mon-Fri 06:00-01:30; Sat-Sun 08:00-01:30 (next day).' AS service_hours_rule,
+       {_q(RULE)} AS service_hours_rule,
        r2, rmse, mae
 FROM metrics""")
 
 ORACLE["streamed_scored_requests"] = ORACLE["scored_requests"]
-
-
-# Output presentation (see ``queries.present``): decimals as double, dates as text.
-_PRESENT = {
-    "clean_observations": ["riders", "service_date"],
-    "service_filtered": ["riders", "service_date"],
-    "csv_clean_observations": ["riders", "service_date"],
-    "fused_observations": ["riders", "service_date"],
-    "event_listings": ["event_date"],
-    "daily_event_listing": ["event_date"],
-    "event_windows": ["event_date"],
-}
-
-
-def _presented_sql(sql: str, cols: list[str]) -> str:
-    casts = ", ".join(
-        f"cast({c} AS DOUBLE) AS {c}" if c == "riders" else f"cast({c} AS VARCHAR) AS {c}"
-        for c in cols)
-    return f"SELECT * REPLACE ({casts}) FROM (\n{sql}\n)"
-
-
-for _name, _cols in _PRESENT.items():
-    ORACLE[_name] = _presented_sql(ORACLE[_name], _cols)
+ORACLE["streamed_rejected_records"] = ORACLE["rejected_records"]
+
+ORACLE["category_vocabulary"] = with_ctes(*_front(cte_split(), cte_baseline()), body="""
+SELECT feature, cast(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS position, value
+FROM (SELECT 'station' AS feature, station AS value FROM filled_train WHERE riders IS NOT NULL
+      UNION SELECT 'line', line FROM filled_train WHERE riders IS NOT NULL
+      UNION SELECT 'day', day FROM filled_train WHERE riders IS NOT NULL)""")
+
+ORACLE["numeric_fill_means"] = with_ctes(*_front(cte_split()), body="""
+SELECT 'hour' AS feature, round(avg(hour), 6) + 0.0::DOUBLE AS mean FROM split WHERE NOT is_test AND riders IS NOT NULL
+UNION ALL SELECT 'minute', round(avg(minute), 6) + 0.0::DOUBLE FROM split WHERE NOT is_test AND riders IS NOT NULL
+UNION ALL SELECT 'is_weekend', round(avg(is_weekend), 6) + 0.0::DOUBLE FROM split WHERE NOT is_test AND riders IS NOT NULL""")
+
+
+# Output presentation (see ``queries.present``): dates as text.
+for _name, _column in {"clean_observations": "service_date", "service_filtered": "service_date",
+                       "closed_hours_fallback": "service_date", "fused_observations": "service_date",
+                       "event_listings": "event_date", "daily_event_listing": "event_date",
+                       "event_windows": "event_date"}.items():
+    ORACLE[_name] = f"SELECT * REPLACE (cast({_column} AS VARCHAR) AS {_column}) FROM (\n{ORACLE[_name]}\n)"

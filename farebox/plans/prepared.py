@@ -1,11 +1,11 @@
 """The shared front half of most queries: raw -> clean -> service hours -> split.
 
-Each call starts from the landed raw files; nothing is shared across
-queries. The cleaned observations (a compact projection of the raw text)
-are written once to the shared checkpoint folder and every later job of the
-query (mask count, split-cut search, model fit, scoring grid) scans that
-table instead of re-reading and re-cleaning the raw text. Actions taken
-here return only a few numbers or at most a few thousand small rows.
+Each call starts from the raw rows; nothing is shared across queries. Queries
+of several passes (split-cut search, model fit, scoring) write the cleaned
+observations once to the shared checkpoint folder and scan that table
+afterwards; queries of one pass read the raw rows directly, with the columns
+that they need. Actions taken here return only a few numbers or at most a few
+thousand small rows.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def prepare(spark: SparkSession, sf_dir: str, stage: bool = True) -> Prepared:
     return Prepared(raw, staged, counts["n_open"])
 
 
-def baseline(prep: Prepared) -> tuple[BaselineModel, DataFrame]:
-    """Fitted baseline and the train part with categorical fills applied."""
-    model = fit_baseline(prep.train)
-    return model, model.impute(prep.train)
+
+def baseline(prep: Prepared) -> BaselineModel:
+    """The baseline fitted on the train part."""
+    return fit_baseline(prep.train)

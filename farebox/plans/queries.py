@@ -26,68 +26,90 @@ from farebox.operators.profile import (combinations, congestion_levels, open_hou
 from farebox.operators.score import parse_records, score, unknown_categories, validate
 from farebox.operators.split import bucket_split
 from farebox.plans.prepared import TRAINED_AT, baseline, prepare
-from farebox.session import scratch_path
-from farebox.sources.dimensions import venues
+from farebox.session import materialize, remove_at_exit, scratch_path
+from farebox.sources.dimensions import VENUES, venues
 from farebox.sources.observations import (observation_standin, raw_observations,
                                           read_observations_csv)
 from farebox.sources.payloads import clock_text_standin, landed_events, landed_weather
 from farebox.sources.requests import requests_for
 from farebox.streaming import scoring as stream_scoring
 
+VENUE_IDS = [venue_id for venue_id, _name, _capacity in VENUES]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def rounded(df: DataFrame, column: str = "riders") -> DataFrame:
+    """A derived column to 6 places ("+ 0.0" turns a rounded -0.0 into 0.0)."""
+    return df.withColumn(column, F.round(column, 6) + F.lit(0.0))
+
+
 def present(df: DataFrame) -> DataFrame:
-    """Output presentation shared with the SQL twins: exact decimals leave as
-    double (the declared riders type) and dates as ISO ``yyyy-MM-dd`` text."""
+    """Output presentation shared with the SQL twins: dates as ISO
+    ``yyyy-MM-dd`` text."""
     cols = []
     for f in df.schema.fields:
         t = f.dataType.simpleString()
-        if t.startswith("decimal"):
-            cols.append(F.col(f.name).cast("double").alias(f.name))
-        elif t == "date":
+        if t == "date":
             cols.append(F.col(f.name).cast("string").alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
 
 
+def _profile(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The baseline's 24-hour profile and its (station, line, day) combinations."""
+    model = baseline(prepare(spark, sf_dir))
+    return rounded(profile_24h(model, model.combinations())), model.combinations()
+
+
 def hourly_profile_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2 with M10: 24-hour profile of every station/line/day seen in the
     train part, closed hours exactly 0 riders (the flagship query)."""
-    model, _ = baseline(prepare(spark, sf_dir))
-    return profile_24h(model, model.combinations())
+    return _profile(spark, sf_dir)[0]
 
 
 def open_hours_profile_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 with M10: each combination's open plotting hours with predictions."""
-    model, _ = baseline(prepare(spark, sf_dir))
-    return open_hours_profile(model, model.combinations())
+    model = baseline(prepare(spark, sf_dir))
+    return rounded(open_hours_profile(model, model.combinations()))
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned observations read once, without a stored copy."""
+    return clean_observations(raw_observations(spark, sf_dir))
 
 
 def clean_observations_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed, normalised observations without null hours."""
-    return prepare(spark, sf_dir).obs
+    return _cleaned(spark, sf_dir)
 
 
 def service_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 + F4: observations kept by the train-policy service-hours mask."""
-    return prepare(spark, sf_dir).kept
+    return sh.service_filter(_cleaned(spark, sf_dir))
+
+
+def closed_hours_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """where no observation is open (an input of closed hours only), the
+    mask falls back to hours 0..23."""
+    obs = _cleaned(spark, sf_dir)
+    return sh.service_filter(obs.filter(~sh.open_column(obs)))
 
 
 def service_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: rows before and after the mask."""
-    return sh.mask_counts(prepare(spark, sf_dir).obs)
+    return sh.mask_counts(_cleaned(spark, sf_dir))
 
 
 def open_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: distinct hours among kept rows."""
-    return sh.open_hours(prepare(spark, sf_dir).kept)
+    return sh.open_hours(service_filtered(spark, sf_dir))
 
 
 def service_hours_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open hours of every day label in the data, both policies."""
-    return sh.service_hours_by_day(prepare(spark, sf_dir).obs)
+    return sh.service_hours_by_day(_cleaned(spark, sf_dir))
 
 
 def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +119,7 @@ def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1 (hash bucket): every kept row with its test flag."""
-    return bucket_split(prepare(spark, sf_dir).kept).select("obs_id", "is_test")
+    return bucket_split(service_filtered(spark, sf_dir)).select("obs_id", "is_test")
 
 
 def _holdout(prep, scorer) -> DataFrame:
@@ -112,8 +134,7 @@ def _holdout(prep, scorer) -> DataFrame:
 def baseline_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M10 + A4 + K4: fit on the train part, R²/RMSE/MAE on the test part."""
     prep = prepare(spark, sf_dir)
-    model, _ = baseline(prep)
-    return _holdout(prep, model)
+    return _holdout(prep, baseline(prep))
 
 
 def typical_line_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,19 +153,21 @@ def options_listing_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _observations_csv(spark: SparkSession, sf_dir: str) -> str:
-    """Land the raw observations as CSV text with title-case headers
-    (padding and tabs kept) and return the folder."""
+    """The raw observations as CSV text with the columns Station, Line, Day,
+    Hour, Riders only (padding and tabs kept); returns the folder."""
     path = scratch_path(spark, "observations-csv")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    (observation_standin(spark, events).write.mode("overwrite")
+    (observation_standin(spark, events).select("Station", "Line", "Day", "Hour", "Riders").write.mode("overwrite")
      .option("header", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
+    remove_at_exit(spark, path)
     return path
 
 
 def csv_clean_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations read from CSV as all-text columns, then cleaned."""
-    return clean_observations(read_observations_csv(spark, _observations_csv(spark, sf_dir)))
+    """Observations read from CSV as all-text columns, then cleaned. The
+    file has no row id and no date; the id made from the text is left out."""
+    return clean_observations(read_observations_csv(spark, _observations_csv(spark, sf_dir))).drop("obs_id", "service_date")
 
 
 def csv_options_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +187,9 @@ def _validated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S7 + F10 + M9 + K3 with M10: every valid record scored in one pass,
     closed hours exactly 0, stamped with the model version."""
-    model, _ = baseline(prepare(spark, sf_dir))
+    model = baseline(prepare(spark, sf_dir))
     valid = _validated_requests(spark, sf_dir).filter(F.col("reason").isNull())
-    return score(valid, model, _model_version())
+    return rounded(score(valid, model, _model_version()))
 
 
 def rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +206,7 @@ def rejected_records_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unknown_request_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F12 + J8: request values outside the training vocabulary."""
-    model, _ = baseline(prepare(spark, sf_dir))
+    model = baseline(prepare(spark, sf_dir))
     valid = _validated_requests(spark, sf_dir).filter(F.col("reason").isNull())
     return unknown_categories(valid, model.vocabulary())
 
@@ -211,8 +234,10 @@ def daily_event_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P11 + P12: per-day request window and venue id list."""
-    return ctx.event_windows(ctx.event_listings(landed_events(spark, sf_dir)), venues(spark))
+    """P11 + P12: request window and venue id list of every day fetched."""
+    landed = landed_events(spark, sf_dir)
+    days = landed.select(F.col("fetched_at").cast("date").alias("event_date"))
+    return ctx.event_windows(days, ctx.event_listings(landed), venues(spark), VENUE_IDS)
 
 
 def fused_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,12 +251,13 @@ def fused_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def station_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J5 + F7 + P14 + P15 + P16 + P19: map stations with their 24-hour
     predictions and display texts."""
-    return geo.station_predictions(spark, hourly_profile_24h(spark, sf_dir))
+    profile, combos = _profile(spark, sf_dir)
+    return geo.station_predictions(spark, profile, combos)
 
 
 def line_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P19 + P20: per observed line, counts and mean riders with its map path."""
-    return geo.line_summary(spark, prepare(spark, sf_dir).kept)
+    return rounded(geo.line_summary(spark, service_filtered(spark, sf_dir)), "mean_riders")
 
 
 def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,42 +277,38 @@ def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def congestion_levels_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Network-wide tertile levels of the 24-hour profile."""
-    return congestion_levels(hourly_profile_24h(spark, sf_dir))
+    return congestion_levels(materialize(spark, hourly_profile_24h(spark, sf_dir), "profile"))
+
 
+def category_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 + M3: each feature's sorted training categories with their index, as
+    fitted by the model pipeline."""
+    stages = _fit(prepare(spark, sf_dir), "linear").stages
+    rows = [(feature, i, value) for feature, values in zip(ml.CATEGORICAL, stages[1].labelsArray) for i, value in enumerate(values)]
+    return spark.createDataFrame(rows, "feature string, position int, value string")
 
-CARD_SCHEMA = ("model_version string, features array<string>, algo string, "
-               "service_hours_rule string, metrics struct<r2: double, rmse: double, mae: double>")
+
+def numeric_fill_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 + M4: the means that the fitted pipeline puts for missing numbers."""
+    fills = _fit(prepare(spark, sf_dir), "linear").stages[3].fill_values()
+    return rounded(spark.createDataFrame(list(fills.items()), "feature string, mean double"), "mean")
 
 
 def model_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 + P17 + K4: the fitted model's metadata written as JSON to the shared
     folder and read back; a missing version reads as "unknown"."""
     prep = prepare(spark, sf_dir)
-    model, _ = baseline(prep)
-    metrics = regression_metrics(model.predict(prep.test))
-    card = metrics.select(
-        _model_version().alias("model_version"),
-        F.array(*[F.lit(c) for c in ("station", "line", "day", "hour", "minute", "is_weekend")])
-        .alias("features"),
-        F.lit("cell mean + categorical mode fill (baseline)").alias("algo"),
-        F.lit("Mon-Fri 06:00-01:30; Sat-Sun 08:00-01:30 (next day).").alias("service_hours_rule"),
-        F.struct("r2", "rmse", "mae").alias("metrics"))
+    metrics = regression_metrics(baseline(prep).predict(prep.test))
+    meta = ml.model_metadata(spark, metrics, F.lit(TRAINED_AT).cast("timestamp"),
+                             "cell mean + categorical mode fill (baseline)")
     path = scratch_path(spark, "model-card")
-    card.coalesce(1).write.mode("overwrite").json(path)
-    back = spark.read.schema(CARD_SCHEMA).json(path)
-    return back.select(F.coalesce("model_version", F.lit("unknown")).alias("model_version"),
-                       "features", "algo", "service_hours_rule",
-                       F.col("metrics.r2").alias("r2"), F.col("metrics.rmse").alias("rmse"),
-                       F.col("metrics.mae").alias("mae"))
-
-
-# Boosting rounds in registered queries; the library default is the
-# reference's 600 (``ml.GBT_PARAMS``).
-QUERY_TREES = 20
+    ml.write_metadata(meta, path)
+    remove_at_exit(spark, path)
+    return ml.read_metadata(spark, path).select("model_version", "features", "algo", "service_hours_rule", "metrics.*")
 
 
 def _fit(prep, algo: str = "gbt"):
-    return ml.fit_model(prep.train, algo=algo, max_iter=QUERY_TREES if algo == "gbt" else None)
+    return ml.fit_model(prep.train, algo=algo)
 
 
 def gbt_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,9 +330,10 @@ def gbt_scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _fit(prep, "gbt")
     metrics = regression_metrics(ml.PipelineScorer(model).predict(prep.test))
     meta = ml.model_metadata(spark, metrics, F.lit(TRAINED_AT).cast("timestamp"),
-                             f"GBTRegressor({QUERY_TREES} trees) + one-hot(station/line/day)")
+                             f"GBTRegressor({ml.GBT_PARAMS['maxIter']} trees) + one-hot(station/line/day)")
     path = scratch_path(spark, "gbt-model")
     ml.save_model(model, meta, path)
+    remove_at_exit(spark, path)
     loaded, loaded_meta = ml.load_model(spark, path)
     version = loaded_meta.first()["model_version"]
     valid = _validated_requests(spark, sf_dir).filter(F.col("reason").isNull())
@@ -326,18 +349,26 @@ def gbt_profile_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_24h(ml.PipelineScorer(model), combinations(filled))
 
 
-def streamed_scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The request stand-in landed as JSON files (eight) and scored by a
-    Structured Streaming query, four files per micro-batch; equals
-    ``scored_requests``."""
-    model, _ = baseline(prepare(spark, sf_dir))
-    landing = scratch_path(spark, "requests-landing")
-    out = scratch_path(spark, "requests-scored")
-    stream_scoring.land_requests(requests_for(spark, sf_dir), landing, files=8)
-    q = stream_scoring.start_scoring_stream(spark, landing, out, scratch_path(spark, "stream-ckpt"),
-                                            model, _model_version(), files_per_trigger=4)
+def _streamed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Requests as JSON files, scored by a Structured Streaming query."""
+    model = baseline(prepare(spark, sf_dir))
+    landing, out, checkpoint = (scratch_path(spark, n) for n in ("requests-landing", "requests-scored", "stream-ckpt"))
+    stream_scoring.land_requests(requests_for(spark, sf_dir), landing)
+    q = stream_scoring.start_scoring_stream(spark, landing, out, checkpoint, model, _model_version())
     q.awaitTermination()
-    return stream_scoring.read_output(spark, out, "scored")
+    for path in (landing, out, checkpoint):
+        remove_at_exit(spark, path)
+    return stream_scoring.read_output(spark, out, kind)
+
+
+def streamed_scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request files scored as a stream; equals ``scored_requests``."""
+    return rounded(_streamed(spark, sf_dir, "scored"))
+
+
+def streamed_rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 + F10: what the stream rejects; equals ``rejected_records``."""
+    return _streamed(spark, sf_dir, "rejected")
 
 
 _QUERIES: dict[str, Query] = {
@@ -345,6 +376,7 @@ _QUERIES: dict[str, Query] = {
     "open_hours_profile": open_hours_profile_q,
     "clean_observations": clean_observations_q,
     "service_filtered": service_filtered,
+    "closed_hours_fallback": closed_hours_fallback,
     "service_mask_counts": service_mask_counts,
     "open_hours": open_hours,
     "service_hours_by_day": service_hours_by_day,
@@ -375,7 +407,10 @@ _QUERIES: dict[str, Query] = {
     "linear_holdout_metrics": linear_holdout_metrics,
     "gbt_scored_requests": gbt_scored_requests,
     "gbt_profile_24h": gbt_profile_24h,
+    "category_vocabulary": category_vocabulary,
+    "numeric_fill_means": numeric_fill_means,
     "streamed_scored_requests": streamed_scored_requests,
+    "streamed_rejected_records": streamed_rejected_records,
 }
 
 

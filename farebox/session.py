@@ -27,26 +27,26 @@ BASE_CONF = {
 }
 
 
-def cluster_conf(shuffle_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
-    """Settings for a cluster run, sized from the expected shuffle volume.
+def job_session(app_name: str = "farebox", scratch: str | None = None) -> SparkSession:
+    """The session of a submitted job: master and widths are spark-submit's.
 
-    One shuffle partition per ~256 MB of shuffle input (AQE coalesces small
-    ones and splits skewed ones), file splits of 256 MB for the scans, and a
-    broadcast threshold kept modest because farebox broadcasts explicitly,
-    after counting the side.
+    ``scratch`` is the shared folder for intermediate tables, used where
+    ``spark.checkpoint.dir`` is unset.
     """
-    partitions = max(200, -(-shuffle_bytes // target_partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-        "spark.sql.files.maxPartitionBytes": str(256 << 20),
-        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
-    }
+    builder = SparkSession.builder.appName(app_name)
+    for key, value in BASE_CONF.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    sc = spark.sparkContext
+    if scratch and not sc.getConf().get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch)
+    ensure_checkpoint_dir(spark)
+    return spark
 
 
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 app_name: str = "farebox", extra: dict | None = None) -> SparkSession:
+    """A local session, for tests and benchmarks."""
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -84,6 +84,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/farebox/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have ``path`` (already written) removed when the application ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
+def remove_now(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(spark: SparkSession, df, name: str, metrics: list | None = None):
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
@@ -91,7 +102,8 @@ def materialize(spark: SparkSession, df, name: str, metrics: list | None = None)
     the upstream plan) and lets several later jobs scan a compact, already
     computed table instead of repeating the work. With ``metrics`` (aggregate
     columns) the write also observes them and the call returns
-    ``(table, metrics_dict)``: no extra pass over the data.
+    ``(table, metrics_dict)``: no extra pass over the data. The copy is removed
+    when the application ends.
     """
     from pyspark.sql import Observation
 
@@ -101,5 +113,6 @@ def materialize(spark: SparkSession, df, name: str, metrics: list | None = None)
         observation = Observation(name)
         df = df.observe(observation, *metrics)
     df.write.mode("overwrite").parquet(path)
-    table = spark.read.parquet(path)
+    remove_at_exit(spark, path)
+    table = spark.read.schema(df.schema).parquet(path)
     return (table, observation.get) if observation is not None else table

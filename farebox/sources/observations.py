@@ -42,10 +42,11 @@ def read_observations_csv(spark: SparkSession, path: str) -> DataFrame:
 
     No schema inference (a full extra pass at scale, and it would turn an
     all-digit line column into numbers); no trimming (normalising is a
-    separate, explicit step).
+    separate, explicit step). Doubled quotes inside a quoted field stand for
+    one; line breaks inside quotes are not supported (files stay splittable).
     """
     df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
+          .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').csv(path))
     return with_null_tokens(lower_names(df))
 
 
@@ -99,13 +100,8 @@ def observation_standin(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 
 def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw (text) observations for a driver scale-factor folder: the stand-in
-    landed as parquet, read with the S1 contract."""
-    from farebox.sources.landing import landed
-
-    def build():
-        return observation_standin(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
-    return read_observations_parquet_df(landed(spark, sf_dir, "observations", build))
+    """Raw (text) observations for a driver scale-factor folder, with the S1 contract."""
+    return read_observations_parquet_df(observation_standin(spark, spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
 def read_observations_parquet_df(df: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ The reference fetches current weather and the day's venue events as JSON
 over HTTP and reads them immediately; here responses are landed as rows and
 read as tables (the HTTP calls themselves are not part of the engine).
 
-The stand-ins below build such rows from the driver's ``events`` table:
-weather from ``error`` rows, event listings from ``signup`` rows grouped
-into pages. They only supply rows, including failed responses, empty bodies
-and events with missing parts; parsing and everything after is the job's.
+The stand-ins below build such rows from the driver's ``events`` table: one
+weather response and one listed event for every row, events grouped into
+pages. Failed responses and empty bodies come on top, so no row of ``events``
+is lost to them; some events have missing parts. The stand-ins only supply
+rows; parsing and everything after is the job's.
 """
 
 from __future__ import annotations
@@ -20,24 +21,23 @@ from farebox.sources.literal import literal_frame
 
 # Invented condition texts for the weather stand-in (not reference data).
 CONDITIONS = ["Sunny", "Partly cloudy", "Light rain", "Overcast"]
-EVENT_PAGE_IDS = 250   # event ids per landed page (about 50 signups)
+EVENT_PAGE_IDS = 250   # event ids per landed page
 OTHER_VENUE = ("KovZpZAOther", "Other Venue")
 
 
 def weather_standin(events: DataFrame) -> DataFrame:
-    e = events.where(F.col("event_type") == "error")
+    e = events
     eid = F.col("event_id")
     cond = F.element_at(F.array(*[F.lit(c) for c in CONDITIONS]),
                         (F.col("user_id") % len(CONDITIONS) + 1).cast("int"))
     temp = (F.col("value").cast("decimal(18,2)") - 15).cast("string")
     ok_body = F.concat(F.lit('{"location":{"name":"Metro"},"current":{"temp_c":'), temp,
                        F.lit(',"condition":{"text":"'), cond, F.lit('"}}}'))
-    failed = eid % 13 == 0
-    return e.select(
-        F.col("ts").alias("fetched_at"),
-        F.when(failed, F.lit(500)).otherwise(F.lit(200)).alias("status"),
-        F.when(failed, F.lit('{"error":{"code":1006,"message":"No matching location found."}}'))
-         .otherwise(ok_body).alias("body"))
+    good = e.select(F.col("ts").alias("fetched_at"), F.lit(200).alias("status"), ok_body.alias("body"))
+    failed = e.where(eid % 13 == 0).select(
+        F.col("ts").alias("fetched_at"), F.lit(500).alias("status"),
+        F.lit('{"error":{"code":1006,"message":"No matching location found."}}').alias("body"))
+    return good.unionByName(failed)
 
 
 def _venue_json(spark: SparkSession) -> DataFrame:
@@ -53,7 +53,7 @@ def _venue_json(spark: SparkSession) -> DataFrame:
 
 
 def events_payload_standin(spark: SparkSession, events: DataFrame) -> DataFrame:
-    e = events.where(F.col("event_type") == "signup").select("event_id", "ts", "user_id")
+    e = events.select("event_id", "ts", "user_id")
     eid = F.col("event_id")
     n_venues = len(VENUES) + 1
     v = _venue_json(spark)  # nine rows: a broadcast is always safe
@@ -76,26 +76,21 @@ def events_payload_standin(spark: SparkSession, events: DataFrame) -> DataFrame:
                   F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "ev"))),
                                            lambda x: x["ev"]), ",").alias("evs")))
     page = F.col("page")
-    body = (F.when(page % 7 == 3, F.lit("{}"))
-             .otherwise(F.concat(F.lit('{"_embedded":{"events":['), F.col("evs"),
-                                 F.lit(']},"page":{"number":'), page.cast("string"), F.lit("}}"))))
-    failed = page % 11 == 5
-    return pages.select(
-        "fetched_at",
-        F.when(failed, F.lit(500)).otherwise(F.lit(200)).alias("status"),
-        F.when(failed, F.lit('{"errors":[{"code":"SERVER_ERROR"}]}')).otherwise(body).alias("body"))
+    body = F.concat(F.lit('{"_embedded":{"events":['), F.col("evs"),
+                    F.lit(']},"page":{"number":'), page.cast("string"), F.lit("}}"))
+    good = pages.select("fetched_at", F.lit(200).alias("status"), body.alias("body"))
+    empty = pages.where(page % 7 == 3).select("fetched_at", F.lit(200).alias("status"), F.lit("{}").alias("body"))
+    failed = pages.where(page % 11 == 5).select(
+        "fetched_at", F.lit(500).alias("status"), F.lit('{"errors":[{"code":"SERVER_ERROR"}]}').alias("body"))
+    return good.unionByName(empty).unionByName(failed)
 
 
 def landed_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from farebox.sources.landing import landed
-    return landed(spark, sf_dir, "weather", lambda: weather_standin(
-        spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return weather_standin(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from farebox.sources.landing import landed
-    return landed(spark, sf_dir, "event-pages", lambda: events_payload_standin(
-        spark, spark.read.parquet(f"{sf_dir}/events.parquet")))
+    return events_payload_standin(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def clock_text_standin(events: DataFrame) -> DataFrame:

@@ -22,19 +22,19 @@ from farebox.operators.score import parse_records, score, validate
 REQUEST_FILE_SCHEMA = "request_id bigint, body string"
 
 
-def land_requests(requests: DataFrame, path: str, files: int = 4) -> None:
+def land_requests(requests: DataFrame, path: str) -> None:
     """Write request rows as JSON-lines files (the stream's input)."""
-    requests.repartition(files).write.mode("overwrite").json(path)
+    requests.write.mode("overwrite").json(path)
 
 
 def start_scoring_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
                          model, model_version, strict: bool = False,
-                         files_per_trigger: int = 1):
+                         bytes_per_trigger: int = 1 << 30):
     """Start the scoring query with an available-now trigger; returns the
     ``StreamingQuery``. Scored rows go to ``out/scored``, rejections to
     ``out/rejected``, one ``epoch=<id>`` folder per micro-batch."""
     stream = (spark.readStream.schema(REQUEST_FILE_SCHEMA)
-              .option("maxFilesPerTrigger", files_per_trigger).json(landing))
+              .option("maxBytesPerTrigger", bytes_per_trigger).json(landing))
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         checked = validate(parse_records(batch), strict=strict).persist(

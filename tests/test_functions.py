@@ -44,19 +44,3 @@ def test_csv_reader_keeps_text_and_nulls_tokens(spark):
     assert rows[2]["line"] == " 2" and rows[2]["hour"] == "abc"
     assert dict(df.dtypes) == {c: "string" for c in df.columns}
     assert df.filter(F.col("hour") == "24").count() == 1
-
-
-def test_options_listing_refuses_unbounded_arrays(spark):
-    import pytest
-    from farebox.operators.options import options_listing, options_long
-    raw = spark.range(50).selectExpr("concat('S', id) AS station", "'1' AS line", "'monday' AS day")
-    with pytest.raises(ValueError):
-        options_listing(spark, raw, max_values=10)
-    assert options_long(spark, raw).filter("kind = 'station'").count() == 50
-
-
-def test_cluster_conf_sizes_shuffle():
-    from farebox.session import cluster_conf
-    conf = cluster_conf(100 << 40)  # 100 TiB of shuffle input
-    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
-    assert int(cluster_conf(1 << 20)["spark.sql.shuffle.partitions"]) == 200

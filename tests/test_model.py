@@ -3,6 +3,7 @@ compressed training equals raw-row training for squared loss."""
 
 import math
 
+import pytest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
@@ -16,6 +17,26 @@ SCHEMA = ("station string, line string, day string, hour double, minute int, is_
           "riders double")
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_same_trees_for_any_layout(spark, compress):
+    rows = [(f"S{i % 17}", str(i % 3), ["monday", "sunday", None][i % 3], float(i % 24), 0, i % 2, (i * 37 % 101) / 7)
+            for i in range(900)]
+    train = spark.createDataFrame(rows, SCHEMA)
+    probe = train.select("station", "line", "day", "hour", "minute", "is_weekend").distinct()
+    found = []
+    for n in (1, 3, 8):
+        model = ml.fit_model(train.orderBy(F.rand(n)).repartition(n), algo="gbt", max_iter=4, compress=compress)
+        found.append(sorted(map(str, ml.PipelineScorer(model).predict(probe).collect())))
+    assert found[0] == found[1] == found[2]
+
+
+def test_numeric_means_count_compressed_rows_by_weight(spark):
+    rows = [("A", "1", "monday", 6.0, 0, 0, 1.0)] * 9 + [("A", "1", "monday", 16.0, 0, 1, 1.0)]
+    for compress in (True, False):
+        fills = ml.fit_model(spark.createDataFrame(rows, SCHEMA), algo="linear", compress=compress).stages[3].fill_values()
+        assert fills == {"hour": 7.0, "minute": 0.0, "is_weekend": 0.1}
+
+
 def test_unknown_category_is_zero_vector(spark):
     train = spark.createDataFrame(ROWS, SCHEMA)
     model = ml.fit_model(train, algo="linear")

@@ -1,7 +1,5 @@
 """Streaming scoring: restart from the checkpoint, no duplicates, equals batch."""
 
-from pyspark.sql import functions as F
-
 from farebox.operators.baseline import fit_baseline
 from farebox.operators.score import parse_records, score, validate
 from farebox.session import scratch_path
@@ -14,9 +12,9 @@ def test_restart_processes_only_new_files(spark, small_dir):
     from farebox.sources.requests import request_standin
     train = spark.createDataFrame(TRAIN, "obs_id long, station string, line string, day string, "
                                          "hour double, minute int, is_weekend int, riders double")
-    model = fit_baseline(train.withColumn("riders", F.col("riders").cast("decimal(18,2)")))
+    model = fit_baseline(train)
     reqs = request_standin(spark, spark.read.parquet(f"{small_dir}/events.parquet"))
-    first, second = reqs.filter("request_id % 2 = 0"), reqs.filter("request_id % 2 = 1")
+    first, second = reqs.filter("request_id % 2 = 0"), reqs.filter("request_id % 2 != 0")
     landing, out, ckpt = (scratch_path(spark, n) for n in ("landing", "out", "ckpt"))
     first.repartition(2).write.json(f"{landing}/a")
     q = st.start_scoring_stream(spark, f"{landing}/*", out, ckpt, model, "v1")
