@@ -18,7 +18,8 @@ from farebox.llm.common import documents, held_out, scratch, table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score of 0.5 or more)."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), held_out(F.col("doc_id"), 3, 1))
-    return quality.score(docs, model).where("score >= 0.5").select(*docs.columns)
+    scores = quality.score(docs, model, "_score")
+    return scores.where("_score >= 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +28,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that share the kept doc_id are one document: the first by text stays.
     Rows without a doc_id stay.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    one = (docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-           .withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns))
-    return one.unionByName(docs.where("doc_id is null"))
+    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    order = Window.partitionBy("id").orderBy("row.text", F.to_json("row"))
+    one = whole.join(kept, "id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return (one.select("row").unionByName(whole.where("id is null").select("row"))
+            .select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +48,13 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return clean.select(*docs.columns)
+    return clean
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
-    ids = byte_bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
-    return ids
+    """doc_id, n_tokens, ids, and the text that the ids decode to."""
+    tokens = byte_bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("ids").alias("kept"))
+    return byte_bpe.decode(tokens).select("doc_id", "n_tokens", F.col("kept").alias("ids"), F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [

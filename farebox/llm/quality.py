@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from farebox.llm.common import bounded_sample_ids, ship
 from farebox.llm.words import PLAIN, mix, text_buffer, words_of
@@ -174,11 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column | None = None, per_clas
     return train([(classes[r[0]], bytes(r[1]), bytes(r[2])) for r in sorted(rows, key=lambda r: r[0])])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a last column ``score`` (0 to 1, higher: better); a column of that name is replaced."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a last column ``name`` (0 to 1, higher: better); a column of that name is replaced."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))    # one number a bucket
-    others = [c for c in docs.columns if c != "score"]
+    others = [c for c in docs.columns if c != name]
     at = others.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             buf, offsets = text_buffer(batch.column(at))
             scores = [own.scores(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]) for i, j in parts(offsets)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*others, "score"])
+                [*batch.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*others, name])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score"), "score double"])
-    return docs.select(*others).mapInArrow(run, schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in others])
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))

@@ -15,7 +15,7 @@ cost one search for it.
 are random strings, words outside matches ordinary identifiers, from a bounded
 sample of ``SAMPLE_DOCS`` documents (the first by a hash of their id). Counting
 is a grouped aggregate; the driver gets one number for each character pair
-(4,356 at most for each model). Pairs never seen fall back on a uniform prior.
+(4,356 at most for each model). Rare pairs fall back on single characters.
 
 Null text is empty; without matches the list of spans is empty. Rows are
 independent, so repeated rows and empty tables need no case of their own.
@@ -44,7 +44,7 @@ CANDIDATE = r"[A-Za-z0-9+/_=]{20,}+"
 WORD = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 SAMPLE_DOCS = 1000
 MARGIN = 0.5
-PRIOR = {True: 40.0, False: 4.0}       # weight of the uniform prior for each first character
+PRIOR = {True: 40.0, False: 4.0}       # weight of the single-character model for each first character
 
 SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
@@ -99,12 +99,15 @@ def train(samples: DataFrame) -> list[float]:
                  F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.col("sample").substr(i, F.lit(2)))).alias("pair")))
     known = F.col("pair").rlike(f"^[{ALPHABET}]{{2}}$")
     counts = {(r[0], r[1]): r[2] for r in pairs.where(known).groupBy("is_random", "pair").count().collect()}
-    n = len(ALPHABET)
+    single = {}                        # share of each second character, whatever the first
+    for kind in (True, False):
+        own = [1 + sum(counts.get((kind, a + b), 0) for a in ALPHABET) for b in ALPHABET]
+        single[kind] = [x / sum(own) for x in own]
     out = []
     for a in ALPHABET:
         rows = {}
         for kind in (True, False):
-            own = [counts.get((kind, a + b), 0) + PRIOR[kind] / n for b in ALPHABET]
+            own = [counts.get((kind, a + b), 0) + PRIOR[kind] * single[kind][i] for i, b in enumerate(ALPHABET)]
             rows[kind] = [log(x / sum(own)) for x in own]
         out += [x - y for x, y in zip(rows[True], rows[False])]
     return out
@@ -131,17 +134,18 @@ def scan(docs: DataFrame, model: list[float]) -> DataFrame:
     return _with_spans(rows, model).select("doc_id", "base", "spans")
 
 
-def _with_spans(rows: DataFrame, model: list[float], text: str = "text") -> DataFrame:
-    found = rows.withColumn("base", F.array_sort(base_spans(F.col(text))))
-    extra = _matches(F.col(text), "markov", CANDIDATE, lambda token: ratio(token, model) > MARGIN)
+def _with_spans(rows: DataFrame, model: list[float]) -> DataFrame:
+    found = rows.withColumn("base", F.array_sort(base_spans(F.col("text"))))
+    extra = _matches(F.col("text"), "markov", CANDIDATE, lambda token: ratio(token, model) > MARGIN)
     alone = F.filter(extra, lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return found.withColumn("spans", F.array_sort(F.concat(F.col("base"), alone)))
 
 
 def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark``; overlapping spans give one mark."""
-    kept = F.col("_text")
-    rows = _with_spans(docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))), model, "_text")
+    kept = F.col("text")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")      # apart from the names used here
+    rows = _with_spans(docs.select(whole, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), model)
     zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, span: Column) -> Column:
@@ -151,8 +155,8 @@ def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]") -> DataF
 
     clean = F.aggregate("spans", zero, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(kept, (acc["pos"] + 1).cast("int"), F.length(kept))))
-    return (rows.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-            .select(*docs.columns))
+    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("row.text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def span_text(spans: Column) -> Column:

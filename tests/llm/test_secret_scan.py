@@ -1,0 +1,86 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from farebox.llm import secret_scan as S
+from farebox.llm.queries import op4_secret_scan
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    """The base spans, match by match."""
+    text = text or ""
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32]
+    return sorted(found)
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
+
+
+def test_base_spans_against_brute_force(spark):
+    rng = random.Random(7)
+    parts = ["password", "Token", "API_KEY", "apikey", "ſecret", "secret", "=", " = ", ": ", '"', "'", "abc", "AKIA", "AKIAABCDEFGH0123",
+             "0123456789abcdef" * 2, "0123456789ABCDEF", "é", "\U0001f600", " ", "\n", "xyz12345", "deadbeef", "-", "passwd:", "TOKEN=token=abcdefgh1"]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 25)))) for i in range(3000)] + [(-1, None), (-2, ""), (-3, "x" * 200_000)]
+    rows += [(-4, "token=abcdefgh1 " * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = [-1.0] * len(S.ALPHABET) ** 2
+    got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in S.scan(docs, model).collect()}
+    assert got == {i: brute(t) for i, t in rows}
+
+
+def test_query_digests(spark):
+    folder = "/root/testdata/sf0.01"
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for r in op4_secret_scan(spark, folder).collect():
+        own = brute(text[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(joined(own).encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(s[2] == k for s in own) for k in ("assign", "access", "hex"))
+        assert set(joined(own).split(",")) <= set(r["spans"].split(","))
+
+
+def samples(spark, rng):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    random_ones = ["".join(rng.choices(letters, k=32)) for _ in range(200)]
+    names = ["".join(rng.choices(["get", "user", "Name", "value", "total", "count", "of", "Line", "index", "_", "parse"], k=5)) for _ in range(400)]
+    return spark.createDataFrame([(x, True) for x in random_ones] + [(x, False) for x in names], "sample string, is_random boolean"), letters, names
+
+
+def test_models_tell_random_strings_from_identifiers(spark):
+    rng = random.Random(9)
+    labelled, letters, names = samples(spark, rng)
+    model = S.train(labelled)
+    fresh = ["".join(rng.choices(letters, k=28)) for _ in range(200)]
+    long_names = [n for n in names if len(n) >= 20]
+    docs = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(fresh + long_names)], "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in S.scan(docs, model).collect()}
+    assert sum(bool(got[i]) for i in range(len(fresh))) >= 0.98 * len(fresh)
+    assert sum(bool(got[len(fresh) + i]) for i in range(len(long_names))) <= 0.02 * len(long_names)
+
+
+def test_edges_and_redaction(spark, docs, no_docs):
+    rng = random.Random(9)
+    model = S.train(samples(spark, rng)[0])
+    assert S.scan(docs, model).count() == docs.count() and S.scan(no_docs, model).count() == 0
+    assert len(S.train(S.labelled_samples(no_docs))) == len(S.ALPHABET) ** 2
+    text = 'é token = "0123456789abcdef0123456789abcdef" and AKIAABCDEFGH0123.'
+    extra = docs.limit(1).withColumn("text", F.lit(text)).unionByName(docs)
+    out = S.redact(extra, model)
+    assert out.columns == docs.columns
+    assert out.where(F.col("text").contains("[SECRET]")).select("text").first()[0] == 'é [SECRET]" and [SECRET].'
+    untouched = {tuple(r) for r in out.where(~F.coalesce(F.col("text").contains("[SECRET]"), F.lit(False))).select("doc_id", "text").collect()}
+    assert untouched == {tuple(r) for r in docs.select("doc_id", "text").collect()}
+    assert out.where("row != 1 or base != 2.0 or score != 'high'").count() == 0
+
+
+def test_main_path_has_no_python(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1")], "doc_id long, text string")
+    plan = S.redact(docs, [0.0] * len(S.ALPHABET) ** 2)._jdf.queryExecution().toString()
+    plan += S.scan(docs, [0.0] * len(S.ALPHABET) ** 2)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan.split("== Physical Plan ==")[-1])
