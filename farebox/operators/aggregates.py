@@ -27,9 +27,3 @@ def most_frequent(df: DataFrame, value: str, keys: list[str] | None = None,
                .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     rank = F.struct((-F.col("_n")).alias("neg_n"), F.col(value).alias("v"))
     return counted.groupBy(*keys).agg(F.min_by(F.col(value), rank).alias(out))
-
-
-def most_frequent_value(df: DataFrame, value: str):
-    """Scalar mode (one small action); ``None`` when every value is null."""
-    row = most_frequent(df, value).first()
-    return None if row is None else row[0]

@@ -29,14 +29,12 @@ TRAINED_AT = "2024-02-01 12:46:00"
 
 @dataclass
 class Prepared:
-    raw: DataFrame
     obs: DataFrame              # cleaned, null hours dropped
-    n_open: int | None = None   # open rows, observed while staging ``obs``
+    n_open: int                 # open rows, observed while storing ``obs``
 
     @cached_property
     def kept(self) -> DataFrame:
-        """Service-hours filter applied (the open-row count is known from
-        staging; without staging one small count action finds it)."""
+        """Service-hours filter applied."""
         return service_filter(self.obs, n_open=self.n_open)
 
     @cached_property
@@ -63,13 +61,10 @@ class Prepared:
         return self.split.filter(F.col("is_test"))
 
 
-def prepare(spark: SparkSession, sf_dir: str, stage: bool = True) -> Prepared:
-    raw = raw_observations(spark, sf_dir)
-    obs = clean_observations(raw)
-    if not stage:
-        return Prepared(raw, obs)
+def prepare(spark: SparkSession, sf_dir: str) -> Prepared:
+    obs = clean_observations(raw_observations(spark, sf_dir))
     staged, counts = materialize(spark, obs, "clean-observations", mask_metrics(obs))
-    return Prepared(raw, staged, counts["n_open"])
+    return Prepared(staged, counts["n_open"])
 
 
 

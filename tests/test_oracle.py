@@ -9,9 +9,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
 from farebox.plans import ORACLE, QUERIES  # noqa: E402
 
-SLOW = {"gbt_holdout_metrics", "linear_holdout_metrics", "gbt_scored_requests", "gbt_profile_24h"}
-
-
 @pytest.fixture(scope="module")
 def duck(small_dir):
     from oracle_check import duck as make
@@ -25,7 +22,9 @@ def test_query_matches_sql(spark, duck, small_dir, name):
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ORACLE))
-def test_rows_only_queries_run(spark, small_dir, name):
+def test_rows_only_queries_run(spark, small_dir, name, monkeypatch):
+    from farebox.operators import model as ml
+    monkeypatch.setitem(ml.GBT_PARAMS, "maxIter", 5)         # the queries themselves run all 600 trees
     rows = QUERIES[name](spark, small_dir).collect()
     assert len(rows) > 0
 
