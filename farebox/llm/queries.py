@@ -133,6 +133,45 @@ ORACLE = {
         select w.doc_id, len(words)::bigint n_words, len(words)::bigint - coalesce(n, 0) n_removed,
           sha256(coalesce(t, '')) kept_sha256
         from w left join kept on w.doc_id = kept.doc_id""",
+    "op6_decontaminate": """
+        with d as (
+          select doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') words from documents),
+        b0 as (
+          select item_id, list_filter(regexp_split_to_array(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') words from benchmark where item_id is not null and text is not null),
+        b as (select row_number() over () k, item_id, words, len(words) n, least(5, len(words)) z from b0 where len(words) > 0),
+        item as (
+          select k, z, n - z + 1 span, n, sh, count(*) c
+          from (select k, z, n, array_to_string(words[i:i + z - 1], ' ') sh
+                from (select *, unnest(range(1, n - z + 2)) i from b)) group by all),
+        own as (
+          select doc_id, z, i, array_to_string(words[i:i + z - 1], ' ') sh
+          from (select doc_id, words, z, unnest(range(1, len(words) - z + 2)) i
+                from d join (select distinct z from b) on len(words) >= z)),
+        starts as (
+          select distinct doc_id, k, z, span, s from (
+            select own.doc_id, k, item.z, span, n, unnest(range(greatest(1, i - span + 1), i + 1)) s
+            from own join item on own.z = item.z and own.sh = item.sh)
+          join d using (doc_id) where s + n - 1 <= len(words)),
+        seen as (
+          select w.doc_id, w.k, w.span, w.s, own.sh, count(*) c
+          from (select *, unnest(range(s, s + span)) i from starts) w
+          join own on own.doc_id = w.doc_id and own.z = w.z and own.i = w.i group by all),
+        likes as (
+          select doc_id, k, sum(least(seen.c, item.c))::double / (2 * span - sum(least(seen.c, item.c))) similarity
+          from seen join item using (k, span, sh) group by doc_id, k, span, s),
+        found as (
+          select doc_id, item_id, max(similarity) similarity from likes join b using (k)
+          where similarity >= 0.75 group by doc_id, item_id),
+        per as (
+          select doc_id, count(*) n_items, list(item_id order by item_id) items, max(similarity) similarity
+          from found group by doc_id)
+        select d.doc_id, len(words)::bigint n_words, coalesce(n_items, 0)::bigint n_items,
+          coalesce(items, []::bigint[]) items, coalesce(similarity, 0.0::double) similarity, n_items is not null contaminated
+        from d left join per on d.doc_id = per.doc_id""",
     "op7_near_dedup": """
         with recursive w as (
           select doc_id, list_filter(regexp_split_to_array(
