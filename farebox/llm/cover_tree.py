@@ -224,7 +224,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     placed = points.select("name", "dim", "v", "ids").mapInArrow(near, "name long, dim int, v array<bigint>, ids array<bigint>, pivot int")
     placed = scratch(placed, "points")
     sizes = placed.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
-    data = (placed.join(F.broadcast(sizes), ["dim", "pivot"])            # one row for each length and pivot
+    data = (placed.join(sizes, ["dim", "pivot"])
             .withColumn("block", F.xxhash64("dim", "pivot", F.pmod(F.xxhash64("name"), F.col("parts"))))
             .select("block", "v", "ids").groupBy("block").applyInArrow(_data_block, BLOCK_ROW))
     queries = rows.where(is_query)
