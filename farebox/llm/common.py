@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import tempfile
 import uuid
@@ -68,10 +67,6 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def bounded_sample_ids(ids: DataFrame, limit: int) -> list[int]:
     """Up to ``limit`` ids of ``ids(doc_id)``, the first by a fixed hash order."""
     rows = (ids.where(F.col("doc_id").isNotNull()).distinct()

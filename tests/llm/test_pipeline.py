@@ -2,7 +2,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from farebox.llm import byte_bpe, quality, secret_scan
+from farebox.llm import byte_bpe, quality
 from farebox.llm.common import held_out
 from tests.llm import test_decontaminate, test_near_dedup, test_secret_scan
 
@@ -53,4 +53,3 @@ def test_the_rest_works_without_the_subpackage():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("llm" in n or "corpus_pipeline" in n for n in names), path
-    assert secret_scan and corpus_pipeline.ORACLE_SQL is None
