@@ -1,18 +1,19 @@
 """Repeated passages by recompression.
 
-Words are hashed, then compressed in rounds. A round gives each symbol a coin
-from its own name: left or right. A left symbol followed by a right one merges
-with it into a pair whose name is a hash of the two names; runs of equal
-symbols never merge with themselves. Names and coins depend on nothing but the
-symbols, so all tasks name alike and equal word sequences parse alike, except
-near their ends, where a symbol might merge with an unknown neighbour.
+Words are hashed, then compressed in rounds. First every run of equal words
+becomes one symbol, named by the word and the run's length. Then come rounds of
+pairs: each symbol gets a coin from its own name, left or right, and a left
+symbol followed by a right one merges with it into a pair, named by the two
+names. Names are hashes: they and the coins depend on nothing but the symbols,
+so all tasks name alike, without a shuffle, and equal word sequences parse
+alike, except near their ends, where a run might go on or a symbol merge with
+an unknown neighbour.
 
 For a window of ``WINDOW`` words the symbols that are certain whatever
 surrounds it are known from its words alone. Among the certain symbols of the
-last of ``ROUNDS`` rounds that has any, one is the window's anchor, chosen by
-size and name. After three rounds at most seven words at either end are
-uncertain, so every window has an anchor; equal windows have equal anchors at
-equal places, and windows that follow each other mostly share one.
+last of ``ROUNDS`` rounds that has any (before all rounds the words are), one
+is the window's anchor, chosen by size and name. Equal windows have equal
+anchors at equal places, and windows that follow each other mostly share one.
 
 1. Every document gives one row for each anchor and the consecutive windows
    that share it: the anchor's name, and a hash of the block of words that
@@ -41,7 +42,7 @@ from farebox.llm.common import map_batches, scratch
 from farebox.llm.words import mix, text_buffer, window_hashes, words_of
 
 WINDOW = 20
-ROUNDS = 5
+ROUNDS = 4                             # of pairs
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -96,6 +97,19 @@ def anchors(hashes: np.ndarray, firsts: np.ndarray, window: int = WINDOW):
             at = _first_of_range(size, names, low, high)
             found_names[which], found_places[which] = names[at], begins[at]
 
+    head = np.ones(n, dtype=bool)                    # starts a run of equal words
+    head[1:] = (names[1:] != names[:-1]) | last[:-1]
+    heads = np.flatnonzero(head)
+    index = np.cumsum(head) - 1
+    after = np.append(heads[1:], n)                  # end of each run
+    inner_lows, inner_highs = after[index[lows]], heads[index[highs]] - 1   # runs at the edges may go on
+    kept = inner_lows <= inner_highs
+    settle(live[~kept], lows[~kept], highs[~kept])
+    lows, highs, live = index[inner_lows[kept]], index[inner_highs[kept]], live[kept]
+    size = (after - heads).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        names = np.where(size > 1, mix(names[heads] * _A + size * _B), names[heads])
+    begins, last = heads, last[after - 1]
     for level in range(ROUNDS):
         if not len(live):
             break
