@@ -53,8 +53,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the text that the ids decode to."""
-    tokens = byte_bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("ids").alias("kept"))
-    return byte_bpe.decode(tokens).select("doc_id", "n_tokens", F.col("kept").alias("ids"), F.col("decoded").cast("string").alias("text"))
+    return byte_bpe.encode(docs, decoded=True).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [

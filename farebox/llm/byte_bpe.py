@@ -27,17 +27,20 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from farebox.llm.common import ship
+from farebox.llm.common import map_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Unicode's White_Space, which the pattern's \s stands for.
 WHITE_SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Pieces kept with their ids, and the longest piece that is kept.
-KEPT_PIECES, KEPT_LENGTH = 300_000, 48
-_CHARACTERS = 1 << 20
+KEPT_PIECES, KEPT_LENGTH = 100_000, 48
+_BYTES, _AT_ONCE = 1 << 19, 2000
 
 
 def byte_characters() -> list[str]:
@@ -116,8 +119,10 @@ class ByteBPE:
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
         fresh = list(set(chain.from_iterable(pieces)).difference(self.kept))
-        encoded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.kept.update((p, array("i", e.ids).tobytes()) for p, e in zip(fresh, encoded))
+        for i in range(0, len(fresh), _AT_ONCE):       # the library's result objects are large
+            some = fresh[i:i + _AT_ONCE]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.kept.update((p, array("i", e.ids).tobytes()) for p, e in zip(some, encoded))
         ids = [np.frombuffer(b"".join(map(self.kept.__getitem__, own)), dtype=np.int32) for own in pieces]
         for p in fresh:
             if len(p) > KEPT_LENGTH:
@@ -140,50 +145,52 @@ class ByteBPE:
         return character[starts] - 1, character[ends - 1]
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    i, held = 0, 0
-    for j, text in enumerate(texts):
-        held += len(text)
-        if held >= _CHARACTERS:
-            yield i, j + 1
-            i, held = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
+def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of consecutive rows that hold about ``_BYTES`` of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())
+    i = 0
+    while i < len(column):
+        done = sizes[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(sizes, done + _BYTES, side="right")))
+        yield i, [t or "" for t in column.slice(i, j - i).to_pylist()]
+        i = j
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, offsets: bool = False) -> DataFrame:
-    """doc_id, ids and, on demand, starts and ends (characters) of each row of ``docs(doc_id, text)``.
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN,
+           offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """doc_id, ids and, on demand, starts and ends (characters) of each row of
+    ``docs(doc_id, text)``, or the bytes that the ids decode to.
 
     The driver reads the vocabulary file and broadcasts the model, which is of
     the vocabulary's size whatever the table.
     """
     spark = docs.sparkSession
-    ship(spark)
     held = spark.sparkContext.broadcast((model_json(read_ranks(vocabulary)), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE.of(*held.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in _groups(texts):
-                ids = bpe.encode(texts[i:j])
+            for i, texts in _groups(batch.column(1)):
+                ids = bpe.encode(texts)
                 cuts = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                columns = [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(cuts, np.concatenate(ids))]
+                columns = [batch.column(0).slice(i, len(texts)), pa.ListArray.from_arrays(cuts, np.concatenate(ids))]
                 if offsets:
-                    spans = [bpe.offsets(t, x) for t, x in zip(texts[i:j], ids)]
+                    spans = [bpe.offsets(t, x) for t, x in zip(texts, ids)]
                     columns += [pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts", "ends"][:len(columns)])
+                if decoded:
+                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, schema)
+    names = ["doc_id", "ids", *["starts", "ends"] * offsets, *["decoded"] * decoded]
+    schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets + ", decoded binary" * decoded
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """Replaces the column ``ids`` by ``decoded``, the tokens' bytes, as the last column."""
     spark = tokens.sparkSession
-    ship(spark)
     held = spark.sparkContext.broadcast((model_json(read_ranks(vocabulary)), pattern))
-    others = [c for c in tokens.columns if c != "ids"]
+    others = [c for c in tokens.columns if c not in ("ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE.of(*held.value)
@@ -194,5 +201,5 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTE
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), pa.array(decoded, pa.binary())],
                                              names=[*others, "decoded"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != "ids"), "decoded binary"])
-    return tokens.select(*others, "ids").mapInArrow(run, schema)
+    rows = tokens.select(*[F.col(f"`{c}`") for c in others], "ids")
+    return map_batches(rows, run, StructType([*rows.schema.fields[:-1], StructField("decoded", BinaryType())]))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farebox.llm.common import scratch, ship
+from farebox.llm.common import map_batches, scratch, ship
 
 SCALE = 1024
 K = 10
@@ -221,7 +221,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
             floors -= 1e-9 * np.abs(floors)
         return _block(group["block"][0].as_py(), queries, float(floors.min()), own, floors)
 
-    placed = points.select("name", "dim", "v", "ids").mapInArrow(near, "name long, dim int, v array<bigint>, ids array<bigint>, pivot int")
+    placed = map_batches(points.select("name", "dim", "v", "ids"), near, "name long, dim int, v array<bigint>, ids array<bigint>, pivot int")
     placed = scratch(placed, "points")
     sizes = placed.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
     data = (placed.join(sizes, ["dim", "pivot"])
@@ -253,9 +253,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
                     [pa.array(np.repeat(own, n), pa.int64()), pa.array(np.concatenate(best.ids), pa.int64()),
                      pa.array(np.concatenate(best.scores), pa.int64())], names=["query_id", "vec_id", "score"])
 
-    found = (pairs.join(asked.select(F.col("block").alias("query_block"), F.col("tree").alias("asked")), "query_block")
-             .join(data.select(F.col("block").alias("data_block"), F.col("tree").alias("held")), "data_block")
-             .select("asked", "held").mapInArrow(search, "query_id long, vec_id long, score long"))
+    matched = (pairs.join(asked.select(F.col("block").alias("query_block"), F.col("tree").alias("asked")), "query_block")
+               .join(data.select(F.col("block").alias("data_block"), F.col("tree").alias("held")), "data_block")
+               .select("asked", "held"))
+    found = map_batches(matched, search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int"), "vec_id", "score"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farebox.llm.common import ship
+from farebox.llm.common import map_batches
 from farebox.llm.words import FOLDED, mix, text_buffer, window_hashes, words_of
 
 SHINGLE = 5
@@ -189,7 +189,7 @@ def _matched(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 [batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(rows, kind)],
                 names=["row", "n_words", "matches"])
 
-    return docs.mapInArrow(run, f"row {docs.schema[0].dataType.simpleString()}, n_words bigint, matches {MATCH}")
+    return map_batches(docs, run, f"row {docs.schema[0].dataType.simpleString()}, n_words bigint, matches {MATCH}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -198,7 +198,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matches: (item_id, start, end, similarity) by item: the item's best window,
     in words from 0, end exclusive; of equals the first. An empty list: clean.
     """
-    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     parts = _parts(benchmark)
     if len(parts) == 1:
@@ -217,7 +216,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a match, with all columns."""
-    ship(docs.sparkSession)
     out = docs
     for items in _parts(benchmark):
         held = docs.sparkSession.sparkContext.broadcast(items)
@@ -235,5 +233,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     i = j
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, out.schema)
+        out = map_batches(out, run, out.schema)
     return out

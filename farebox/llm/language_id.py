@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farebox.llm.common import ship
+from farebox.llm.common import map_batches
 from farebox.llm.words import text_buffer
 
 LENGTH = 256
@@ -133,7 +133,6 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, held: Column | None = None, per_language: int = PER_LANGUAGE) -> Network | None:
     """A network from ``docs(doc_id, text, lang)``; rows where ``held`` is true are not learned from."""
-    ship(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long"), "lang", F.col("text").cast("string")).where(
         "doc_id is not null and lang is not null and text is not null")
     if held is not None:
@@ -145,8 +144,8 @@ def fit(docs: DataFrame, held: Column | None = None, per_language: int = PER_LAN
     if not ids:
         return None
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string").distinct()
-    rows = sorted(known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
-                  .mapInArrow(_sampled, "lang string, bytes binary").collect())
+    sample = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    rows = sorted(map_batches(sample, _sampled, "lang string, bytes binary").collect())
     languages = sorted({r[0] for r in rows})
     if not languages:
         return None
@@ -157,7 +156,6 @@ def fit(docs: DataFrame, held: Column | None = None, per_language: int = PER_LAN
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, lang_pred, score of each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
-    ship(spark)
     held = spark.sparkContext.broadcast(network and vars(network))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
                        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
@@ -191,4 +189,4 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)],
                                              names=["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_batches(rows, run, "doc_id long, lang_pred string, score double")

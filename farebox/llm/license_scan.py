@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farebox.llm.common import ship
+from farebox.llm.common import map_batches
 
 #: The base phrases and their labels.
 BASE = {
@@ -164,7 +164,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: di
     places: array of (label, start, end, base) by start; words from 0, end
     exclusive. score: share of the words that lie in an accepted place.
     """
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(base, templates)
@@ -184,6 +183,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: di
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(scores, pa.float64()), pa.array(all_places, kind)],
                 names=["doc_id", "n_words", "score", "places"])
 
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc_id long, n_words long, score double, "
-                             "places array<struct<label:string,start:long,end:long,base:boolean>>"))
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run,
+                       "doc_id long, n_words long, score double, "
+                       "places array<struct<label:string,start:long,end:long,base:boolean>>")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from farebox.llm.common import bounded_sample_ids, ship
+from farebox.llm.common import bounded_sample_ids, map_batches
 from farebox.llm.words import PLAIN, mix, text_buffer, words_of
 
 PER_CLASS = 900
@@ -160,7 +160,6 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column | None = None, per_clas
 
     ``held`` is a condition on doc_id; rows where it is true are not learned from.
     """
-    ship(docs.sparkSession)
     known = (labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
              .where("doc_id is not null and quality in (0, 1)"))
     if held is not None:
@@ -171,13 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column | None = None, per_clas
     chosen = docs.sparkSession.createDataFrame([(i,) for i in classes], "doc_id long")   # 2 * per_class rows at most
     sample = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
               .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
-    rows = sample.mapInArrow(_sparse, "doc_id long, buckets binary, shares binary").collect()
+    rows = map_batches(sample, _sparse, "doc_id long, buckets binary, shares binary").collect()
     return train([(classes[r[0]], bytes(r[1]), bytes(r[2])) for r in sorted(rows, key=lambda r: r[0])])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with a last column ``name`` (0 to 1, higher: better); a column of that name is replaced."""
-    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))    # one number a bucket
     others = [c for c in docs.columns if c != name]
     at = others.index("text")
@@ -191,4 +189,4 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 [*batch.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*others, name])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in others])
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+    return map_batches(rows, run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))

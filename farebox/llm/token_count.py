@@ -28,7 +28,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from farebox.llm.common import ship
+from farebox.llm.common import map_batches
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
@@ -131,7 +131,6 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     The driver reads the vocabulary file and broadcasts its pieces.
     """
     spark = docs.sparkSession
-    ship(spark)
     scores, has_bytes = read_pieces(vocabulary)
     key = hash((tuple(scores.items()), has_bytes))
     held = spark.sparkContext.broadcast((scores, has_bytes, key))
@@ -144,5 +143,5 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 [batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
                  pa.array([counter.count(t) for t in texts], pa.int64())], names=["doc_id", "n_chars", "n_tokens"])
 
-    return (docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-            .mapInArrow(run, "doc_id long, n_chars long, n_tokens long"))
+    return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run,
+                       "doc_id long, n_chars long, n_tokens long")

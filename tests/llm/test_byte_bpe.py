@@ -45,6 +45,9 @@ def test_tables(spark, docs, no_docs, rows, reference):
     found = B.encode(docs, offsets=True)
     got = sorted((str(r["doc_id"]), list(r["ids"])) for r in found.collect())
     assert got == sorted((str(i), reference.encode_ordinary(t or "")) for i, t in rows)
+    both = B.encode(docs, decoded=True).collect()
+    assert sorted((str(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in both) == sorted(
+        (str(i), reference.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows)
     back = B.decode(found.drop("starts", "ends").withColumn("decoded", found["doc_id"])).collect()
     assert sorted(bytes(r["decoded"]) for r in back) == sorted((t or "").encode() for _, t in rows)
     assert B.encode(no_docs).count() == 0 and B.decode(B.encode(no_docs)).count() == 0
