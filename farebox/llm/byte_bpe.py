@@ -39,8 +39,8 @@ PATTERN = public_tokenizers.PATTERN
 #: Unicode's White_Space, which the pattern's \s stands for.
 WHITE_SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Pieces kept with their ids, and the longest piece that is kept.
-KEPT_PIECES, KEPT_LENGTH = 100_000, 48
-_BYTES, _AT_ONCE = 1 << 19, 2000
+KEPT_PIECES, KEPT_LENGTH = 200_000, 48
+_BYTES, _AT_ONCE = 1 << 20, 2000
 
 
 def byte_characters() -> list[str]:
