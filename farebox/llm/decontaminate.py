@@ -3,7 +3,9 @@
 Items and documents are words (A-Z lower-cased) and 5-shingles. A document is
 contaminated by an item if some window of the item's length in words has a
 weighted-shingle similarity of ``THRESHOLD`` or more with it: the sum over
-shingles of the smaller count, by that of the larger.
+shingles of the smaller count, by that of the larger. A document with fewer
+words than an item that it shares a shingle with has no such window: the whole
+document is its one window for that item.
 
 1. Document shingles are looked up among the items'. A window that shares no
    shingle with an item has similarity 0, so only windows around a hit, of the
@@ -130,9 +132,8 @@ class Index:
         sums = np.zeros((len(part) + 1, 64), dtype=np.int32)
         np.cumsum(signs(part), axis=0, out=sums[1:])
         for n, places in lengths.items():
-            span = n - size + 1                          # shingles in a window
-            if span > len(part):
-                continue
+            whole = n - size + 1                         # shingles of an item
+            span = min(whole, len(part))                 # and in a window: less if the document has fewer words
             wanted = np.zeros(len(part) + 1, dtype=np.int64)
             spots = np.array(places) - low
             np.add.at(wanted, np.maximum(0, spots - span + 1), 1)
@@ -151,11 +152,11 @@ class Index:
                 item, counts = self.by_length[n][j]
                 own = Counter(part[i:i + span].tolist())
                 both = sum(min(c, counts[s]) for s, c in own.items() if s in counts)
-                similarity = both / (2 * span - both)
+                similarity = both / (span + whole - both)
                 best = found.get(item, (0.0, 0, 0))
                 start = low + i - begin
                 if similarity >= THRESHOLD and (-similarity, start) < (-best[0], best[1]):
-                    found[item] = (similarity, start, start + n)
+                    found[item] = (similarity, start, start + span + size - 1)
 
 
 def _parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:

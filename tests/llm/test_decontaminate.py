@@ -74,3 +74,43 @@ def test_edges(spark, docs, no_docs):
 def test_index_reaches_the_radius():
     near = D._NEAR
     assert D.RADIUS // D.BLOCKS == 2 and all(near[v, w] == (bin(v ^ w).count("1") <= 2) for v in range(0, 256, 7) for w in range(256))
+
+
+def brute_short(text, items):
+    """As brute, for items with more words than the text: the whole text is the window."""
+    own, found = words(text), {}
+    for item, wanted in items:
+        w = words(wanted)
+        size = min(5, len(w))
+        if len(own) < len(w):
+            want = Counter(tuple(w[k:k + size]) for k in range(len(w) - size + 1))
+            have = Counter(tuple(own[k:k + size]) for k in range(len(own) - size + 1))
+            both = sum((want & have).values())
+            similarity = both / (sum(want.values()) + sum(have.values()) - both)
+            if similarity >= 0.75 and similarity > found.get(item, (0,))[0]:
+                found[item] = (similarity, 0, len(own))
+    return sorted((i, a, b, round(s, 9)) for i, (s, a, b) in found.items())
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 60)))) for i in range(60)]
+    items += [(60, " ".join(rng.choices(vocabulary, k=40))), (61, "again and " * 20)]
+    rows = [(i, " ".join(items[60][1].split()[:40 - cut])) for i, cut in enumerate((1, 2, 4, 8, 9, 10, 36))]
+    rows += [(50, "again and " * 18), (51, "again and " * 3)]
+    for i in range(100, 400):
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.randint(1, 10)):
+            if len(own) > 1:
+                del own[rng.choice([0, -1, rng.randrange(len(own))])]
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: [(m["item_id"], m["start"], m["end"], round(m["similarity"], 9)) for m in r["matches"]]
+           for r in D.contamination(docs, bench).collect()}
+    want = {i: brute_short(t, items) for i, t in rows}
+    assert got == want
+    assert [len(want[i]) for i in range(7)] == [1, 1, 1, 1, 1, 0, 0] and len(want[50]) == 1
+    assert sum(map(bool, want.values())) > 50
+    assert {r["doc_id"] for r in D.clean(docs, bench).collect()} == {i for i, m in want.items() if not m}
