@@ -43,8 +43,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark; n_chars follows the text."""
-    model = secret_scan.train(secret_scan.labelled_samples(docs))
-    clean = secret_scan.redact(docs, model)
+    model, runs = secret_scan.models(docs)
+    clean = secret_scan.redact(docs, model, runs=runs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))

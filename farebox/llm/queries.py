@@ -35,7 +35,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and Markov spans of secrets in every document."""
     docs = documents(spark, sf_dir)
-    found = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
+    found = secret_scan.scan(docs, *secret_scan.models(docs))
 
     def count(kind: str):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -6,6 +6,12 @@ identifiers, are counted from labelled samples. A candidate (a run of
 over ordinary, exceeds ``MARGIN``. Three base patterns are always reported;
 the models add spans of kind ``markov`` outside them.
 
+Shorter runs, and runs joined by '.' and '-', have a second pair of models
+(``models`` gives both). Its ordinary strings are whole runs, so that numbers,
+addresses and dotted names count as ordinary. It is read for each ``PIECE`` and
+each ``RUN`` of ``LEAST`` characters or more, and its margin rises for short
+ones (``margin``). Of markov spans only those within no other are kept.
+
 Matches and the text between them come from one regular expression each, and
 positions are running sums of their lengths in code points: everything stays
 in the JVM, row by row, without a shuffle. Rows that a pattern doesn't touch
@@ -42,6 +48,11 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 CANDIDATE = r"[A-Za-z0-9+/_=]{20,}+"
 WORD = r"[A-Za-z_][A-Za-z0-9_]{2,}"
+RUN_ALPHABET = ALPHABET + ".-"
+LEAST = 12
+PIECE = r"[A-Za-z0-9+/_=]{12,}+"
+RUN = r"[A-Za-z0-9+/_=][A-Za-z0-9+/_=.-]{10,}[A-Za-z0-9+/_=]"
+RUN_WORD = r"[A-Za-z0-9+/_=][A-Za-z0-9+/_=.-]*[A-Za-z0-9+/_=]"
 SAMPLE_DOCS = 1000
 MARGIN = 0.5
 PRIOR = {True: 40.0, False: 4.0}       # weight of the single-character model for each first character
@@ -77,7 +88,7 @@ def base_spans(text: Column) -> Column:
     return F.concat(_matches(text, "assign", ASSIGN, _long_value), _matches(text, "access", ACCESS), _matches(text, "hex", HEX))
 
 
-def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
+def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS, word: str = WORD) -> DataFrame:
     """(sample, is_random) from the base matches and other words of at most ``limit`` documents."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -87,65 +98,92 @@ def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     values = F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_LENGTH)
     random = F.concat(values, F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))
+    ordinary = F.regexp_extract_all(rest, F.lit(word), F.lit(0))
     return (some.select(F.explode(random).alias("sample"), F.lit(True).alias("is_random"))
             .unionByName(some.select(F.explode(ordinary).alias("sample"), F.lit(False).alias("is_random"))))
 
 
-def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each pair of ALPHABET characters, from (sample, is_random) rows."""
+def train(samples: DataFrame, alphabet: str = ALPHABET) -> list[float]:
+    """Log-likelihood ratio of each pair of ``alphabet`` characters, from (sample, is_random) rows."""
     pairs = (samples.where(F.length("sample") >= 2)
              .select("is_random", F.explode(F.transform(
                  F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.col("sample").substr(i, F.lit(2)))).alias("pair")))
-    known = F.col("pair").rlike(f"^[{ALPHABET}]{{2}}$")
+    known = F.col("pair").rlike(f"^[{alphabet}]{{2}}$")
     counts = {(r[0], r[1]): r[2] for r in pairs.where(known).groupBy("is_random", "pair").count().collect()}
     single = {}                        # share of each second character, whatever the first
     for kind in (True, False):
-        own = [1 + sum(counts.get((kind, a + b), 0) for a in ALPHABET) for b in ALPHABET]
+        own = [1 + sum(counts.get((kind, a + b), 0) for a in alphabet) for b in alphabet]
         single[kind] = [x / sum(own) for x in own]
     out = []
-    for a in ALPHABET:
+    for a in alphabet:
         rows = {}
         for kind in (True, False):
-            own = [counts.get((kind, a + b), 0) + PRIOR[kind] * single[kind][i] for i, b in enumerate(ALPHABET)]
+            own = [counts.get((kind, a + b), 0) + PRIOR[kind] * single[kind][i] for i, b in enumerate(alphabet)]
             rows[kind] = [log(x / sum(own)) for x in own]
         out += [x - y for x, y in zip(rows[True], rows[False])]
     return out
 
 
-def ratio(token: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio per character pair of a run of ALPHABET characters."""
+def models(docs: DataFrame) -> tuple[list[float], list[float]]:
+    """The models of ``CANDIDATE`` and of ``PIECE`` and ``RUN``, from the same documents."""
+    return train(labelled_samples(docs)), train(labelled_samples(docs, word=RUN_WORD), RUN_ALPHABET)
+
+
+def ratio(token: Column, model: list[float], alphabet: str = ALPHABET) -> Column:
+    """Mean log-likelihood ratio per character pair of a run of ``alphabet`` characters."""
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")   # folded to a constant
-    place = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    place = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
     total = F.aggregate(
         F.slice(place, 2, F.length(token)), F.struct(F.lit(0.0).alias("sum"), F.element_at(place, 1).alias("last")),
-        lambda acc, x: F.struct((acc["sum"] + F.element_at(table, acc["last"] * len(ALPHABET) + x + 1)).alias("sum"), x.alias("last")),
+        lambda acc, x: F.struct((acc["sum"] + F.element_at(table, acc["last"] * len(alphabet) + x + 1)).alias("sum"), x.alias("last")),
         lambda acc: acc["sum"])
     return total / (F.length(token) - 1)
 
 
-def scan(docs: DataFrame, model: list[float]) -> DataFrame:
+def margin(token: Column) -> Column:
+    """MARGIN, raised below 20 characters as the deviation of a mean over fewer pairs."""
+    return F.lit(MARGIN) * F.sqrt(F.greatest(F.lit(1.0), F.lit(19.0) / (F.length(token) - 1)))
+
+
+def scan(docs: DataFrame, model: list[float], runs: list[float] | None = None) -> DataFrame:
     """doc_id, base and spans of each row of ``docs(doc_id, text)``.
 
+    ``model`` and ``runs`` are those of ``models``; without ``runs`` only
+    ``CANDIDATE`` is scored.
+
     Spans are (start, rank, kind, end), by start, then kind as in KINDS; code
     points, end exclusive. ``base`` holds the base patterns' spans only.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return _with_spans(rows, model).select("doc_id", "base", "spans")
+    return _with_spans(rows, model, runs).select("doc_id", "base", "spans")
+
+
+def _markov(text: Column, model: list[float], runs: list[float] | None) -> Column:
+    """Spans that a model takes for random."""
+    if runs is None:
+        return _matches(text, "markov", CANDIDATE, lambda token: ratio(token, model) > MARGIN)
+
+    def random(token: Column) -> Column:
+        return ratio(token, runs, RUN_ALPHABET) > margin(token)
+
+    pieces = _matches(text, "markov", PIECE, lambda token: random(token) | (token.rlike(f"^{CANDIDATE}$") & (ratio(token, model) > MARGIN)))
+    joined = _matches(text, "markov", RUN, lambda token: token.rlike("[.-]") & random(token))
+    return F.concat(joined, pieces)
 
 
-def _with_spans(rows: DataFrame, model: list[float]) -> DataFrame:
-    found = rows.withColumn("base", F.array_sort(base_spans(F.col("text"))))
-    extra = _matches(F.col("text"), "markov", CANDIDATE, lambda token: ratio(token, model) > MARGIN)
-    alone = F.filter(extra, lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("spans", F.array_sort(F.concat(F.col("base"), alone)))
+def _with_spans(rows: DataFrame, model: list[float], runs: list[float] | None) -> DataFrame:
+    found = rows.withColumn("base", F.array_sort(base_spans(F.col("text")))).withColumn("extra", _markov(F.col("text"), model, runs))
+    alone = F.filter("extra", lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    found = found.withColumn("extra", alone)
+    whole = F.filter("extra", lambda m: ~F.exists("extra", lambda o: (o["start"] <= m["start"]) & (m["end"] <= o["end"]) & (o != m)))
+    return found.withColumn("spans", F.array_sort(F.concat(F.col("base"), whole))).drop("extra")
 
 
-def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]", runs: list[float] | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark``; overlapping spans give one mark."""
     kept = F.col("text")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")      # apart from the names used here
-    rows = _with_spans(docs.select(whole, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), model)
+    rows = _with_spans(docs.select(whole, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), model, runs)
     zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, span: Column) -> Column:

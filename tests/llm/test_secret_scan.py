@@ -84,3 +84,37 @@ def test_main_path_has_no_python(spark):
     plan = S.redact(docs, [0.0] * len(S.ALPHABET) ** 2)._jdf.queryExecution().toString()
     plan += S.scan(docs, [0.0] * len(S.ALPHABET) ** 2)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan.split("== Physical Plan ==")[-1])
+
+
+def test_short_and_joined_secrets(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def word():
+        return "".join(rng.choices(["get", "user", "name", "value", "total", "count", "of", "line", "index", "parse"], k=rng.randint(1, 4)))
+
+    def text():
+        number = "".join(rng.choices("0123456789", k=rng.choice([4, 16])))
+        address = ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        return " ".join([*(word() for _ in range(20)), number, address, f"{word()}-{word()}.{word()}", f"mail{rng.randint(0, 9)}.example.com"])
+
+    plain = [text() for _ in range(600)]
+    labelled = [f"{text()} token = {''.join(rng.choices(letters + '-_', k=32))}" for _ in range(100)]
+    fresh = ["".join(rng.choices(letters, k=k)) for k in range(12, 20) for _ in range(50)]
+    fresh += ["".join(rng.choices(letters + "-_", k=k)).strip("-") for k in (22, 24, 32) for _ in range(100)]
+    fresh += ["-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)) for _ in range(100)]
+    kept = "".join(rng.choices("0123456789", k=24))                            # the first model knows no digits
+    model, runs = S.models(spark.createDataFrame(list(enumerate(plain + labelled)), "doc_id long, text string"))
+    texts = [f"see -{x}. here" for x in fresh] + [f"see {kept} here"] + plain
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in S.scan(docs, model, runs).collect()}
+    n = len(fresh)
+    assert sum(got[i] == [("markov", 5, 5 + len(x))] for i, x in enumerate(fresh)) >= 0.97 * n
+    assert got[n] == [("markov", 4, 28)]
+    assert sum(bool(got[n + 1 + i]) for i in range(len(plain))) <= 0.01 * len(plain)
+    buried = "config.settings-" + "".join(rng.choices(letters, k=22)) + ".the.value.of-the-index"
+    found = S.redact(spark.createDataFrame([(1, f"a {buried} b")], "doc_id long, text string"), model, runs=runs).first()["text"]
+    assert "[SECRET]" in found and buried[16:38] not in found
+    beside = "AKIAABCDEFGH0123-" + "".join(rng.choices(letters, k=24))          # the joined run holds a base span
+    assert [(s["kind"], s["start"], s["end"]) for s in S.scan(
+        spark.createDataFrame([(1, beside)], "doc_id long, text string"), model, runs).first()["spans"]][-1][2] == len(beside)
