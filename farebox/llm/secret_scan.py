@@ -4,7 +4,7 @@ Two models of character pairs, one of random strings and one of ordinary
 identifiers, are counted from labelled samples. A candidate (a run of
 ``CANDIDATE``) is a secret if its mean log-likelihood ratio per pair, random
 over ordinary, exceeds ``MARGIN``. Three base patterns are always reported;
-the models add spans of kind ``markov`` outside them.
+the models add spans of kind ``markov`` that aren't within one of theirs.
 
 Shorter runs, and runs joined by '.' and '-', have a second pair of models
 (``models`` gives both). Its ordinary strings are whole runs, so that numbers,
@@ -50,8 +50,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=]{20,}+"
 WORD = r"[A-Za-z_][A-Za-z0-9_]{2,}"
 RUN_ALPHABET = ALPHABET + ".-"
 LEAST = 12
-PIECE = r"[A-Za-z0-9+/_=]{12,}+"
-RUN = r"[A-Za-z0-9+/_=][A-Za-z0-9+/_=.-]{10,}[A-Za-z0-9+/_=]"
+PIECE = r"(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=]{12,}+"      # looking behind saves a try at each character
+RUN = r"(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=][A-Za-z0-9+/_=.-]{10,}[A-Za-z0-9+/_=]"
 RUN_WORD = r"[A-Za-z0-9+/_=][A-Za-z0-9+/_=.-]*[A-Za-z0-9+/_=]"
 SAMPLE_DOCS = 1000
 MARGIN = 0.5
@@ -173,9 +173,8 @@ def _markov(text: Column, model: list[float], runs: list[float] | None) -> Colum
 
 def _with_spans(rows: DataFrame, model: list[float], runs: list[float] | None) -> DataFrame:
     found = rows.withColumn("base", F.array_sort(base_spans(F.col("text")))).withColumn("extra", _markov(F.col("text"), model, runs))
-    alone = F.filter("extra", lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    found = found.withColumn("extra", alone)
-    whole = F.filter("extra", lambda m: ~F.exists("extra", lambda o: (o["start"] <= m["start"]) & (m["end"] <= o["end"]) & (o != m)))
+    within = lambda m, o: (o["start"] <= m["start"]) & (m["end"] <= o["end"])
+    whole = F.filter("extra", lambda m: ~F.exists("base", lambda b: within(m, b)) & ~F.exists("extra", lambda o: within(m, o) & (o != m)))
     return found.withColumn("spans", F.array_sort(F.concat(F.col("base"), whole))).drop("extra")
 
 
