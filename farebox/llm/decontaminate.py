@@ -155,8 +155,9 @@ class Index:
                 similarity = both / (span + whole - both)
                 best = found.get(item, (0.0, 0, 0))
                 start = low + i - begin
-                if similarity >= THRESHOLD and (-similarity, start) < (-best[0], best[1]):
-                    found[item] = (similarity, start, start + span + size - 1)
+                stop = start + span + size - 1
+                if similarity >= THRESHOLD and (-similarity, start, stop) < (-best[0], best[1], best[2]):
+                    found[item] = (similarity, start, stop)
 
 
 def _parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
@@ -197,7 +198,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, matches of each row of ``docs(doc_id, text)``.
 
     matches: (item_id, start, end, similarity) by item: the item's best window,
-    in words from 0, end exclusive; of equals the first. An empty list: clean.
+    in words from 0, end exclusive; of equals the first, then the shortest. An
+    empty list: clean.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     parts = _parts(benchmark)
@@ -209,7 +211,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in parts:
         one = _matched(keyed, items)
         each = one if each is None else each.unionByName(one)
-    merged = each.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    # Wordings of one item can lie in different parts: of each item the best match stays.
+    ordered = F.transform(F.flatten(F.collect_list("matches")), lambda m: F.struct(
+        m["item_id"].alias("item_id"), (-m["similarity"]).alias("order"), m["start"].alias("start"), m["end"].alias("end")))
+    merged = each.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(ordered).alias("all"))
+    best = F.filter("all", lambda m, i: (i == 0) | (F.get(F.col("all"), i - 1)["item_id"] != m["item_id"]))
+    merged = merged.select("row", "n_words", F.transform(best, lambda m: F.struct(
+        m["item_id"].alias("item_id"), m["start"].alias("start"), m["end"].alias("end"), (-m["order"]).alias("similarity"))).alias("matches"))
     back = rows.select(F.struct("doc_id", F.xxhash64("text").alias("a"), F.md5("text").alias("b")).alias("row"))
     return (back.withColumn("key", F.to_json("row")).join(merged.withColumn("key", F.to_json("row")).drop("row"), "key")
             .select(F.col("row.doc_id").alias("doc_id"), "n_words", "matches"))

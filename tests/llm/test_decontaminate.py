@@ -114,3 +114,24 @@ def test_documents_shorter_than_an_item(spark):
     assert [len(want[i]) for i in range(7)] == [1, 1, 1, 1, 1, 0, 0] and len(want[50]) == 1
     assert sum(map(bool, want.values())) > 50
     assert {r["doc_id"] for r in D.clean(docs, bench).collect()} == {i for i, m in want.items() if not m}
+
+
+def test_wordings_of_an_item_in_different_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(vocabulary, k=20 + k)) for k in range(12)]
+    items = [(k % 3, t) for k, t in enumerate(texts)]
+    flawed = texts[0].split()
+    flawed[10] = "changed"
+    rows = [(1, " ".join(texts)), (2, " ".join([*flawed, texts[3], texts[6]])), (3, "nothing here"), (4, texts[5] + " " + texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def got():
+        return sorted((r["doc_id"], r["n_words"], [tuple(m) for m in r["matches"]]) for r in D.contamination(docs, bench).collect())
+
+    whole = got()
+    assert [len(m) for _, _, m in whole] == [3, 1, 0, 2]
+    monkeypatch.setattr(D, "ITEM_BYTES", 400)
+    assert all(len(p) < len(items) for p in D._parts(bench))
+    assert got() == whole
