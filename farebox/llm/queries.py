@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import (byte_bpe, cover_tree, decontaminate, language_id, license_scan, near_dedup, quality,
+from farebox.llm import (byte_bpe, cover_tree, decontaminate, fill_in_middle, language_id, license_scan, near_dedup, quality,
                          recompression, secret_scan, token_count)
 from farebox.llm.common import documents, held_out, table
 
@@ -92,6 +92,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every document, and the text rebuilt from it."""
+    made = fill_in_middle.transform(documents(spark, sf_dir))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -101,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_exact_top_k, op3_quality, op4_secret_scan, op5_substring_dedup, op6_decontaminate,
-    op7_near_dedup, op8_license_scan, op9_token_count, op10_language_id, pipeline)}
+    op7_near_dedup, op8_license_scan, op9_token_count, op10_language_id, op11_fill_in_middle, pipeline)}
 
 ORACLE = {
     "op2_exact_top_k": """
@@ -190,4 +197,17 @@ ORACLE = {
         comp as (select doc_id, min(r) component_id from reach group by doc_id)
         select w.doc_id, coalesce(n.n, 0)::bigint n_shingles, component_id, w.doc_id = component_id kept
         from w left join n on n.doc_id = w.doc_id join comp on comp.doc_id = w.doc_id""",
+    "op11_fill_in_middle": """
+        with h as (select doc_id, coalesce(text, '') t, sha256('1:' || coalesce(doc_id::varchar, '')) x from documents),
+        g as (select doc_id, t, length(t) n, ('0x' || x[1:8])::bigint h1, ('0x' || x[9:16])::bigint h2,
+            ('0x' || x[17:24])::bigint h3, ('0x' || x[25:32])::bigint h4 from h),
+        c as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+            case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end form from g),
+        p as (select *, substring(t, 1, a) prefix, substring(t, a + 1, b - a) middle, substring(t, b + 1) suffix from c)
+        select doc_id, n::bigint n, form, case when form <> 'plain' then a end prefix_chars,
+          case when form <> 'plain' then b - a end middle_chars,
+          sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) output_sha256,
+          sha256(t) restored_sha256 from p""",
 }
