@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import (byte_bpe, cover_tree, decontaminate, fill_in_middle, language_id, license_scan, near_dedup, quality,
-                         recompression, secret_scan, token_count)
+from farebox.llm import (byte_bpe, cover_tree, decontaminate, fill_in_middle, language_id, license_scan, merkle, near_dedup,
+                         quality, recompression, secret_scan, token_count)
 from farebox.llm.common import documents, held_out, table
 
 
@@ -99,6 +99,14 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaf, subroot, root, proof and tampered version's root of every document."""
+    siblings = F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), "")
+    return merkle.manifest(documents(spark, sf_dir)).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -108,7 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_exact_top_k, op3_quality, op4_secret_scan, op5_substring_dedup, op6_decontaminate,
-    op7_near_dedup, op8_license_scan, op9_token_count, op10_language_id, op11_fill_in_middle, pipeline)}
+    op7_near_dedup, op8_license_scan, op9_token_count, op10_language_id, op11_fill_in_middle, op12_merkle_manifest, pipeline)}
 
 ORACLE = {
     "op2_exact_top_k": """
@@ -210,4 +218,56 @@ ORACLE = {
           sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
             else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) output_sha256,
           sha256(t) restored_sha256 from p""",
+    "op12_merkle_manifest": """
+        with recursive d as (
+          select dense_rank() over (order by source nulls first) - 1 j, doc_id, text,
+            coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+              || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') head,
+            xor(4294967295, list_reduce(                                            -- crc32, bit by bit
+              list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+              lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)),
+                lambda x, bit: xor(x >> 1, 3988292384 * (x & 1))))) % 2 = 0 tampered
+          from documents),
+        e as (
+          select j, doc_id, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf,
+            case when tampered and text is not null
+              then sha256(head || strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '')) end other from d),
+        l as (
+          select row_number() over () k, j, doc_id, leaf, coalesce(other, leaf) other,
+            row_number() over (partition by j order by doc_id nulls first, leaf) - 1 i from e),
+        nodes(level, j, i, digest) as (
+          select 0, j, i, leaf from l
+          union all
+          select level + 1, j, i // 3, sha256(string_agg(digest, '' order by i))
+          from (select *, count(*) over (partition by j) c from nodes) where c > 1 group by level, j, i // 3),
+        subroots as (select j, max(level) height, arg_max(digest, level) subroot from nodes group by j),
+        tops(level, i, digest) as (
+          select 0, j, subroot from subroots
+          union all
+          select level + 1, i // 3, sha256(string_agg(digest, '' order by i))
+          from (select *, count(*) over () c from tops) where c > 1 group by level, i // 3),
+        top as (select max(level) height, arg_max(digest, level) root from tops),
+        low as (select k, j, unnest(range(height)) level, i from l join subroots using (j)),
+        high as (select j, unnest(range(top.height)) level from subroots, top),
+        steps as (
+          select k, low.level, string_agg(n.digest, '' order by n.i) filter (n.i < low.i // (3 ** low.level)::bigint) a,
+            string_agg(n.digest, '' order by n.i) filter (n.i > low.i // (3 ** low.level)::bigint) b
+          from low join nodes n on n.j = low.j and n.level = low.level and n.i // 3 = low.i // (3 ** (low.level + 1))::bigint
+          group by k, low.level
+          union all
+          select k, s.height + h.level, h.a, h.b
+          from l join subroots s using (j) join (
+            select high.j, high.level, string_agg(t.digest, '' order by t.i) filter (t.i < high.j // (3 ** high.level)::bigint) a,
+              string_agg(t.digest, '' order by t.i) filter (t.i > high.j // (3 ** high.level)::bigint) b
+            from high join tops t on t.level = high.level and t.i // 3 = high.j // (3 ** (high.level + 1))::bigint
+            group by high.j, high.level) h using (j)),
+        fold(k, level, digest) as (
+          select k, 0, other from l
+          union all
+          select fold.k, fold.level + 1, sha256(coalesce(a, '') || digest || coalesce(b, ''))
+          from fold join steps on steps.k = fold.k and steps.level = fold.level),
+        folded as (select k, arg_max(digest, level) folded_root from fold group by k),
+        proofs as (select k, string_agg(coalesce(a, '') || coalesce(b, ''), '' order by level) proof from steps group by k)
+        select doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) proof_sha256, folded_root, folded_root = root verified
+        from l join subroots using (j) join folded using (k) left join proofs using (k), top""",
 }
