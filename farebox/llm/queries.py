@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm import (byte_bpe, cover_tree, decontaminate, fill_in_middle, language_id, license_scan, merkle, near_dedup,
-                         quality, recompression, secret_scan, token_count)
+from farebox.llm import (byte_bpe, cover_tree, decontaminate, fill_in_middle, hidden_markov, language_id, license_scan,
+                         merkle, near_dedup, quality, recompression, secret_scan, token_count)
 from farebox.llm.common import documents, held_out, table
 
 
@@ -107,6 +107,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document; a tenth of the ids is held out from learning."""
+    scored = hidden_markov.language_model_scores(documents(spark, sf_dir), held_out(F.col("doc_id"), 10, 0))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -116,7 +122,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_bpe, op2_exact_top_k, op3_quality, op4_secret_scan, op5_substring_dedup, op6_decontaminate,
-    op7_near_dedup, op8_license_scan, op9_token_count, op10_language_id, op11_fill_in_middle, op12_merkle_manifest, pipeline)}
+    op7_near_dedup, op8_license_scan, op9_token_count, op10_language_id, op11_fill_in_middle, op12_merkle_manifest,
+    op13_hidden_markov, pipeline)}
 
 ORACLE = {
     "op2_exact_top_k": """
