@@ -18,10 +18,13 @@ in the JVM, row by row, without a shuffle. Rows that a pattern doesn't touch
 cost one search for it.
 
 ``labelled_samples`` takes the labels from the base patterns: matched values
-are random strings, words outside matches ordinary identifiers, from a bounded
-sample of ``SAMPLE_DOCS`` documents (the first by a hash of their id). Counting
+are random strings, from at most ``SAMPLE_DOCS`` documents that hold a match, and
+words outside matches ordinary identifiers, from as many documents of any kind
+(each time the first by a hash of their id). Counting
 is a grouped aggregate; the driver gets one number for each character pair
-(4,356 at most for each model). Rare pairs fall back on single characters.
+(4,356 at most for each model). Rare pairs fall back on single characters. With
+fewer than ``LEAST_SAMPLES`` strings of a class there is nothing to compare:
+the model then takes nothing for random, and no markov spans are added.
 
 Null text is empty; without matches the list of spans is empty. Rows are
 independent, so repeated rows and empty tables need no case of their own.
@@ -54,6 +57,8 @@ PIECE = r"(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=]{12,}+"      # looking behind saves
 RUN = r"(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=][A-Za-z0-9+/_=.-]{10,}[A-Za-z0-9+/_=]"
 RUN_WORD = r"[A-Za-z0-9+/_=][A-Za-z0-9+/_=.-]*[A-Za-z0-9+/_=]"
 SAMPLE_DOCS = 1000
+LEAST_SAMPLES = 20
+NOTHING = -1.0                         # ratio of every pair in a model that finds nothing
 MARGIN = 0.5
 PRIOR = {True: 40.0, False: 4.0}       # weight of the single-character model for each first character
 
@@ -88,28 +93,44 @@ def base_spans(text: Column) -> Column:
     return F.concat(_matches(text, "assign", ASSIGN, _long_value), _matches(text, "access", ACCESS), _matches(text, "hex", HEX))
 
 
-def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS, word: str = WORD) -> DataFrame:
-    """(sample, is_random) from the base matches and other words of at most ``limit`` documents."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _sampled(rows: DataFrame, limit: int) -> DataFrame:
+    """The rows of at most ``limit`` ids."""
     ids = bounded_sample_ids(rows.select("doc_id"), limit)
-    chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")       # at most ``limit`` rows
-    some = rows.join(F.broadcast(chosen), "doc_id")
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id")
+
+
+def sampled_rows(docs: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of at most ``limit`` documents that hold a base match, and of as many of any kind."""
+    rows = _rows(docs)
+    holds = F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX)
+    return _sampled(rows.where(holds), limit), _sampled(rows, limit)
+
+
+def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS, word: str = WORD,
+                     chosen: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(sample, is_random) from the base matches and other words of ``chosen`` (by default ``sampled_rows``)."""
+    holding, others = chosen or sampled_rows(docs, limit)
     values = F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= ASSIGN_LENGTH)
     random = F.concat(values, F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = F.regexp_extract_all(rest, F.lit(word), F.lit(0))
-    return (some.select(F.explode(random).alias("sample"), F.lit(True).alias("is_random"))
-            .unionByName(some.select(F.explode(ordinary).alias("sample"), F.lit(False).alias("is_random"))))
+    return (holding.select(F.explode(random).alias("sample"), F.lit(True).alias("is_random"))
+            .unionByName(others.select(F.explode(ordinary).alias("sample"), F.lit(False).alias("is_random"))))
 
 
 def train(samples: DataFrame, alphabet: str = ALPHABET) -> list[float]:
     """Log-likelihood ratio of each pair of ``alphabet`` characters, from (sample, is_random) rows."""
     pairs = (samples.where(F.length("sample") >= 2)
-             .select("is_random", F.explode(F.transform(
-                 F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.col("sample").substr(i, F.lit(2)))).alias("pair")))
-    known = F.col("pair").rlike(f"^[{alphabet}]{{2}}$")
+             .select("is_random", F.explode(F.concat(F.array(F.lit("")), F.transform(       # "" counts the strings
+                 F.sequence(F.lit(1), F.length("sample") - 1), lambda i: F.col("sample").substr(i, F.lit(2))))).alias("pair")))
+    known = F.col("pair").rlike(f"^([{alphabet}]{{2}})?$")
     counts = {(r[0], r[1]): r[2] for r in pairs.where(known).groupBy("is_random", "pair").count().collect()}
+    if min(counts.get((kind, ""), 0) for kind in (True, False)) < LEAST_SAMPLES:
+        return [NOTHING] * len(alphabet) ** 2
     single = {}                        # share of each second character, whatever the first
     for kind in (True, False):
         own = [1 + sum(counts.get((kind, a + b), 0) for a in alphabet) for b in alphabet]
@@ -126,7 +147,8 @@ def train(samples: DataFrame, alphabet: str = ALPHABET) -> list[float]:
 
 def models(docs: DataFrame) -> tuple[list[float], list[float]]:
     """The models of ``CANDIDATE`` and of ``PIECE`` and ``RUN``, from the same documents."""
-    return train(labelled_samples(docs)), train(labelled_samples(docs, word=RUN_WORD), RUN_ALPHABET)
+    chosen = sampled_rows(docs)
+    return train(labelled_samples(docs, chosen=chosen)), train(labelled_samples(docs, word=RUN_WORD, chosen=chosen), RUN_ALPHABET)
 
 
 def ratio(token: Column, model: list[float], alphabet: str = ALPHABET) -> Column:
@@ -154,8 +176,7 @@ def scan(docs: DataFrame, model: list[float], runs: list[float] | None = None) -
     Spans are (start, rank, kind, end), by start, then kind as in KINDS; code
     points, end exclusive. ``base`` holds the base patterns' spans only.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return _with_spans(rows, model, runs).select("doc_id", "base", "spans")
+    return _with_spans(_rows(docs), model, runs).select("doc_id", "base", "spans")
 
 
 def _markov(text: Column, model: list[float], runs: list[float] | None) -> Column:

@@ -130,3 +130,23 @@ def test_markov_spans_reach_beyond_base_spans(spark):
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] == "markov"] for r in S.scan(docs, model).collect()}
     assert got == {0: [("markov", 4, len(texts[0]) - 5)], 1: [("markov", 4, len(texts[1]) - 5)], 2: []}
     assert {r["text"] for r in S.redact(docs, model).collect()} == {"see [SECRET] here"}
+
+
+def test_too_few_samples_add_no_spans(spark):
+    """A class without labelled strings, or with a few, leaves nothing to compare with."""
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = [f"write to mail{i}.example.com or see the{i}.index of_values" for i in range(300)]
+    secret = "".join(rng.choices(letters, k=30))
+    for few in (0, S.LEAST_SAMPLES - 1, S.LEAST_SAMPLES + 20):
+        rows = plain + [f"token = {''.join(rng.choices(letters, k=24))}" for _ in range(few)]
+        learned = S.models(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+        docs = spark.createDataFrame(list(enumerate([*rows, f"see {secret} here"])), "doc_id long, text string")
+        markov = [s for r in S.scan(docs, *learned).collect() for s in r["spans"] if s["kind"] == "markov"]
+        assert len(markov) == (few >= S.LEAST_SAMPLES)
+
+
+def test_random_strings_come_from_documents_with_matches(spark):
+    rows = [(i, f"nothing in text {i}") for i in range(500)] + [(1000 + i, f"token = abcdefgh{i}") for i in range(30)]
+    samples = S.labelled_samples(spark.createDataFrame(rows, "doc_id long, text string"), limit=40)
+    assert samples.where("is_random").count() == 30 and samples.where("not is_random").count() > 30
