@@ -6,17 +6,19 @@ a class emits a word by its share of the class in the training tokens. The
 parameters of the states are bounded whatever the vocabulary; the words' counts
 are not, and stay a table.
 
-1. ``encode`` turns every Arrow batch of texts into one row, a chunk: the words'
-   places in the chunk's own dictionary, and the dictionary's hashes and
+1. ``encode`` turns every ``CHUNK_BYTES`` of texts into one row, a chunk: the
+   words' places in the chunk's own dictionary, and the dictionary's hashes and
    training counts. Texts are read once.
-2. ``word_counts`` adds up the dictionaries: every distinct training word.
+2. ``shared_words`` brings equal words of all dictionaries together, one row for
+   each chunk that has it, and keeps those whose count isn't the chunk's own. With
+   the dictionaries they give the count of every distinct training word.
 3. ``fit`` repeats Baum-Welch: each task adds the expected emissions,
    transitions and beginnings of its chunks, Spark adds them up across
    partitions by class, and the driver, which gets one row for each class and state,
    renormalises. All training tokens count in every round. Sums are of whole
    numbers, so that they don't depend on their order.
-4. ``score`` brings each chunk the counts of its own words (a join by word, of
-   one row for each chunk that has it) and runs the scaled forward recursion.
+4. ``score`` brings each chunk the counts of its own shared words (a join by
+   chunk) and runs the scaled forward recursion.
 
 Long texts are cut into segments of ``SEGMENT`` tokens. What a segment does to the
 state distribution is a matrix (the product of its steps); segments are chained by
@@ -39,7 +41,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farebox.llm.common import map_batches, scratch
@@ -51,6 +53,8 @@ STATES = 6
 #: Classes of words; the end has one of its own behind them.
 CLASSES = 1 << 15
 ROUNDS = 6
+#: Bytes of text from which a task's rows make a chunk.
+CHUNK_BYTES = 16 << 20
 SEGMENT = 128
 #: Segments treated at a time.
 GROUP = 4096
@@ -60,7 +64,7 @@ STAY = 0.9                             # chance of staying in a state, at first
 #: Expected counts and log-likelihoods are summed as whole multiples of these.
 COUNT_UNIT, LOG_UNIT = 2.0 ** -16, 2.0 ** -6
 
-CHUNK = ("chunk long, doc_id array<long>, held array<boolean>, n_words array<long>, codes binary, words array<long>, train array<long>")
+CHUNK = ("chunk long, doc_id array<long>, held array<boolean>, n_words array<long>, codes binary, words array<long>, train array<int>")
 SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -77,23 +81,33 @@ def class_of(hashes: np.ndarray, classes: int) -> np.ndarray:
     return (hashes.view(np.uint64) % np.uint64(classes)).astype(np.int64)
 
 
+def _chunk(number: int, rows: pa.Table) -> pa.RecordBatch:
+    buf, offsets = text_buffer(rows["text"])
+    words = words_of(buf, offsets, FOLDED)
+    held = rows["held"].combine_chunks().to_numpy(zero_copy_only=False)
+    own, codes = np.unique(words.hashes, return_inverse=True)
+    n = words.counts()
+    train = np.bincount(codes[np.repeat(~held, n)], minlength=len(own))
+    one = lambda values, kind: pa.ListArray.from_arrays([0, len(values)], pa.array(values, kind))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([number], pa.int64()), one(rows["doc_id"].combine_chunks(), pa.int64()), one(held, pa.bool_()), one(n, pa.int64()),
+         pa.array([codes.astype(np.int32).tobytes()], pa.binary()), one(own.view(np.int64), pa.int64()), one(train.astype(np.int32), pa.int32())],
+        names=["chunk", "doc_id", "held", "n_words", "codes", "words", "train"])
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, held) to one row a batch."""
+    """(doc_id, text, held) to chunks."""
     task = TaskContext.get()
-    first = (task.partitionId() if task else 0) << 33
-    for number, batch in enumerate(b for b in batches if b.num_rows):
-        buf, offsets = text_buffer(batch.column(1))
-        words = words_of(buf, offsets, FOLDED)
-        own, codes = np.unique(words.hashes, return_inverse=True)
-        n = words.counts()
-        learned = np.repeat(~batch.column(2).to_numpy(zero_copy_only=False), n)
-        train = np.bincount(codes[learned], minlength=len(own))
-        whole = lambda values, kind: pa.array([values], pa.list_(kind))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([first + number], pa.int64()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
-             pa.array([batch.column(2).to_pylist()], pa.list_(pa.bool_())), whole(n, pa.int64()),
-             pa.array([codes.astype(np.int32).tobytes()], pa.binary()), whole(own.view(np.int64), pa.int64()), whole(train, pa.int64())],
-            names=["chunk", "doc_id", "held", "n_words", "codes", "words", "train"])
+    number = (task.partitionId() if task else 0) << 33
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield _chunk(number, pa.Table.from_batches(waiting))
+            number, waiting, size = number + 1, [], 0
+    if any(b.num_rows for b in waiting):
+        yield _chunk(number, pa.Table.from_batches(waiting))
 
 
 def encode(docs: DataFrame, held: Column) -> DataFrame:
@@ -102,10 +116,14 @@ def encode(docs: DataFrame, held: Column) -> DataFrame:
     return scratch(map_batches(rows.withColumn("held", F.coalesce(held, F.lit(False))), _encode, CHUNK), "chunks")
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """word (hash), c: every distinct word of the training rows."""
-    each = chunks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select("w.words", "w.train")
-    return scratch(each.where("train > 0").groupBy(F.col("words").alias("word")).agg(F.sum("train").alias("c")), "words")
+def shared_words(chunks: DataFrame) -> DataFrame:
+    """chunk, place, word, train, c, first: words whose count c in all training
+    rows isn't that of the chunk; ``first`` marks a word's first chunk that learns it."""
+    each = (chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("place", "w"))
+            .select("chunk", "place", F.col("w.words").alias("word"), F.col("w.train").alias("train")))
+    same = Window.partitionBy("word")
+    counted = each.withColumn("c", F.sum("train").over(same)).withColumn("first", F.min(F.when(F.col("train") > 0, F.col("chunk"))).over(same) == F.col("chunk"))
+    return scratch(counted.where("c != train"), "words")
 
 
 @dataclass
@@ -119,13 +137,28 @@ class Corpus:
     kinds: np.ndarray
 
 
-def corpus(chunks: DataFrame, counts: DataFrame, classes: int = CLASSES) -> Corpus:
+def corpus(chunks: DataFrame, shared: DataFrame, classes: int = CLASSES) -> Corpus:
     """Totals; the driver gets one row for each class."""
     ends = chunks.select(F.size(F.filter("held", lambda h: ~h)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, words = np.zeros(classes), np.zeros(classes, dtype=np.int64)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = class_of(batch.column(0)[row].values.to_numpy(), classes)
+                train = batch.column(1)[row].values.to_numpy()
+                tokens += np.bincount(own, weights=train, minlength=classes)
+                words += np.bincount(own[train > 0], minlength=classes)
+        found = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(tokens[found].astype(np.int64)), pa.array(words[found])], names=["class", "tokens", "words"])
+
+    # A word learned in several chunks counts once, with the first, not with each of them.
     # The class is of the unsigned hash: a negative one stands for 2**64 more.
-    key = F.expr(f"pmod(pmod(word, {classes}) + if(word < 0, {(1 << 64) % classes}, 0), {classes})")
+    of = F.expr(f"pmod(pmod(word, {classes}) + if(word < 0, {(1 << 64) % classes}, 0), {classes})").alias("class")
+    again = shared.groupBy(of).agg(F.lit(0).cast("long").alias("tokens"), F.sum(F.col("first").cast("long") - (F.col("train") > 0).cast("long")).alias("words"))
+    each = map_batches(chunks.select("words", "train"), run, "class long, tokens long, words long")
     in_class, kinds = np.zeros(classes, dtype=np.int64), np.zeros(classes, dtype=np.int64)
-    for k, c, n in counts.groupBy(key.alias("k")).agg(F.sum("c"), F.count("*")).collect():
+    for k, c, n in each.unionByName(again).groupBy("class").agg(F.sum("tokens"), F.sum("words")).collect():
         in_class[k], kinds[k] = c, n
     return Corpus(int(in_class.sum()) + ends, int(kinds.sum()) + (ends > 0), ends, in_class, kinds)
 
@@ -145,37 +178,30 @@ class Segments:
         self.last = place == per[self.row] - 1
 
 
-def _products(ids: np.ndarray, starts: np.ndarray, size: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Matrix of each segment of ``size`` tokens (emit, then move, each token), and the log of what it was scaled by."""
-    k = len(model.first)
-    out = np.broadcast_to(np.eye(k), (len(starts), k, k)).copy()
-    logs = np.zeros(len(starts))
-    for t in range(size):
-        out *= model.emit[ids[starts + t]][:, None, :]
-        out = (out.reshape(-1, k) @ model.move).reshape(-1, k, k)
-        if t % 8 == 7 or t == size - 1:
-            total = out.sum(axis=(1, 2))
-            out /= total[:, None, None]
-            logs += np.log(total)
-    return out, logs
-
-
 class Passes:
-    """Forward and backward recursion over the texts of a chunk."""
-
-    def __init__(self, ids: np.ndarray, n_tokens: np.ndarray, model: Model, size: int = SEGMENT):
-        self.ids, self.model, self.seg = ids, model, Segments(n_tokens, size)
+    """Forward and backward recursion over the texts of a chunk.
+
+    States come first in all arrays. Emissions are divided by their mean over the
+    states, which changes no posterior and keeps numbers near 1; the logs of the
+    means are added in the end.
+    """
+
+    def __init__(self, ids: np.ndarray, n_tokens: np.ndarray, model: Model, size: int = SEGMENT, kind: type = np.float64):
+        mean = model.emit.mean(axis=1)
+        self.ids, self.model, self.kind, self.seg = ids, model, kind, Segments(n_tokens, size)
+        self.ratio = np.ascontiguousarray((model.emit / mean[:, None]).T.astype(kind))
+        self.move, self.log_mean = model.move.astype(kind), np.log(mean)
         seg, k = self.seg, len(model.first)
-        inner = np.flatnonzero(~seg.last)
-        self.inner = inner
-        self.matrix = np.empty((len(inner), k, k))
-        logs = np.empty(len(inner))
-        for i in range(0, len(inner), GROUP):
-            self.matrix[i:i + GROUP], logs[i:i + GROUP] = _products(ids, seg.start[inner[i:i + GROUP]], size, model)
+        self.texts = np.concatenate(([0], np.cumsum(n_tokens)))[:-1]     # first token of each text
+        self.inner = np.flatnonzero(~seg.last)
+        self.matrix = np.empty((len(self.inner), k, k))
+        logs = np.empty(len(self.inner))
+        for i in range(0, len(self.inner), GROUP):
+            self.matrix[i:i + GROUP], logs[i:i + GROUP] = self._products(self.inner[i:i + GROUP])
         self.at = np.cumsum(~seg.last) - 1                               # place of an inner segment's matrix
         # State distribution before each segment, chained through the texts.
         self.before = np.empty((len(seg.row), k))
-        self.log_before = np.zeros(len(n_tokens))                        # log-likelihood of all but the last segment
+        self.log_before = np.zeros(len(n_tokens))                        # of all but the last segment
         now = np.broadcast_to(model.first, (len(n_tokens), k)).copy()
         for j in range(int(seg.per.max(initial=0))):
             live = np.flatnonzero(seg.per > j)
@@ -188,32 +214,50 @@ class Passes:
                 now[live] = then / total[:, None]
                 self.log_before[live] += np.log(total) + logs[self.at[own]]
 
-    def _ordered(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Segments by falling length, their first tokens, and how many reach each step."""
+    def _grid(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Segments by falling length, their classes (step, segment), and how many reach each step."""
         chosen = chosen[np.argsort(-self.seg.length[chosen], kind="stable")]
         length = self.seg.length[chosen]
-        reach = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), side="right")
-        return chosen, self.seg.start[chosen], reach
+        steps = np.arange(int(length.max(initial=0)))
+        places = np.minimum(self.seg.start[chosen][None, :] + steps[:, None], len(self.ids) - 1)
+        reach = np.searchsorted(-length, -(steps + 1), side="right")
+        return chosen, self.ids[places], reach.tolist()
+
+    def _products(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matrix of each inner segment (emit, then move, for each token), and the log of what it was scaled by."""
+        k = len(self.model.first)
+        order, ids, reach = self._grid(chosen)                           # all are equally long, so the order stays
+        out = np.broadcast_to(np.eye(k, dtype=self.kind)[:, :, None], (k, k, len(order))).copy()
+        spare, logs = np.empty_like(out), np.zeros(len(order))
+        for t in range(len(reach)):
+            out *= self.ratio[:, ids[t]][None]
+            out, spare = np.matmul(self.move.T, out, out=spare), out
+            if t % 8 == 7 or t == len(reach) - 1:
+                total = out.sum(axis=(0, 1))
+                out /= total
+                logs += np.log(total)
+        return out.transpose(2, 0, 1), logs
 
     def log_likelihood(self) -> np.ndarray:
         """Natural log-likelihood of each text."""
-        total = self.log_before.copy()
+        total = self.log_before + np.add.reduceat(self.log_mean[self.ids], self.texts)
         lasts = np.flatnonzero(self.seg.last)
         for i in range(0, len(lasts), GROUP):
-            chosen, start, reach = self._ordered(lasts[i:i + GROUP])
-            now, rows = self.before[chosen].copy(), self.seg.row[chosen]
-            for t, m in enumerate(reach.tolist()):
-                a = now[:m] * self.model.emit[self.ids[start[:m] + t]]
-                c = a.sum(axis=1)
+            chosen, ids, reach = self._grid(lasts[i:i + GROUP])
+            now, rows = np.ascontiguousarray(self.before[chosen].T.astype(self.kind)), self.seg.row[chosen]
+            for t, m in enumerate(reach):
+                a = now[:, :m] * self.ratio[:, ids[t, :m]]
+                c = a.sum(axis=0)
                 total[rows[:m]] += np.log(c)
-                now[:m] = (a / c[:, None]) @ self.model.move
+                a /= c
+                now = self.move.T @ a
         return total
 
     def expected(self, sums: Sums) -> None:
         """Adds the expected counts of all texts to ``sums``."""
         seg, k = self.seg, len(self.model.first)
         behind = np.ones((len(seg.row), k))                              # chance of what follows, by state after the segment
-        entry = np.empty((len(seg.row), k))
+        entry = np.empty((len(seg.row), k))                              # the same before it
         lasts = np.flatnonzero(seg.last)
         for i in range(0, len(lasts), GROUP):
             self._both(lasts[i:i + GROUP], None, entry, sums)
@@ -224,44 +268,39 @@ class Passes:
             entry[own] = back / back.sum(axis=1)[:, None]
         for i in range(0, len(self.inner), GROUP):
             self._both(self.inner[i:i + GROUP], behind, None, sums)
-        heads = seg.heads[:-1]
-        a = self.before[heads] * entry[heads]
+        a = self.before[seg.heads[:-1]] * entry[seg.heads[:-1]]
         sums.first += (a / a.sum(axis=1)[:, None]).sum(axis=0)
 
     def _both(self, chosen: np.ndarray, behind: np.ndarray | None, entry: np.ndarray | None, sums: Sums) -> None:
-        """Forward, then backward through some segments. ``behind`` is None for last segments."""
-        move, emit = self.model.move, self.model.emit
-        chosen, start, reach = self._ordered(chosen)
+        """Forward, then backward through some segments; ``behind`` is None for last ones."""
+        chosen, ids, reach = self._grid(chosen)
         k = len(self.model.first)
-        steps = []                                                       # of each step: classes, state chances
-        now = self.before[chosen].copy()
-        for t, m in enumerate(reach.tolist()):
-            ids = self.ids[start[:m] + t]
-            a = now[:m] * emit[ids]
-            a /= a.sum(axis=1)[:, None]
-            steps.append((ids, a))
-            now[:m] = a @ move
-        after = np.ones((len(chosen), k)) if behind is None else behind[chosen].copy()
-        met = 0
+        state = np.zeros((k, *ids.shape), dtype=self.kind)               # state chances after each token, then given all
+        now = np.ascontiguousarray(self.before[chosen].T.astype(self.kind))
+        for t, m in enumerate(reach):
+            a = now[:, :m] * self.ratio[:, ids[t, :m]]
+            a /= a.sum(axis=0)
+            state[:, t, :m] = a
+            now = self.move.T @ a
+        after = np.ones((k, len(chosen)), dtype=self.kind) if behind is None else np.ascontiguousarray(behind[chosen].T.astype(self.kind))
+        met = 0 if behind is None else len(chosen)                       # segments with a move behind this token
         for t in range(len(reach) - 1, -1, -1):
-            ids, a = steps[t]
-            m = len(ids)
-            w = after[:m] @ move.T
-            if behind is None:
-                w[met:m] = 1.0                                           # the text ends here: no move follows
+            m = reach[t]
+            a, w = state[:, t, :m], np.ones((k, m), dtype=self.kind)
+            np.matmul(self.move, after[:, :met], out=w[:, :met])
             g = a * w
-            z = g.sum(axis=1)[:, None]
-            sums.pairs += (a[:met] / z[:met]).T @ after[:met] if behind is None else (a / z).T @ after[:m]
+            z = g.sum(axis=0)
+            sums.pairs += (a[:, :met] / z[:met]) @ after[:, :met].T
             g /= z
-            steps[t] = (ids, g)
-            r = emit[ids] * w
-            after[:m] = r / r.sum(axis=1)[:, None]
+            state[:, t, :m] = g
+            w *= self.ratio[:, ids[t, :m]]
+            w /= w.sum(axis=0)
+            after[:, :m] = w
             met = m
         if entry is not None:
-            entry[chosen] = after
-        ids, gamma = np.concatenate([s[0] for s in steps]), np.concatenate([s[1] for s in steps])
+            entry[chosen] = after.T
         for s in range(k):
-            sums.emit[:, s] += np.bincount(ids, weights=gamma[:, s], minlength=len(emit))
+            sums.emit[:, s] += np.bincount(ids.ravel(), weights=state[s].ravel(), minlength=len(sums.emit))
 
 
 class Sums:
@@ -305,7 +344,7 @@ def expectations(chunks: DataFrame, model: Model) -> tuple[Sums, float]:
                 n, ids, _, _ = chunk_ids(batch, row, classes)
                 n, ids = _learned(batch, row, n, ids)
                 if len(n):
-                    passes = Passes(ids, n, own)
+                    passes = Passes(ids, n, own, kind=np.float32)
                     passes.expected(sums)
                     sums.log += passes.log_likelihood().sum()
         whole = np.vstack([sums.emit, sums.pairs * own.move, sums.first[None, :]]) / COUNT_UNIT
@@ -359,19 +398,17 @@ def fit(chunks: DataFrame, totals: Corpus, states: int = STATES, rounds: int = R
     return model, logs
 
 
-def score(chunks: DataFrame, counts: DataFrame, totals: Corpus, model: Model) -> DataFrame:
+def score(chunks: DataFrame, shared: DataFrame, totals: Corpus, model: Model) -> DataFrame:
     """``SCORED``, one row for each text of ``chunks``; scores are log10 probabilities."""
     spark = chunks.sparkSession
-    shared = spark.sparkContext.broadcast((model, totals))
+    sent = spark.sparkContext.broadcast((model, totals))
     classes = len(model.emit) - 1
-    each = chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    known = (each.join(counts, "word").groupBy("chunk")
-             .agg(F.sort_array(F.collect_list(F.struct("place", "c"))).alias("known"))
-             .select(F.col("chunk").alias("of"), F.col("known.place").alias("places"), F.col("known.c").alias("c")))
-    whole = chunks.join(known, F.col("chunk") == F.col("of"), "left").select("doc_id", "held", "n_words", "codes", "words", "places", "c")
+    known = (shared.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("place", "c")).alias("known"))
+             .select("of", F.col("known.place").alias("places"), F.col("known.c").alias("c")))
+    whole = chunks.join(known, F.col("chunk") == F.col("of"), "left").select("doc_id", "held", "n_words", "codes", "words", "train", "places", "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sizes = shared.value
+        own, sizes = sent.value
         tail = np.log10(sizes.tokens + ADDED * (sizes.distinct + 1))
         share = np.log10(sizes.in_class + ADDED * (sizes.kinds + 1))
         end = float(np.log10(sizes.ends + ADDED) - tail)
@@ -379,7 +416,7 @@ def score(chunks: DataFrame, counts: DataFrame, totals: Corpus, model: Model) ->
             for row in range(batch.num_rows):
                 n, ids, codes, firsts = chunk_ids(batch, row, classes)
                 hashes = batch.column("words")[row].values.to_numpy()
-                c = np.zeros(len(hashes), dtype=np.int64)
+                c = batch.column("train")[row].values.to_numpy().astype(np.int64)
                 if batch.column("places")[row].is_valid:
                     c[batch.column("places")[row].values.to_numpy()] = batch.column("c")[row].values.to_numpy()
                 logs = np.log10(c + ADDED)
@@ -398,7 +435,7 @@ def score(chunks: DataFrame, counts: DataFrame, totals: Corpus, model: Model) ->
 def language_model_scores(docs: DataFrame, held: Column, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """``SCORED`` and train_tokens of each row of ``docs(doc_id, text)``, learning from rows where ``held`` isn't true."""
     chunks = encode(docs, held)
-    counts = word_counts(chunks)
-    totals = corpus(chunks, counts)
+    shared = shared_words(chunks)
+    totals = corpus(chunks, shared)
     model, _ = fit(chunks, totals, states, rounds)
-    return score(chunks, counts, totals, model).withColumn("train_tokens", F.lit(totals.tokens).cast("long"))
+    return score(chunks, shared, totals, model).withColumn("train_tokens", F.lit(totals.tokens).cast("long"))

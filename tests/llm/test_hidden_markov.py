@@ -110,8 +110,8 @@ def test_scores_are_those_of_the_model(spark, docs, rows):
     """The score is the plain forward recursion's, times each word's share of its class."""
     held = held_out(F.col("doc_id"), 10, 0)
     chunks = H.encode(docs, held)
-    counts = H.word_counts(chunks)
-    totals = H.corpus(chunks, counts)
+    shared = H.shared_words(chunks)
+    totals = H.corpus(chunks, shared)
     model, logs = H.fit(chunks, totals, rounds=3)
     assert all(b >= a for a, b in zip(logs, logs[1:]))                   # Baum-Welch never gets worse
     assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1) and math.isclose(model.first.sum(), 1)
@@ -129,7 +129,7 @@ def test_scores_are_those_of_the_model(spark, docs, rows):
         log = brute_forward([place[w] for w in own] + [H.CLASSES], model) / math.log(10)
         log += sum(math.log10((c[w] + 0.1) / (totals.in_class[place[w]] + 0.1 * (totals.kinds[place[w]] + 1))) for w in own)
         want.append((str(i), len(own) + 1, log))
-    got = [(str(r["doc_id"]), r["n_tokens"], r["score"]) for r in H.score(chunks, counts, totals, model).collect()]
+    got = [(str(r["doc_id"]), r["n_tokens"], r["score"]) for r in H.score(chunks, shared, totals, model).collect()]
     assert np.allclose([x[2] for x in sorted(got)], [x[2] for x in sorted(want)], rtol=1e-9)
 
 
@@ -138,7 +138,8 @@ def test_same_counts_for_any_layout(spark, docs):
     found = []
     for parts in (1, 7):
         chunks = H.encode(docs.repartition(parts), held)
-        totals = H.corpus(chunks, H.word_counts(chunks))
+        assert chunks.count() == parts
+        totals = H.corpus(chunks, H.shared_words(chunks))
         sums, log = H.expectations(chunks, H.begin(totals))
         found.append((totals.tokens, totals.distinct, sums.first, sums.pairs, log))
     assert found[0][:2] == found[1][:2]
