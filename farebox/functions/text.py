@@ -39,11 +39,16 @@ def null_tokens(c) -> Column:
 
 # A decimal number or infinity. Spark's cast alone would also take Java's
 # suffixes and hexadecimal floats ("6d", "0x1p3").
-NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)\s*$"
+NUMBER = r"(?i)^\s*([+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infinity))\s*$"
+
+
+def is_number(c) -> Column:
+    """Whether ``to_number`` gives a value: a test of the text itself, which no
+    missing-value token passes."""
+    return F.coalesce(_col(c).cast("string").rlike(NUMBER), F.lit(False))
 
 
 def to_number(c) -> Column:
-    """Numeric coercion; unparsable text and NaN become null."""
-    text = _col(c).cast("string")
-    d = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+    """Numeric coercion; unparsable text and NaN become null. Names its argument
+    once: a planner that inlines it doesn't multiply the expression behind it."""
+    return F.regexp_extract(_col(c).cast("string"), NUMBER, 1).try_cast("double")

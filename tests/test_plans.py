@@ -70,3 +70,11 @@ def test_single_pass_queries_store_no_copy(spark, small_dir, name, monkeypatch):
     monkeypatch.setattr(session, "materialize", fail)
     monkeypatch.setattr(prepared, "materialize", fail)
     QUERIES[name](spark, small_dir).collect()
+
+
+def test_cleaning_is_compiled(spark, small_dir):
+    """Methods above 8,000 bytes run interpreted: the cleaning's stay below."""
+    df = QUERIES["clean_observations"](spark, small_dir)
+    df.collect()
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    assert stages.size() and all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
