@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from farebox.functions.display import event_line
 from farebox.functions.hours import all_hours
+from farebox.operators.scan import forward_fill
 
 WEATHER_SCHEMA = "struct<current: struct<temp_c: double, condition: struct<text: string>>>"
 EVENT_TYPE = ("struct<id: string, name: string, "
@@ -129,22 +130,16 @@ def hourly_weather(readings: DataFrame, dates: DataFrame) -> DataFrame:
     first reading of all).
 
     A reading counts from the next full hour on (its own if it is on the hour).
-    The latest per hour is a grouped aggregate. Carrying forward takes a window
-    over the 24 hours of a date, and one over a table with one row per date
-    for what the days before left.
+    The latest per hour is a grouped aggregate; it is carried forward over the
+    hours of all dates by a scan in two levels (``operators.scan``).
     """
     start = F.date_trunc("hour", "fetched_at")
     counts_from = F.when(F.col("fetched_at") == start, start).otherwise(start + F.expr("INTERVAL 1 HOUR"))
     latest = (readings.select(counts_from.alias("at"), F.struct("fetched_at", "temp_c", "condition").alias("rd"))
               .groupBy(F.col("at").cast("date").alias("service_date"), F.hour("at").alias("hour")).agg(F.max("rd").alias("rd")))
-    last = latest.groupBy("service_date").agg(F.max("rd").alias("last_rd"))
-    every = dates.select("service_date").where("service_date is not null").unionByName(last.select("service_date")).distinct()
-    before = Window.orderBy("service_date").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.join(last, "service_date", "left").withColumn("before", F.last("last_rd", ignorenulls=True).over(before))
-    grid = carried.select("service_date", "before", F.explode(all_hours()).alias("hour"))
-    so_far = Window.partitionBy("service_date").orderBy("hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = (grid.join(latest, ["service_date", "hour"], "left")
-              .withColumn("rd", F.coalesce(F.last("rd", ignorenulls=True).over(so_far), "before")))
+    every = dates.select("service_date").where("service_date is not null").unionByName(latest.select("service_date")).distinct()
+    grid = every.select("service_date", F.explode(all_hours()).alias("hour"))
+    filled = forward_fill(grid.join(latest, ["service_date", "hour"], "left"), ["service_date", "hour"], "rd")
     return filled.select("service_date", "hour",
                          F.col("rd.fetched_at").alias("weather_at"),
                          F.col("rd.temp_c").alias("temp_c"),

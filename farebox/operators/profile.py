@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from farebox.functions.hours import all_hours, hours_for_daytype, is_weekend, service_open
 from farebox.functions.display import title_day
 from farebox.functions.text import strip
+from farebox.operators.scan import order_statistics
 from farebox.session import materialize
 
 COMBO = ["station", "line", "day"]
@@ -77,13 +78,12 @@ def typical_line(df: DataFrame) -> DataFrame:
 def congestion_levels(profile: DataFrame, low_q: float = 1 / 3, high_q: float = 2 / 3) -> DataFrame:
     """P23 (our semantics): network-wide thresholds at the given quantiles of
     open-hour riders, then low / medium / high. Thresholds are exact (the
-    smallest value that the share of rows reaches), from counts of distinct
-    values merged across tasks; a profile is bounded by stations x lines x days
-    x 24, not by observations. It is read twice, so pass a stored one."""
-    low, high = profile.filter("is_open").agg(*[
-        F.expr(f"percentile_disc({q!r}D) WITHIN GROUP (ORDER BY riders)") for q in (low_q, high_q)]).first()
-    if low is None:
+    smallest value that the share of rows reaches), found by rounds of bounded
+    counts. The profile is read in each, so pass a stored one."""
+    found = order_statistics(profile.filter("is_open"), "riders", [low_q, high_q])
+    if found is None:
         return profile.withColumn("level", F.lit(None).cast("string"))
+    low, high = found
     level = (F.when(~F.col("is_open"), F.lit("closed"))
              .when(F.col("riders") <= low, F.lit("low"))
              .when(F.col("riders") <= high, F.lit("medium"))
