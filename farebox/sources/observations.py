@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.functions.text import null_tokens
+from farebox.sources.csv_records import read_csv_records
 from farebox.sources.dimensions import station_rows
 from farebox.sources.literal import literal_frame
 
@@ -43,10 +44,16 @@ def read_observations_csv(spark: SparkSession, path: str) -> DataFrame:
     No schema inference (a full extra pass at scale, and it would turn an
     all-digit line column into numbers); no trimming (normalising is a
     separate, explicit step). Doubled quotes inside a quoted field stand for
-    one; line breaks inside quotes are not supported (files stay splittable).
+    one; a quoted field may hold commas and line breaks. Files without any quote
+    go straight to Spark's reader, which splits them at line ends; with quotes,
+    records are cut by ``sources.csv_records``, also in parallel.
     """
-    df = (spark.read.option("header", True).option("inferSchema", False)
-          .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').csv(path))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if lines.where(F.contains("value", F.lit('"'))).isEmpty():
+        df = (spark.read.option("header", True).option("inferSchema", False)
+              .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').csv(path))
+    else:
+        df = read_csv_records(spark, path)
     return with_null_tokens(lower_names(df))
 
 
