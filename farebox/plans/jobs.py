@@ -49,8 +49,8 @@ def train_job(spark: SparkSession, raw: DataFrame, out_path: str, algo: str = "g
     model = ml.fit_model(train, algo=algo, max_iter=max_iter, compress=compress)
     metrics = regression_metrics(ml.PipelineScorer(model).predict(test))
     trees = max_iter if max_iter is not None else ml.GBT_PARAMS["maxIter"]
-    algo_text = (f"GBTRegressor({trees} trees, depth 5) + one-hot(station/line/day)"
-                 if algo == "gbt" else "LinearRegression + one-hot(station/line/day)")
+    algo_text = (f"boosted trees ({trees}, depth 5) + one-hot(station/line/day)"
+                 if algo == "gbt" else "least squares + one-hot(station/line/day)")
     meta = ml.model_metadata(spark, metrics, trained_at if trained_at is not None
                              else F.current_timestamp(), algo_text)
     ml.save_model(model, meta, out_path)

@@ -59,7 +59,7 @@ def _stations_values() -> str:
                      for i, (name, line, _a, _b) in enumerate(station_rows()))
 
 
-def cte_raw() -> str:
+def cte_raw(station: str = "station") -> str:
     """The observation stand-in (rows only) with missing tokens nulled."""
     n = len(station_rows())
     return f"""
@@ -88,7 +88,7 @@ raw0 AS (
     cast(cast(e.ts AS DATE) AS VARCHAR) AS date
   FROM events e JOIN st ON e.user_id % {n} = st.idx),
 raw AS (
-  SELECT obs_id, {nulltok('station')} AS station, {nulltok('line')} AS line,
+  SELECT obs_id, {nulltok(station)} AS station, {nulltok('line')} AS line,
          {nulltok('day')} AS day, {nulltok('hour')} AS hour,
          {nulltok('riders')} AS riders, {nulltok('date')} AS date
   FROM raw0)"""
@@ -298,6 +298,9 @@ SELECT cast(range(0, 24) AS INTEGER[]) AS hours,
   coalesce((SELECT list_sort(list(value)) FROM opt_found WHERE kind = 'line'), []::VARCHAR[]) AS lines""")
 
 ORACLE["csv_clean_observations"] = with_ctes(*_front(), body="SELECT * EXCLUDE (obs_id, service_date) FROM obs")
+QUOTED_STATION = ("CASE WHEN obs_id % 3 = 0 THEN station || chr(10) || chr(10) || '\"upper\", level, ' || day || chr(10) || '\",'"
+                  " ELSE station END")
+ORACLE["csv_quoted_observations"] = with_ctes(cte_raw(QUOTED_STATION), cte_obs(), body="SELECT * EXCLUDE (obs_id, service_date) FROM obs")
 ORACLE["csv_options_long"] = ORACLE["options_long"]
 
 
@@ -640,6 +643,76 @@ UNION ALL SELECT 'minute', round(avg(minute), 6) + 0.0::DOUBLE FROM split WHERE
 UNION ALL SELECT 'is_weekend', round(avg(is_weekend), 6) + 0.0::DOUBLE FROM split WHERE NOT is_test AND riders IS NOT NULL""")
 
 
+def cte_labelled() -> str:
+    """Labelled train rows and their own modes, nulls filled -> ``labelled``; the sorted categories -> ``vocabulary``."""
+    fill = lambda c: (f"coalesce({c}, (SELECT {c} FROM learn WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS {c}")
+    return f"""
+learn AS (SELECT * FROM split WHERE NOT is_test AND riders IS NOT NULL),
+labelled AS (SELECT * REPLACE ({fill('station')}, {fill('line')}, {fill('day')}) FROM learn),
+levels AS (
+  SELECT 'station' AS feature, 0 AS k, station AS value, riders FROM labelled UNION ALL
+  SELECT 'line', 1, line, riders FROM labelled UNION ALL
+  SELECT 'day', 2, day, riders FROM labelled),
+vocabulary AS (
+  SELECT feature, value, cast(row_number() OVER (ORDER BY k, value) - 1 AS INTEGER) AS position
+  FROM (SELECT DISTINCT feature, k, value FROM levels WHERE value IS NOT NULL))"""
+
+
+ORACLE["design_matrix"] = with_ctes(*_front(cte_split(), cte_labelled(), cte_requests()), body=f"""
+, valid AS (
+  SELECT request_id, pos, {strip('station')} AS station, {strip('line')} AS line, {strip('lower(day)')} AS day, hour
+  FROM checked WHERE reason IS NULL)
+, every_row AS (
+  SELECT 'observation' AS origin, obs_id AS id, 0 AS pos,
+    coalesce(station, (SELECT station FROM learn WHERE station IS NOT NULL GROUP BY station ORDER BY count(*) DESC, station LIMIT 1)) AS station,
+    coalesce(line, (SELECT line FROM learn WHERE line IS NOT NULL GROUP BY line ORDER BY count(*) DESC, line LIMIT 1)) AS line,
+    coalesce(day, (SELECT day FROM learn WHERE day IS NOT NULL GROUP BY day ORDER BY count(*) DESC, day LIMIT 1)) AS day,
+    hour, is_weekend
+  FROM kept UNION ALL
+  SELECT 'request', request_id, pos, station, line, day, hour, CASE WHEN day IN ({_list(WEEKENDS)}) THEN 1 ELSE 0 END FROM valid)
+, cells AS (
+  SELECT origin, id, pos, 'station' AS feature, station AS value FROM every_row UNION ALL
+  SELECT origin, id, pos, 'line', line FROM every_row UNION ALL
+  SELECT origin, id, pos, 'day', day FROM every_row)
+, width AS (SELECT cast(count(*) AS INTEGER) AS n FROM vocabulary)
+SELECT origin, id, pos, position, concat(feature, '=', value) AS "column", 1.0::DOUBLE AS value
+FROM cells JOIN vocabulary USING (feature, value)
+UNION ALL SELECT origin, id, pos, n, 'hour', hour::DOUBLE FROM every_row, width WHERE hour <> 0
+UNION ALL SELECT origin, id, pos, n + 2, 'is_weekend', is_weekend::DOUBLE FROM every_row, width WHERE is_weekend <> 0""")
+
+ORACLE["linear_normal_equations"] = with_ctes(*_front(cte_split(), cte_labelled()), body="""
+SELECT feature, value, count(*) AS n, round(avg(riders), 6) + 0.0::DOUBLE AS mean_fitted FROM levels GROUP BY feature, value
+UNION ALL SELECT 'hour', 'product', count(*), round(avg(hour * riders), 6) + 0.0::DOUBLE FROM labelled
+UNION ALL SELECT 'minute', 'product', count(*), round(avg(minute * riders), 6) + 0.0::DOUBLE FROM labelled
+UNION ALL SELECT 'is_weekend', 'product', count(*), round(avg(is_weekend * riders), 6) + 0.0::DOUBLE FROM labelled""")
+
+ORACLE["gbt_root_split"] = with_ctes(*_front(cte_split(), cte_labelled()), body="""
+, total AS (SELECT avg(riders) AS m, count(*) AS n FROM labelled)
+, sides AS (
+  SELECT k, feature, value, sum(m - riders) AS g, count(*) AS w, row_number() OVER (PARTITION BY feature ORDER BY value) AS i
+  FROM levels, total GROUP BY k, feature, value
+  UNION ALL
+  SELECT 3, 'hour', cast(t.cut AS VARCHAR), sum(m - riders), count(*), row_number() OVER (ORDER BY t.cut)
+  FROM (SELECT DISTINCT hour AS cut FROM labelled WHERE hour > (SELECT min(hour) FROM labelled)) t
+  JOIN labelled l ON l.hour >= t.cut, total GROUP BY t.cut
+  UNION ALL
+  SELECT 5, 'is_weekend', '1.0', sum(m - riders), count(*), 1 FROM labelled, total WHERE is_weekend = 1)
+, scored AS (
+  SELECT k, i, feature, value, w, n - w AS rest, g * g / (w + 1) + g * g / (n - w + 1) AS gain, n FROM sides, total WHERE n > w)
+SELECT feature, value, round(gain / n, 4) + 0.0::DOUBLE AS gain, rest AS n_left, w AS n_right,
+  row_number() OVER (ORDER BY gain DESC, k, i) = 1 AS chosen
+FROM scored""")
+
+ORACLE["published_models"] = with_ctes(*_front(cte_split()), body="""
+, parts AS (
+  SELECT 1 AS position, station, line, day FROM split WHERE NOT is_test AND riders IS NOT NULL UNION ALL
+  SELECT 2, station, line, day FROM split WHERE NOT is_test AND riders IS NOT NULL AND line = '1')
+SELECT cast(position AS INTEGER) AS position, concat('v2024.02.01.', CASE WHEN position = 1 THEN '1246' ELSE '1346' END) AS model_version,
+  concat('part ', position - 1) AS algo, count(*) AS n_rows, cast(count(DISTINCT station) AS INTEGER) AS stations,
+  cast(count(DISTINCT line) AS INTEGER) AS lines, cast(count(DISTINCT day) AS INTEGER) AS days
+FROM parts GROUP BY position""")
+
+
 # Output presentation (see ``queries.present``): dates as text.
 for _name, _column in {"clean_observations": "service_date", "service_filtered": "service_date",
                        "closed_hours_fallback": "service_date", "fused_observations": "service_date",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.functions import display as disp
@@ -23,7 +23,7 @@ from farebox.operators.evaluate import regression_metrics
 from farebox.operators.options import options_listing, options_long
 from farebox.operators.profile import (combinations, congestion_levels, open_hours_profile,
                                        profile_24h, typical_line)
-from farebox.operators.score import parse_records, score, unknown_categories, validate
+from farebox.operators.score import normalised_records, parse_records, score, unknown_categories, validate
 from farebox.operators.split import bucket_split
 from farebox.plans.prepared import TRAINED_AT, baseline, prepare
 from farebox.session import materialize, remove_at_exit, scratch_path
@@ -152,13 +152,16 @@ def options_listing_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return options_listing(spark, raw_observations(spark, sf_dir))
 
 
-def _observations_csv(spark: SparkSession, sf_dir: str) -> str:
+def _observations_csv(spark: SparkSession, sf_dir: str, station: Column | None = None) -> str:
     """The raw observations as CSV text with the columns Station, Line, Day,
     Hour, Riders only (padding and tabs kept); returns the folder."""
     path = scratch_path(spark, "observations-csv")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    (observation_standin(spark, events).select("Station", "Line", "Day", "Hour", "Riders").write.mode("overwrite")
-     .option("header", True).option("ignoreLeadingWhiteSpace", False)
+    rows = observation_standin(spark, events)
+    if station is not None:
+        rows = rows.withColumn("Station", station)
+    rows = rows.select("Station", "Line", "Day", "Hour", "Riders")
+    (rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
     remove_at_exit(spark, path)
     return path
@@ -170,6 +173,13 @@ def csv_clean_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_observations(read_observations_csv(spark, _observations_csv(spark, sf_dir))).drop("obs_id", "service_date")
 
 
+def csv_quoted_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third station holds line breaks, quotes and commas inside quotes."""
+    odd = F.concat("Station", F.lit('\n\n"upper", level, '), "Day", F.lit('\n",'))
+    station = F.when(F.col("obs_id") % 3 == 0, odd).otherwise(F.col("Station"))
+    return clean_observations(read_observations_csv(spark, _observations_csv(spark, sf_dir, station))).drop("obs_id", "service_date")
+
+
 def csv_options_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S2 + G4: the options listing read straight from the CSV
     (``Day``/``Station``/``Line`` headers in any case)."""
@@ -282,18 +292,52 @@ def congestion_levels_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def category_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A8 + M3: each feature's sorted training categories with their index, as
-    fitted by the model pipeline."""
-    stages = _fit(prepare(spark, sf_dir), "linear").stages
-    rows = [(feature, i, value) for feature, values in zip(ml.CATEGORICAL, stages[1].labelsArray) for i, value in enumerate(values)]
+    fitted by the model's preprocessing."""
+    index = ml.fit_preprocessing(prepare(spark, sf_dir).train).stages[1]
+    rows = [(feature, i, value) for feature, values in zip(ml.CATEGORICAL, index.labelsArray) for i, value in enumerate(values)]
     return spark.createDataFrame(rows, "feature string, position int, value string")
 
 
 def numeric_fill_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7 + M4: the means that the fitted pipeline puts for missing numbers."""
-    fills = _fit(prepare(spark, sf_dir), "linear").stages[3].fill_values()
+    """A7 + M4: the means that the fitted preprocessing puts for missing numbers."""
+    fills = ml.fit_preprocessing(prepare(spark, sf_dir).train).stages[2].fill_values()
     return rounded(spark.createDataFrame(list(fills.items()), "feature string, mean double"), "mean")
 
 
+def design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 + M5: the design matrix in coordinate form, of all kept observations
+    (nulls filled) and all valid requests (unknown categories have no column)."""
+    prep = prepare(spark, sf_dir)
+    design = ml.fit_design(prep.train)
+    observations = prep.kept.select(F.lit("observation").alias("origin"), F.col("obs_id").alias("id"), F.lit(0).alias("pos"),
+                                    *ml.CATEGORICAL, "hour", "minute", "is_weekend")
+    valid = _validated_requests(spark, sf_dir).filter(F.col("reason").isNull())
+    requests = normalised_records(valid).select(F.lit("request").alias("origin"), F.col("request_id").alias("id"), "pos",
+                                                *ml.CATEGORICAL, "hour", "minute", "is_weekend")
+    return ml.design_coordinates(design, observations.unionByName(requests), ["origin", "id", "pos"])
+
+
+def linear_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted line's residuals add up to 0 in every category, and
+    so do they weighted by each number: per column, rows and mean fitted riders (as the labels' own mean)."""
+    train = prepare(spark, sf_dir).train.where("riders is not null")
+    model = ml.fit_model(train, algo="linear")
+    fitted = ml.PipelineScorer(model).predict(train)
+    levels = (ml.category_levels(model, fitted).groupBy("feature", "value")
+              .agg(F.count("*").alias("n"), F.avg("prediction").alias("mean_fitted")))
+    numbers = fitted.select("prediction", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in ml.NUMERIC])).alias("f")).groupBy(
+        "f.feature").agg(F.lit("product").alias("value"), F.count("*").alias("n"), F.avg(F.col("f.x") * F.col("prediction")).alias("mean_fitted"))
+    return rounded(levels.unionByName(numbers), "mean_fitted")
+
+
+def gbt_root_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: every split that the first tree's root may take, without sampling: gain per row and both sides' rows."""
+    rows = [(c["feature"], c["value"], round(c["gain"], 4) + 0.0, int(c["left"]), int(c["right"]), c["chosen"])
+            for c in ml.root_split(prepare(spark, sf_dir).train)]
+    return spark.createDataFrame(rows, "feature string, value string, gain double, n_left long, n_right long, chosen boolean")
+
+
 def model_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 + P17 + K4: the fitted model's metadata written as JSON to the shared
     folder and read back; a missing version reads as "unknown"."""
@@ -307,6 +351,24 @@ def model_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.read_metadata(spark, path).select("model_version", "features", "algo", "service_hours_rule", "metrics.*")
 
 
+def published_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + K2: two models published one after the other (all lines, then line 1
+    only), each loaded by its version: its metadata and how many categories its pipeline knows."""
+    train = prepare(spark, sf_dir).train
+    path = scratch_path(spark, "published-models")
+    for hours, part in enumerate((train, train.where("line = '1'"))):
+        trained_at = F.lit(TRAINED_AT).cast("timestamp") + F.expr(f"interval {hours} hours")
+        stats = part.agg(F.lit(0.0).alias("r2"), F.count("riders").cast("double").alias("rmse"), F.lit(0.0).alias("mae"))
+        ml.save_model(ml.fit_preprocessing(part), ml.model_metadata(spark, stats, trained_at, f"part {hours}"), path)
+    remove_at_exit(spark, path)
+    rows = []
+    for version in ml.model_versions(spark, path).orderBy("position").collect():
+        model, meta = ml.load_model(spark, path, version["model_version"])
+        known = [len(labels) for labels in model.stages[1].labelsArray]
+        rows.append((version["position"], version["model_version"], meta.first()["algo"], int(version["metrics"]["rmse"]), *known))
+    return spark.createDataFrame(rows, "position int, model_version string, algo string, n_rows long, stations int, lines int, days int")
+
+
 def _fit(prep, algo: str = "gbt"):
     return ml.fit_model(prep.train, algo=algo)
 
@@ -330,7 +392,7 @@ def gbt_scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = _fit(prep, "gbt")
     metrics = regression_metrics(ml.PipelineScorer(model).predict(prep.test))
     meta = ml.model_metadata(spark, metrics, F.lit(TRAINED_AT).cast("timestamp"),
-                             f"GBTRegressor({ml.GBT_PARAMS['maxIter']} trees) + one-hot(station/line/day)")
+                             f"boosted trees ({ml.GBT_PARAMS['maxIter']}) + one-hot(station/line/day)")
     path = scratch_path(spark, "gbt-model")
     ml.save_model(model, meta, path)
     remove_at_exit(spark, path)
@@ -387,6 +449,7 @@ _QUERIES: dict[str, Query] = {
     "options_long": options_long_q,
     "options_listing": options_listing_q,
     "csv_clean_observations": csv_clean_observations,
+    "csv_quoted_observations": csv_quoted_observations,
     "csv_options_long": csv_options_long,
     "scored_requests": scored_requests,
     "rejected_records": rejected_records,
@@ -403,12 +466,16 @@ _QUERIES: dict[str, Query] = {
     "time_features": time_features,
     "congestion_levels": congestion_levels_q,
     "model_card": model_card,
+    "published_models": published_models,
+    "gbt_root_split": gbt_root_split,
     "gbt_holdout_metrics": gbt_holdout_metrics,
     "linear_holdout_metrics": linear_holdout_metrics,
+    "linear_normal_equations": linear_normal_equations,
     "gbt_scored_requests": gbt_scored_requests,
     "gbt_profile_24h": gbt_profile_24h,
     "category_vocabulary": category_vocabulary,
     "numeric_fill_means": numeric_fill_means,
+    "design_matrix": design_matrix,
     "streamed_scored_requests": streamed_scored_requests,
     "streamed_rejected_records": streamed_rejected_records,
 }

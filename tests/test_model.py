@@ -105,3 +105,35 @@ def test_compressed_linear_equals_raw_rows(spark):
     assert math.isclose(raw.intercept, packed.intercept, rel_tol=1e-7, abs_tol=1e-7)
     assert all(math.isclose(a, b, rel_tol=1e-7, abs_tol=1e-7)
                for a, b in zip(raw.coefficients, packed.coefficients))
+
+
+def test_readers_never_see_half_a_model(spark, tmp_path, monkeypatch):
+    """Between the writes of a second model, and if they fail, the first one is loaded."""
+    train = spark.createDataFrame(ROWS, SCHEMA)
+    path = str(tmp_path / "models")
+
+    def meta(version):
+        return spark.createDataFrame([(version, None)], "model_version string, algo string")
+
+    ml.save_model(ml.fit_model(train, algo="linear"), meta("v1"), path)
+    seen = []
+    write = ml.write_metadata
+
+    def watched(frame, folder):
+        seen.append(ml.load_model(spark, path)[1].first()["model_version"])       # the pipeline lies there, not yet published
+        write(frame, folder)
+        seen.append(ml.load_model(spark, path)[1].first()["model_version"])
+        if len(seen) > 2:
+            raise OSError("writer lost")
+
+    monkeypatch.setattr(ml, "write_metadata", watched)
+    second = ml.save_model(ml.fit_model(train.where("line = '1'"), algo="linear"), meta("v2"), path)
+    assert seen == ["v1", "v1"] and ml.load_model(spark, path)[1].first()["model_version"] == "v2"
+    with pytest.raises(OSError):
+        ml.save_model(ml.fit_model(train, algo="linear"), meta("v3"), path)
+    assert ml.published(spark, path)[-1] == second and seen[2:] == ["v2", "v2"]
+    old, _ = ml.load_model(spark, path, "v1")
+    assert len(old.stages[1].labelsArray[1]) == 2 and len(ml.load_model(spark, path)[0].stages[1].labelsArray[1]) == 1
+    assert [r["model_version"] for r in ml.model_versions(spark, path).orderBy("position").collect()] == ["v1", "v2"]
+    with pytest.raises(LookupError):
+        ml.load_model(spark, path, "v9")
