@@ -57,6 +57,8 @@ FLOOR = 0.68
 #: Rows of a bucket that one task compares with each other.
 LEFT_BLOCK, RIGHT_BLOCK = 256, 4096
 _STEP = 1 << 15
+#: Sets whose registers are made and handed on at a time: memory must not follow the rows of a batch.
+SET_ROWS = 256
 
 _SEEDS = mix(np.arange(1, 2 * (REGISTERS + FINE) + 1, dtype=np.uint64)) >> np.uint64(32)
 _XOR = _SEEDS[::2].astype(np.uint32)
@@ -66,11 +68,12 @@ SKETCH = "doc_id long, n_shingles long, digest_a long, digest_b long, registers
 
 
 def compress(minima: np.ndarray, mantissa: int) -> np.ndarray:
-    """Leading zeros (5 bits) and ``mantissa`` bits behind them of 32-bit minima."""
+    """Leading zeros (5 bits) and ``mantissa`` bits behind them of 32-bit minima, in the smallest type."""
     _, bits = np.frexp(minima.astype(np.float64))          # bit length; 0 for 0
-    zeros = np.minimum(32 - bits.astype(np.int64), 31)
-    shifted = (minima.astype(np.uint64) << (zeros + 1).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-    return (zeros.astype(np.uint64) << np.uint64(mantissa)) | (shifted >> np.uint64(32 - mantissa))
+    zeros = np.minimum(32 - bits, 31).astype(np.uint32)
+    shifted = (minima << zeros) << np.uint32(1)            # two steps: a shift by 32 is undefined
+    packed = (zeros << np.uint32(mantissa)) | (shifted >> np.uint32(32 - mantissa))
+    return packed.astype(np.uint8 if mantissa <= 3 else np.uint16)
 
 
 def minima_of(sets: list[np.ndarray], first: int, count: int) -> np.ndarray:
@@ -94,14 +97,20 @@ def minima_of(sets: list[np.ndarray], first: int, count: int) -> np.ndarray:
     return minima
 
 
+def _compressed(sets: list[np.ndarray], first: int, count: int, mantissa: int) -> np.ndarray:
+    """Compressed registers of the sets, ``SET_ROWS`` of them at a time."""
+    parts = [compress(minima_of(sets[i:i + SET_ROWS], first, count), mantissa) for i in range(0, max(len(sets), 1), SET_ROWS)]
+    return np.concatenate(parts)
+
+
 def registers_of(sets: list[np.ndarray]) -> np.ndarray:
     """The banded registers, 16 bits each."""
-    return compress(minima_of(sets, 0, REGISTERS), MANTISSA).astype(np.uint16)
+    return _compressed(sets, 0, REGISTERS, MANTISSA)
 
 
 def fine_registers(sets: list[np.ndarray]) -> np.ndarray:
     """The registers for estimates, 8 bits each."""
-    return compress(minima_of(sets, REGISTERS, FINE), FINE_MANTISSA).astype(np.uint8)
+    return _compressed(sets, REGISTERS, FINE, FINE_MANTISSA)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +145,13 @@ def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, offsets = text_buffer(batch.column(1))
         sets = shingles_by_document(words_of(buf, offsets, FOLDED), SHINGLE)
         full = [i for i, s in enumerate(sets) if len(s)]
-        sets = [sets[i] for i in full]
-        columns = [batch.column(0).take(pa.array(full, pa.int64())), pa.array([len(s) for s in sets], pa.int64())]
-        for rows in (registers_of(sets), fine_registers(sets), sets):
-            columns.append(pa.array([r.tobytes() for r in rows], pa.binary()))
-        yield pa.RecordBatch.from_arrays(columns, names=["rep", "n_shingles", "registers", "fine", "shingles"])
+        for k in range(0, len(full), SET_ROWS):
+            some = full[k:k + SET_ROWS]
+            own = [sets[i] for i in some]
+            columns = [batch.column(0).take(pa.array(some, pa.int64())), pa.array([len(s) for s in own], pa.int64())]
+            for rows in (registers_of(own), fine_registers(own), own):
+                columns.append(pa.array([r.tobytes() for r in rows], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n_shingles", "registers", "fine", "shingles"])
 
 
 @lru_cache(maxsize=4096)
