@@ -81,33 +81,38 @@ def class_of(hashes: np.ndarray, classes: int) -> np.ndarray:
     return (hashes.view(np.uint64) % np.uint64(classes)).astype(np.int64)
 
 
-def _chunk(number: int, rows: pa.Table) -> pa.RecordBatch:
-    buf, offsets = text_buffer(rows["text"])
-    words = words_of(buf, offsets, FOLDED)
+def _chunk(number: int, batches: list[pa.RecordBatch], hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+    """The row of some batches (doc_id, held) and their words."""
+    rows, n = pa.Table.from_batches(batches), np.concatenate(counts)
     held = rows["held"].combine_chunks().to_numpy(zero_copy_only=False)
-    own, codes = np.unique(words.hashes, return_inverse=True)
-    n = words.counts()
+    own, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+    codes = codes.astype(np.int32)
     train = np.bincount(codes[np.repeat(~held, n)], minlength=len(own))
     one = lambda values, kind: pa.ListArray.from_arrays([0, len(values)], pa.array(values, kind))
     return pa.RecordBatch.from_arrays(
         [pa.array([number], pa.int64()), one(rows["doc_id"].combine_chunks(), pa.int64()), one(held, pa.bool_()), one(n, pa.int64()),
-         pa.array([codes.astype(np.int32).tobytes()], pa.binary()), one(own.view(np.int64), pa.int64()), one(train.astype(np.int32), pa.int32())],
+         pa.array([codes.tobytes()], pa.binary()), one(own.view(np.int64), pa.int64()), one(train.astype(np.int32), pa.int32())],
         names=["chunk", "doc_id", "held", "n_words", "codes", "words", "train"])
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, held) to chunks."""
+    """(doc_id, text, held) to chunks. Of a batch only the words' hashes wait for the rest of the chunk."""
     task = TaskContext.get()
     number = (task.partitionId() if task else 0) << 33
-    waiting, size = [], 0
+    waiting, size = ([], [], []), 0
     for batch in batches:
-        waiting.append(batch)
-        size += batch.nbytes
+        if batch.num_rows:
+            buf, offsets = text_buffer(batch.column(1))
+            words = words_of(buf, offsets, FOLDED)
+            for part, value in zip(waiting, (batch.select(["doc_id", "held"]), words.hashes, words.counts())):
+                part.append(value)
+            size += len(buf)
+            del buf, words, batch
         if size >= CHUNK_BYTES:
-            yield _chunk(number, pa.Table.from_batches(waiting))
-            number, waiting, size = number + 1, [], 0
-    if any(b.num_rows for b in waiting):
-        yield _chunk(number, pa.Table.from_batches(waiting))
+            yield _chunk(number, *waiting)
+            number, waiting, size = number + 1, ([], [], []), 0
+    if waiting[0]:
+        yield _chunk(number, *waiting)
 
 
 def encode(docs: DataFrame, held: Column) -> DataFrame:
