@@ -50,6 +50,8 @@ from pyspark.sql import functions as F
 from farebox.session import materialize, ship_package
 
 CHECKPOINT = 25
+#: Code vectors of a block, where ``blocks`` doesn't say otherwise: a task has to be worth its start.
+BLOCK_ROWS = 1 << 14
 #: Joint cells of a node up to which two levels come from one pass.
 PAIR_CELLS = 1 << 15
 MAX_BINS = 256
@@ -366,17 +368,18 @@ class Frame:
 
 
 def blocks_of(rows: DataFrame, codes: list[str], label: str, weight: str | None, plan_of, partitions: int) -> Frame:
-    """One row for each code vector, dealt to blocks; ``plan_of(bins)`` gives the plan."""
+    """One row for each code vector, dealt to blocks (0: as many as their rows need); ``plan_of(bins)`` gives the plan."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     distinct = materialize(rows.sparkSession, rows.groupBy(*[F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(codes)])
                            .agg(F.round(F.sum(F.col(label) * w) / F.sum(w), 9).alias("y"), F.sum(w).alias("w")), "code-vectors")
     names = [f"c{i}" for i in range(len(codes))]
-    top = distinct.agg(F.sum((F.col("y") * F.col("w")).cast("decimal(38,9)")).alias("s"), F.sum("w").alias("w"),
+    top = distinct.agg(F.count("*").alias("n"), F.sum((F.col("y") * F.col("w")).cast("decimal(38,9)")).alias("s"), F.sum("w").alias("w"),
                        F.min("y").alias("low"), F.max("y").alias("high"), *[F.max(c).alias(c) for c in names]).first()
     plan = plan_of([int(top[c]) + 1 for c in names])
     base, spread = float(top["s"]) / top["w"], top["high"] - top["low"]
     scale, n = exact_scale(top["w"], spread), len(codes)
-    dealt = distinct.select(*[F.col(c) for c in names], "y", "w").repartition(partitions, *names)
+    needed = -(-top["n"] // BLOCK_ROWS)
+    dealt = distinct.select(*[F.col(c) for c in names], "y", "w").repartition(partitions or needed, *names)
     return Frame(dealt.rdd.mapPartitions(lambda part: [Block.of([tuple(r) for r in part], n, base, scale)]), plan, base, scale, spread)
 
 
@@ -460,16 +463,16 @@ class BoostedTrees(Estimator, _Boosted, HasLabelCol, HasWeightCol, HasSeed, Defa
     subsamplingRate = Param(Params._dummy(), "subsamplingRate", "share of rows of a tree", typeConverter=TypeConverters.toFloat)
     featureSubsetStrategy = Param(Params._dummy(), "featureSubsetStrategy", "share of columns of a tree", typeConverter=TypeConverters.toString)
     l2 = Param(Params._dummy(), "l2", "weight of the squared leaves (lambda)", typeConverter=TypeConverters.toFloat)
-    blocks = Param(Params._dummy(), "blocks", "partitions of the fit; the trees don't depend on it", typeConverter=TypeConverters.toInt)
+    blocks = Param(Params._dummy(), "blocks", "partitions of the fit, 0: by size; the trees don't depend on it", typeConverter=TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, *, inputCols=None, categories=None, labelCol="label", maxIter=600, maxDepth=5, stepSize=0.05,
-                 subsamplingRate=0.9, featureSubsetStrategy="0.9", l2=1.0, seed=42, blocks=4):
+                 subsamplingRate=0.9, featureSubsetStrategy="0.9", l2=1.0, seed=42, blocks=0):
         super().__init__()
         self._setDefault(predictionCol="prediction", categories=[])
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
         self._setDefault(labelCol="label", maxIter=600, maxDepth=5, stepSize=0.05, subsamplingRate=0.9,
-                         featureSubsetStrategy="0.9", l2=1.0, seed=42, blocks=4)
+                         featureSubsetStrategy="0.9", l2=1.0, seed=42, blocks=0)
 
     def setSubsamplingRate(self, value: float) -> BoostedTrees:
         return self._set(subsamplingRate=value)

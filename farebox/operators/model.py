@@ -55,7 +55,6 @@ CATEGORICAL = ["station", "line", "day"]
 NUMERIC = ["hour", "minute", "is_weekend"]
 FEATURES = CATEGORICAL + NUMERIC
 LABEL = "label"
-FIT_PARTITIONS = 4
 WEIGHT = "weight"
 
 # Fixed values of the reference model (trees, depth, rate, sampling, lambda, seed).
@@ -158,7 +157,7 @@ def design_stages() -> list:
 def build_pipeline(algo: str = "gbt", max_iter: int | None = None, weighted: bool = False) -> Pipeline:
     modes, index, means = preprocessing()
     if algo == "gbt":
-        params = dict(GBT_PARAMS, blocks=FIT_PARTITIONS)
+        params = dict(GBT_PARAMS)
         if max_iter is not None:
             params["maxIter"] = max_iter
         indices = [f"{c}_idx" for c in CATEGORICAL]

@@ -224,6 +224,14 @@ SELECT day, hour, open_train, open_serve FROM (
         FROM (SELECT DISTINCT day FROM obs WHERE day IS NOT NULL)))
 WHERE open_train OR open_serve""")
 
+ORACLE["minute_service"] = f"""
+SELECT event_id, day, hour, minute, {open_train()} AS open_train, {open_serve()} AS open_serve
+FROM (SELECT event_id, lower(dayname(ts)) AS day, cast(hour(ts) AS INTEGER) AS hour, cast(minute(ts) AS INTEGER) AS minute FROM events)"""
+
+ORACLE["empty_input_refused"] = with_ctes(*_front(), body="""
+SELECT 'out of range' AS input, count(*) = 0 AS refused FROM obs WHERE hour + 100 BETWEEN 0 AND 23
+UNION ALL SELECT 'all', count(*) = 0 FROM kept""")
+
 ORACLE["split_exact"] = with_ctes(*_front(cte_split()), body="SELECT obs_id, is_test FROM split")
 
 ORACLE["split_bucket"] = with_ctes(*_front(), body="""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from farebox.functions import display as disp
 from farebox.functions.display import version_stamp
+from farebox.functions.hours import service_open
 from farebox.operators import context as ctx
 from farebox.operators import geo
 from farebox.operators import model as ml
@@ -112,6 +113,30 @@ def service_hours_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sh.service_hours_by_day(_cleaned(spark, sf_dir))
 
 
+def minute_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8 + F2 + F3: both policies at every event's own minute: at 01:31 the train rule closes, the serve rule doesn't."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.lower(F.date_format("ts", "EEEE")).alias("day"), "ts")
+    hour, minute = F.hour("ts"), F.minute("ts")
+    return events.select("event_id", "day", hour.alias("hour"), minute.alias("minute"),
+                         service_open("day", hour, minute, "train").alias("open_train"),
+                         service_open("day", hour, minute, "serve").alias("open_serve"))
+
+
+def empty_input_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """with no hour in range nothing is left after the fallback, and the run is refused; with rows left it isn't."""
+    obs = _cleaned(spark, sf_dir)
+    rows = []
+    for name, part in (("out of range", obs.withColumn("hour", F.col("hour") + 100)), ("all", obs)):
+        kept = sh.service_filter(part)
+        try:
+            sh.require_rows(kept)
+            refused = False
+        except RuntimeError:
+            refused = True
+        rows.append((name, refused))
+    return spark.createDataFrame(rows, "input string, refused boolean")
+
+
 def split_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1 (exact): every kept row with its test flag."""
     return prepare(spark, sf_dir).split.select("obs_id", "is_test")
@@ -442,6 +467,8 @@ _QUERIES: dict[str, Query] = {
     "service_mask_counts": service_mask_counts,
     "open_hours": open_hours,
     "service_hours_by_day": service_hours_by_day,
+    "minute_service": minute_service,
+    "empty_input_refused": empty_input_refused,
     "split_exact": split_exact,
     "split_bucket": split_bucket,
     "baseline_holdout_metrics": baseline_holdout_metrics,
