@@ -138,13 +138,14 @@ def fit(docs: DataFrame, held: Column | None = None, per_language: int = PER_LAN
     if held is not None:
         known = known.where(~held)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.select("doc_id", "lang").withColumn("place", F.row_number().over(order))
+    chosen = (known.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order))
               .where(F.col("place") <= per_language).select("doc_id", "lang"))
     ids = chosen.collect()                             # languages * per_language rows at most
     if not ids:
         return None
-    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string").distinct()
-    sample = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, lang string")
+    # Of rows that repeat an id and a language one is learned from, always the same.
+    sample = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = sorted(map_batches(sample, _sampled, "lang string, bytes binary").collect())
     languages = sorted({r[0] for r in rows})
     if not languages:

@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column | None = None, per_clas
     classes = {i: c for c in (0, 1) for i in bounded_sample_ids(known.where(F.col("quality") == c), per_class)}
     chosen = docs.sparkSession.createDataFrame([(i,) for i in classes], "doc_id long")   # 2 * per_class rows at most
     sample = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-              .join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+              .join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))   # of rows that repeat an id one, always the same
     rows = map_batches(sample, _sparse, "doc_id long, buckets binary, shares binary").collect()
     return train([(classes[r[0]], bytes(r[1]), bytes(r[2])) for r in sorted(rows, key=lambda r: r[0])])
 
