@@ -71,13 +71,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+def scratch(df: DataFrame, name: str, small_rows: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
+    With ``small_rows`` (a few numbers a row, written round after round) tasks
+    write at most four files a core: each takes its partitions one after the other.
+
     Cuts the lineage: an executor that is lost later costs a re-read of files,
     not the steps before. The folder goes when the application ends.
     """
     spark = df.sparkSession
+    if small_rows:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/farebox-llm/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

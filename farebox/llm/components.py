@@ -17,7 +17,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     to a shared scratch table, so lineage doesn't grow.
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = scratch(edges, "edges")
+    edges = scratch(edges, "edges", small_rows=True)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +29,7 @@ def connected_components(links: DataFrame) -> DataFrame:
                  .select(F.col("v").alias("u"), F.col("low").alias("v"))
                  .unionByName(low.select("u", F.col("low").alias("v")))
                  .where("u != v").distinct())
-        edges = scratch(small, "edges")
+        edges = scratch(small, "edges", small_rows=True)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -37,4 +37,4 @@ def connected_components(links: DataFrame) -> DataFrame:
     component = edges.groupBy("u").agg(F.min("v").alias("component"))
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     return scratch(nodes.join(component, F.col("node") == F.col("u"), "left")
-                   .select("node", F.coalesce("component", "node").alias("component")), "components")
+                   .select("node", F.coalesce("component", "node").alias("component")), "components", small_rows=True)

@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = scratch(sketch(docs), "sketches")
     named = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     digest = ["n_shingles", "digest_a", "digest_b"]
-    classes = named.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
+    # Stored, so that the joins below lie right behind their shuffles, where a hot class is split.
+    classes = scratch(named.groupBy(*digest).agg(F.min("doc_id").alias("rep")), "classes")
     reps = (named.join(classes, digest).where(F.col("doc_id") == F.col("rep"))
             .select("rep", "n_shingles", "registers").dropDuplicates(["rep", "n_shingles", "registers"]))
     banded = reps.select("rep", F.posexplode(F.expr(
@@ -293,10 +294,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = (stars.join(one, "a").join(two, "b")
              .where(f"100 * least(n_a, n_b) >= {THRESHOLD} * greatest(n_a, n_b)")
              .select("a", "b", "n_a", "n_b", "fine_a", "fine_b"))
-    links = scratch(_confirm(map_batches(stars, _estimated, "a long, b long"), details), "links")
+    links = scratch(_confirm(map_batches(stars, _estimated, "a long, b long"), details), "links", small_rows=True)
     component = connected_components(links)
     for best in (True, False):
-        more = scratch(_confirm(_open_pairs(shared, component, details, best), details), "links")
+        more = scratch(_confirm(_open_pairs(shared, component, details, best), details), "links", small_rows=True)
         if not more.isEmpty():
             links = links.unionByName(more)
             component = connected_components(links)
