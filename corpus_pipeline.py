@@ -25,13 +25,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near-duplicates.
 
-    Rows that share the kept doc_id are one document: the first by text stays.
-    Rows without a doc_id stay.
+    Rows that share a doc_id but not their text are documents of their own, and
+    each goes only with its own group; equal rows are one document. Of rows that
+    differ in other columns only, the first by their JSON stays. Rows without a doc_id stay.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    order = Window.partitionBy("id").orderBy("row.text", F.to_json("row"))
-    one = whole.join(kept, "id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    node = F.xxhash64("doc_id", "text")
+    whole = docs.select(node.alias("node"), F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = whole.where("id is not null").select("node", "id", F.col("row.text").alias("text"))
+    found = near_dedup.near_duplicates(named.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "component_id").distinct()
+    kept = (named.select("node", "id").distinct().join(found, "node").groupBy("component_id")
+            .agg(F.min(F.struct("id", "node")).alias("first")).select(F.col("first.node").alias("node")))
+    order = Window.partitionBy("node").orderBy(F.to_json("row"))
+    one = whole.where("id is not null").join(kept, "node", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
     return (one.select("row").unionByName(whole.where("id is null").select("row"))
             .select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
