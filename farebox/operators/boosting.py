@@ -10,8 +10,9 @@ distributed pass for each step:
   one for each partition, with the running prediction of each row.
 * A level of a tree needs, for each of its nodes, the sums of gradients and
   weights of every bin of every feature. Each block counts its own; one tree
-  aggregate adds them up. Joint sums of feature pairs, where they are few
-  (``PAIR_CELLS``), give two levels at once. The driver gets sums only.
+  aggregate adds them up. Joint sums of pairs or triples of features, where
+  they are few (``JOINT_CELLS``), give two or three levels at once. The driver
+  gets sums only.
 * A category's column parts "is it" from "is it not", a number's bins are cut
   anywhere. Gain and leaves lean on ``l2`` (λ); a side needs ``least`` weight.
 * Columns (one for each category, one for each number) are drawn once for
@@ -34,7 +35,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
+from itertools import combinations
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +55,8 @@ from farebox.session import materialize, ship_package
 CHECKPOINT = 25
 #: Code vectors of a block, where ``blocks`` doesn't say otherwise: a task has to be worth its start.
 BLOCK_ROWS = 1 << 14
-#: Joint cells of a node up to which two levels come from one pass.
-PAIR_CELLS = 1 << 15
+#: Joint cells of a level's nodes up to which several levels come from one pass, and how many at most.
+JOINT_CELLS, JOINT_LEVELS = 1 << 16, 3
 MAX_BINS = 256
 LEAST_GAIN = 1e-6
 #: Bits that sums of gradients may take: whole numbers below are exact as doubles.
@@ -132,13 +135,16 @@ class Plan:
         """Features with something to split."""
         return [f for f, n in enumerate(self.bins) if n > 1]
 
-    @property
-    def pairs(self) -> list[tuple[int, int]]:
-        return [(f, g) for k, f in enumerate(self.live) for g in self.live[k + 1:]]
+    def keys(self, levels: int) -> list[tuple[int, ...]]:
+        """The groups of features whose joint sums give so many levels."""
+        return list(combinations(self.live, levels))
 
-    @property
-    def pairwise(self) -> bool:
-        return 0 < sum(self.bins[f] * self.bins[g] for f, g in self.pairs) <= PAIR_CELLS
+    def span(self, level: int) -> int:
+        """Levels that come from one pass that begins at ``level``."""
+        for levels in range(min(JOINT_LEVELS, self.depth - level, len(self.live)), 1, -1):
+            if sum(prod(self.bins[f] for f in key) for key in self.keys(levels)) << level <= JOINT_CELLS:
+                return levels
+        return 1
 
     def drawn(self, tree: int) -> list[np.ndarray]:
         """For each feature, which of its columns tree ``tree`` may use (a number has one)."""
@@ -213,27 +219,21 @@ class Block:
         place = tree.nodes(self.codes, plan.depth, np.array(plan.is_category))
         return Block(self.codes, self.label, self.weight, self.key, self.prediction + tree.leaf[place]).graded(scale)
 
-    def sums(self, tree: Tree, number: int, level: int, pairwise: bool, plan: Plan) -> np.ndarray:
-        """Gradient and weight sums of each node's bins, or pairs of bins, in one row."""
+    def sums(self, tree: Tree, number: int, level: int, levels: int, plan: Plan) -> np.ndarray:
+        """Gradient and weight sums of each node's cells, in one row."""
         drawn = (_hash(self.key, 2 * number, plan.seed) >> np.uint64(11)) < np.uint64(round(plan.rows * 2 ** 53))
         codes = self.codes[:, drawn]
         node = tree.nodes(codes, level, np.array(plan.is_category))
         values = (self.gradient[drawn], self.weight[drawn])
         out = []
-        for cell, size in _cells(codes, plan, pairwise):
-            out += [np.bincount(node * size + cell, weights=v, minlength=size << level) for v in values]
+        for key in plan.keys(levels):
+            cell, size = node, 1
+            for f in key:
+                cell, size = cell * plan.bins[f] + codes[f], size * plan.bins[f]
+            out += [np.bincount(cell, weights=v, minlength=size << level) for v in values]
         return np.concatenate(out)
 
 
-def _cells(codes: np.ndarray, plan: Plan, pairwise: bool) -> Iterator[tuple[np.ndarray, int]]:
-    if pairwise:
-        for f, g in plan.pairs:
-            yield codes[f] * plan.bins[g] + codes[g], plan.bins[f] * plan.bins[g]
-    else:
-        for f in plan.live:
-            yield codes[f], plan.bins[f]
-
-
 @dataclass
 class Candidates:
     """The possible splits of a node, by feature, then cut."""
@@ -273,26 +273,33 @@ def candidates(sums: dict[int, np.ndarray], plan: Plan, drawn: list[np.ndarray])
     return Candidates(feature, cut, np.where((left[:, 1] >= plan.least) & (right[:, 1] >= plan.least), gain, -np.inf), left, right)
 
 
-def _marginals(joint: dict[tuple[int, int], np.ndarray], plan: Plan) -> dict[int, np.ndarray]:
-    """Sums of each feature from the joint ones of pairs."""
+Tables = dict[tuple[int, ...], np.ndarray]
+
+
+def _marginals(tables: Tables, plan: Plan) -> dict[int, np.ndarray]:
+    """Sums of each feature from joint ones."""
     out = {}
-    for (f, g), table in joint.items():
-        out.setdefault(f, table.sum(axis=1))
-        out.setdefault(g, table.sum(axis=0))
+    for key, table in tables.items():
+        for axis, f in enumerate(key):
+            if f not in out:
+                out[f] = table.sum(axis=tuple(k for k in range(len(key)) if k != axis))
     return {f: out[f] for f in plan.live}
 
 
-def _side(joint: dict[tuple[int, int], np.ndarray], plan: Plan, f: int, goes: np.ndarray) -> dict[int, np.ndarray]:
-    """Sums of each feature over the bins of ``f`` that ``goes`` marks."""
+def _side(tables: Tables, plan: Plan, levels: int, f: int, goes: np.ndarray) -> Tables:
+    """Joint sums of one feature less, over the bins of ``f`` that ``goes`` marks."""
     out = {}
-    for (a, b), table in joint.items():
-        if a == f:
-            out[b] = table[goes].sum(axis=0)
-            out.setdefault(a, table.sum(axis=1) * goes[:, None])
-        elif b == f:
-            out[a] = table[:, goes].sum(axis=1)
-            out.setdefault(b, table.sum(axis=0) * goes[:, None])
-    return {k: out[k] for k in plan.live}
+    for key in plan.keys(levels - 1):
+        if f in key:
+            wider = next(k for k in tables if set(key) < set(k))
+            axis = next(i for i, k in enumerate(wider) if k not in key)
+            shape = [1] * (levels - 1) + [1]
+            shape[key.index(f)] = -1
+            out[key] = tables[wider].sum(axis=axis) * goes.reshape(shape)
+        else:
+            wider = tuple(sorted((*key, f)))
+            out[key] = np.compress(goes, tables[wider], axis=wider.index(f)).sum(axis=wider.index(f))
+    return out
 
 
 class Grower:
@@ -307,31 +314,33 @@ class Grower:
     def grow(self) -> Tree:
         plan, level = self.plan, 0
         while level < plan.depth and plan.live:
-            two = plan.pairwise and level + 1 < plan.depth
-            flat, at = self.collect(self.tree, self.number, level, two), 0
+            levels = plan.span(level)
+            flat, at = self.collect(self.tree, self.number, level, levels), 0
             tables = {}
-            for key in plan.pairs if two else plan.live:
-                shape = (plan.bins[key[0]], plan.bins[key[1]]) if two else (plan.bins[key],)
-                size = int(np.prod(shape)) << level
+            for key in plan.keys(levels):
+                shape = [plan.bins[f] for f in key]
+                size = prod(shape) << level
                 g, h = flat[at:at + size] / self.scale, flat[at + size:at + 2 * size]
                 tables[key] = np.stack([g, h], axis=-1).reshape(1 << level, *shape, 2)
                 at += 2 * size
             for node in range(1 << level):
-                own = {k: t[node] for k, t in tables.items()}
-                place = 2 ** level - 1 + node
-                split = self.split(place, _marginals(own, plan) if two else own)
-                if two and split:
-                    f, cut = split
-                    codes = np.arange(plan.bins[f])
-                    right = codes == cut if plan.is_category[f] else codes >= cut
-                    for child, goes in ((2 * place + 1, ~right), (2 * place + 2, right)):
-                        self.split(child, _side(own, plan, f, goes))
-                elif two:
-                    self.split(2 * place + 1, _marginals(own, plan))     # unsplit: the left child is the node itself
-            level += 2 if two else 1
-        self.settle(0)
+                self.descend(2 ** level - 1 + node, {k: t[node] for k, t in tables.items()}, levels)
+            level += levels
+        self.settle()
         return self.tree
 
+    def descend(self, place: int, tables: Tables, levels: int) -> None:
+        """Splits a node, and its descendants as far as the tables reach."""
+        split = self.split(place, _marginals(tables, self.plan))
+        if levels == 1:
+            return
+        f, cut = split or (self.plan.live[0], None)
+        codes = np.arange(self.plan.bins[f])
+        right = np.zeros(len(codes), dtype=bool) if cut is None else codes == cut if self.plan.is_category[f] else codes >= cut
+        self.descend(2 * place + 1, _side(tables, self.plan, levels, f, ~right), levels - 1)     # unsplit: all go left
+        if split:
+            self.descend(2 * place + 2, _side(tables, self.plan, levels, f, right), levels - 1)
+
     def split(self, place: int, sums: dict[int, np.ndarray]) -> tuple[int, int] | None:
         """Splits a node if that gains something, and notes its children's totals."""
         self.totals[place] = next(iter(sums.values())).sum(axis=0)
@@ -344,7 +353,7 @@ class Grower:
         self.totals[2 * place + 1], self.totals[2 * place + 2] = found.left[k], found.right[k]
         return int(found.feature[k]), int(found.cut[k])
 
-    def settle(self, place: int) -> None:
+    def settle(self) -> None:
         """Leaf values of the lowest level."""
         lowest = self.totals[2 ** self.plan.depth - 1:]
         self.tree.leaf[:] = -self.plan.rate * lowest[:, 0] / (lowest[:, 1] + self.plan.l2)
@@ -383,9 +392,9 @@ def blocks_of(rows: DataFrame, codes: list[str], label: str, weight: str | None,
     return Frame(dealt.rdd.mapPartitions(lambda part: [Block.of([tuple(r) for r in part], n, base, scale)]), plan, base, scale, spread)
 
 
-def level_sums(blocks: RDD, tree: Tree, number: int, level: int, pairwise: bool, plan: Plan) -> np.ndarray:
-    """The level's sums over all blocks, added up in a tree of tasks."""
-    return blocks.map(lambda b: b.sums(tree, number, level, pairwise, plan)).treeReduce(lambda a, b: a + b)
+def level_sums(blocks: RDD, tree: Tree, number: int, level: int, levels: int, plan: Plan) -> np.ndarray:
+    """The sums of some levels' joint cells over all blocks, added up in a tree of tasks."""
+    return blocks.map(lambda b: b.sums(tree, number, level, levels, plan)).treeReduce(lambda a, b: a + b)
 
 
 def boost(frame: Frame, trees: int) -> list[Tree]:
@@ -394,7 +403,7 @@ def boost(frame: Frame, trees: int) -> list[Tree]:
     blocks, grown, kept = frame.blocks.persist(StorageLevel.MEMORY_AND_DISK), [], []
     kept.append(blocks)
     for number in range(trees):
-        tree = Grower(plan, number, scale, lambda t, k, level, two, own=blocks: level_sums(own, t, k, level, two, plan)).grow()
+        tree = Grower(plan, number, scale, lambda t, k, level, levels, own=blocks: level_sums(own, t, k, level, levels, plan)).grow()
         grown.append(tree)
         blocks = blocks.map(lambda b, t=tree: b.after(t, plan, scale)).persist(StorageLevel.MEMORY_AND_DISK)
         if number % CHECKPOINT == CHECKPOINT - 1:
@@ -509,7 +518,7 @@ def root_candidates(frame: Frame) -> list[dict]:
     """Every split that the first tree's root may take: feature, cut, gain, and both sides' sums."""
     plan = frame.plan
     grower = Grower(plan, 0, frame.scale, None)
-    flat, at, sums = level_sums(frame.blocks, grower.tree, 0, 0, False, plan), 0, {}
+    flat, at, sums = level_sums(frame.blocks, grower.tree, 0, 0, 1, plan), 0, {}
     for f in plan.live:
         n = plan.bins[f]
         sums[f] = np.stack([flat[at:at + n] / frame.scale, flat[at + n:at + 2 * n]], axis=-1)

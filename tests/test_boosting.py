@@ -67,14 +67,15 @@ def test_equals_a_plain_booster(spark, depth):
     assert np.allclose([got[r[:3]] for r in rows], want, rtol=1e-9)
 
 
-def test_pairs_of_levels_and_partitions_change_nothing(spark, monkeypatch):
+def test_joint_levels_and_partitions_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows_of(140, 9), SCHEMA)
     found = []
-    for cells, blocks, parts in ((B.PAIR_CELLS, 1, 2), (0, 4, 5), (B.PAIR_CELLS, 7, 1)):
-        monkeypatch.setattr(B, "PAIR_CELLS", cells)
+    for cells, levels, blocks, parts in ((B.JOINT_CELLS, 3, 1, 2), (0, 3, 4, 5), (B.JOINT_CELLS, 2, 7, 1), (B.JOINT_CELLS, 3, 2, 3), (400, 3, 3, 1)):
+        monkeypatch.setattr(B, "JOINT_CELLS", cells)
+        monkeypatch.setattr(B, "JOINT_LEVELS", levels)
         fitted = booster(subsamplingRate=0.8, featureSubsetStrategy="0.7", blocks=blocks).fit(df.repartition(parts))
         found.append(fitted.getOrDefault(fitted.trees))
-    assert found[0] == found[1] == found[2]
+    assert len(set(found)) == 1
 
 
 def test_rows_and_columns_are_drawn_by_tree():
@@ -83,7 +84,7 @@ def test_rows_and_columns_are_drawn_by_tree():
     assert {d.sum() for d in drawn} == {int(0.9 * 46)} and len({tuple(d) for d in drawn}) > 40
     codes = np.array([[i % 40 for i in range(1800)], [i // 40 % 5 for i in range(1800)], [i // 200 for i in range(1800)]], dtype=float)
     block = B.Block.of([(*c, 1.0, 1.0) for c in codes.T], 3, 0.0, 1.0)
-    taken = [block.sums(B.Tree.empty(5), t, 0, False, plan)[40:80].sum() for t in range(30)]
+    taken = [block.sums(B.Tree.empty(5), t, 0, 1, plan)[40:80].sum() for t in range(30)]
     assert all(abs(n / 1800 - 0.9) < 0.03 for n in taken) and len(set(taken)) > 5
 
 
