@@ -323,9 +323,10 @@ def chunk_ids(batch: pa.RecordBatch, row: int, classes: int) -> tuple[np.ndarray
     words = batch.column("words")[row].values.to_numpy()
     n = batch.column("n_words")[row].values.to_numpy()
     codes = np.frombuffer(batch.column("codes")[row].as_buffer(), dtype=np.int32)
-    ids = np.full(len(codes) + len(n), classes, dtype=np.int64)
-    word_places = np.arange(len(codes)) + np.repeat(np.arange(len(n)), n)
-    ids[word_places] = class_of(words, classes)[codes] if len(codes) else 0
+    ids, is_word = np.empty(len(codes) + len(n), dtype=np.int32), np.ones(len(codes) + len(n), dtype=bool)
+    is_word[np.cumsum(n + 1) - 1] = False
+    ids[is_word] = class_of(words, classes).astype(np.int32)[codes] if len(codes) else 0
+    ids[~is_word] = classes
     return n + 1, ids, codes, np.concatenate(([0], np.cumsum(n)))
 
 
