@@ -2,8 +2,7 @@
 
 The open test is a plain boolean ``Column`` (see ``functions.hours``), so the
 filter runs inside the scan's codegen stage. The empty-mask fallback (F4)
-needs one global count; it is a single aggregate action that returns two
-numbers to the driver, never rows.
+needs to know whether any row is open: one action that stops at the first.
 """
 
 from __future__ import annotations
@@ -43,14 +42,12 @@ def service_filter(obs: DataFrame, policy: str = "train", n_open: int | None = N
     """F2 + F4: keep open rows; if none is open, keep hours 0..23 instead.
 
     ``n_open`` may be passed when already known (e.g. observed while the
-    observations were written); otherwise one count action finds it.
+    observations were written); otherwise one action looks for an open row. It ends at the
+    first one found, so the input is read whole only where none is open.
     """
     is_open = open_column(obs, policy)
-    if n_open is None:
-        n_open = obs.agg(F.count_if(is_open).alias("n")).first()["n"]
-    if n_open > 0:
-        return obs.filter(is_open)
-    return obs.filter(F.col("hour").between(0, 23))
+    some = n_open > 0 if n_open is not None else not obs.filter(is_open).isEmpty()
+    return obs.filter(is_open) if some else obs.filter(F.col("hour").between(0, 23))
 
 
 def require_rows(df: DataFrame) -> DataFrame:
