@@ -54,7 +54,7 @@ STATES = 6
 CLASSES = 1 << 15
 ROUNDS = 6
 #: Bytes of text from which a task's rows make a chunk.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 SEGMENT = 128
 #: Segments treated at a time.
 GROUP = 4096
