@@ -36,6 +36,8 @@ PER_CLASS = 900
 BUCKET_BITS = 17
 DIMENSIONS = 8
 EPOCHS = 6
+#: Parts in which the sample's rows reach the driver.
+PIECES = 16
 RATE = 0.25
 GRAMS = (3, 4, 5)
 KINDS = 2 + len(GRAMS)                 # each kind of feature has an equal part in the average
@@ -170,8 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column | None = None, per_clas
     chosen = docs.sparkSession.createDataFrame([(i,) for i in classes], "doc_id long")   # 2 * per_class rows at most
     sample = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
               .join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))   # of rows that repeat an id one, always the same
-    rows = map_batches(sample, _sparse, "doc_id long, buckets binary, shares binary").collect()
-    return train([(classes[r[0]], bytes(r[1]), bytes(r[2])) for r in sorted(rows, key=lambda r: r[0])])
+    # The driver takes the rows over piece by piece: all at once they would lie there twice.
+    rows = map_batches(sample.repartition(PIECES, "doc_id"), _sparse, "doc_id long, buckets binary, shares binary").toLocalIterator()
+    return train([row[1:] for row in sorted((r[0], classes[r[0]], bytes(r[1]), bytes(r[2])) for r in rows)])
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
