@@ -173,18 +173,18 @@ ORACLE = {
           select doc_id, z, i, array_to_string(words[i:i + z - 1], ' ') sh
           from (select doc_id, words, z, unnest(range(1, len(words) - z + 2)) i
                 from d join (select distinct z from b) on len(words) >= z)),
-        starts as (
-          select distinct doc_id, k, z, span, s from (
+        starts as (                                  -- a document shorter than the item is one window
+          select distinct doc_id, k, z, span, least(span, len(words) - z + 1) width, s from (
             select own.doc_id, k, item.z, span, n, unnest(range(greatest(1, i - span + 1), i + 1)) s
             from own join item on own.z = item.z and own.sh = item.sh)
-          join d using (doc_id) where s + n - 1 <= len(words)),
+          join d using (doc_id) where s + n - 1 <= len(words) or (s = 1 and len(words) < n)),
         seen as (
-          select w.doc_id, w.k, w.span, w.s, own.sh, count(*) c
-          from (select *, unnest(range(s, s + span)) i from starts) w
+          select w.doc_id, w.k, w.span, w.width, w.s, own.sh, count(*) c
+          from (select *, unnest(range(s, s + width)) i from starts) w
           join own on own.doc_id = w.doc_id and own.z = w.z and own.i = w.i group by all),
         likes as (
-          select doc_id, k, sum(least(seen.c, item.c))::double / (2 * span - sum(least(seen.c, item.c))) similarity
-          from seen join item using (k, span, sh) group by doc_id, k, span, s),
+          select doc_id, k, sum(least(seen.c, item.c))::double / (span + width - sum(least(seen.c, item.c))) similarity
+          from seen join item using (k, span, sh) group by doc_id, k, span, width, s),
         found as (
           select doc_id, item_id, max(similarity) similarity from likes join b using (k)
           where similarity >= 0.75 group by doc_id, item_id),

@@ -135,3 +135,33 @@ def test_wordings_of_an_item_in_different_parts(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEM_BYTES", 400)
     assert all(len(p) < len(items) for p in D._parts(bench))
     assert got() == whole
+
+
+def test_sql_twin_knows_short_documents(spark, tmp_path):
+    """The registered SQL on documents that are an item, a part of one, or hold one."""
+    import sys
+    from pathlib import Path
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
+    from oracle_check import compare, duck
+
+    from farebox.llm import queries as Q
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    items = [(k, " ".join(rng.choices(words, k=n))) for k, n in enumerate([40, 12, 5, 3, 25, 40])]
+    docs = []
+    for k, text in items:
+        own = text.split()
+        for cut in (0, 1, 2, 4, len(own) // 2):
+            docs.append(" ".join(own[cut:]))
+            docs.append(" ".join(own[:len(own) - cut]).upper())
+            docs.append(" ".join([*rng.choices(words, k=30), *own[cut:], *rng.choices(words, k=9)]))
+    docs += [None, "", "w1 w2", " ".join(rng.choices(words, k=300))]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "items"))
+    for name, folder in (("documents", "docs"), ("benchmark", "items")):
+        part = next((tmp_path / folder).glob("part-*.parquet"))
+        (tmp_path / f"{name}.parquet").write_bytes(part.read_bytes())
+    con = duck(str(tmp_path))
+    assert compare(spark, con, "op6_decontaminate", Q.op6_decontaminate, Q.ORACLE["op6_decontaminate"], str(tmp_path))
+    assert Q.op6_decontaminate(spark, str(tmp_path)).where("contaminated and n_words < 40").count() > 15
