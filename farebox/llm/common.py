@@ -3,42 +3,26 @@
 from __future__ import annotations
 
 import ctypes
-import io
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from farebox.session import ensure_checkpoint_dir
+from farebox.session import ensure_checkpoint_dir, ship_package
 
 
 #: Bytes of an Arrow batch, so that memory doesn't grow with the length of texts.
 BATCH_BYTES = "4m"
-_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, and bound
-    the session's Arrow batches by their bytes (rows alone don't bound texts)."""
-    sc = spark.sparkContext
+    """Send this package to the executors, and bound the session's Arrow batches
+    by their bytes (rows alone don't bound texts)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for path in sorted(root.rglob("*.py")):
-            z.write(path, path.relative_to(root.parent))
-    target = Path(tempfile.mkdtemp(prefix="farebox-py-")) / "farebox.zip"   # Spark's file server hands it out
-    target.write_bytes(packed.getvalue())
-    sc.addPyFile(str(target))
-    _SHIPPED.add(sc.applicationId)
+    ship_package(spark)
 
 
 def release_memory() -> None:
