@@ -32,3 +32,42 @@ def test_windows_hold_the_whole_text():
     assert doc.tolist() == [1, 2, 2, 3] and size.tolist() == [256, 256, 1, 1]
     for i, t in enumerate(texts):
         assert b"".join(r[:n].tobytes() for r, d, n in zip(rows, doc, size) if d == i) == t
+
+
+def plain_probabilities(network, data):
+    """One window, byte by byte: embed, slide each filter, rectify, pool, softmax."""
+    import math
+    data = data.ljust(I.LENGTH, b"\0")
+    wide, pooled = max(I.WIDTHS), []
+    for f in range(network.filters.shape[1]):
+        best = None
+        for at in range(I.LENGTH - wide + 1):
+            total = sum(float(network.vectors[data[at + k]][v]) * float(network.filters[k * I.VECTOR + v][f])
+                        for k in range(wide) for v in range(I.VECTOR) if network.filters[k * I.VECTOR + v][f])
+            best = total if best is None else max(best, total)
+        pooled.append(max(0.0, best + float(network.offset[f])))
+    logits = [sum(p * float(network.output[f][c]) for f, p in enumerate(pooled)) + float(network.bias[c]) for c in range(len(network.languages))]
+    top = [math.exp(x - max(logits)) for x in logits]
+    return [x / sum(top) for x in top]
+
+
+def test_prediction_equals_a_plain_forward_pass(spark, docs):
+    two = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx").otherwise("yy"))
+    network = I.fit(two)
+    texts = ["one two", "über naïve 日本 " * 30, "x" * 700, "the river, the stone; sky"]
+    got = {r["doc_id"]: r for r in I.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), network).collect()}
+    for i, text in enumerate(texts):
+        data, mean = text.encode(), [0.0, 0.0]
+        for at in range(0, len(data), I.LENGTH):
+            part = data[at:at + I.LENGTH]
+            mean = [m + p * len(part) / len(data) for m, p in zip(mean, plain_probabilities(network, part))]
+        best = max(range(2), key=lambda c: mean[c])
+        assert got[i]["lang_pred"] == network.languages[best] and abs(got[i]["score"] - mean[best]) < 1e-4
+
+
+def test_rows_that_repeat_an_id_are_one_sample(spark, docs):
+    import numpy as np
+    few = docs.select("doc_id", "text").withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx").otherwise("yy"))
+    many = few.unionByName(spark.range(10000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("zz text "), F.col("id")).alias("text"), F.lit("xx").alias("lang")))
+    one, two = I.fit(many.repartition(3)), I.fit(many.orderBy("text").repartition(8))
+    assert all(np.array_equal(a, b) for a, b in zip(list(vars(one).values())[1:], list(vars(two).values())[1:]))

@@ -40,3 +40,52 @@ def test_labels_of_held_out_rows_and_other_columns_do_not_matter(spark):
     flipped = true.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = Q.fit(docs, true, held), Q.fit(docs.withColumn("source", F.lit("s")), flipped, held)
     assert (a.weights == b.weights).all() and a.bias == b.bias
+
+
+def plain_buckets(text):
+    """Bucket numbers of a text, kind by kind: words, word pairs, byte grams."""
+    import re
+
+    from farebox.llm.words import _MULT, PLAIN
+    full, low = (1 << 64) - 1, (1 << 32) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    data = text.encode()
+    words = [mix((sum(int(PLAIN[b]) * pow(_MULT, k, 1 << 64) for k, b in enumerate(w)) + len(w)) & full)
+             for w in re.findall(rb"[^\x20\x09-\x0d]+", data)]
+    pairs = [_MULT if a == b else mix((a * _MULT + b) & full) for a, b in zip(words, words[1:])]
+    kinds = [[h >> (64 - Q.BUCKET_BITS) for h in words], [h >> (64 - Q.BUCKET_BITS) for h in pairs]]
+    for n in Q.GRAMS:
+        own = []
+        for i in range(len(data) - n + 1):
+            gram = int(Q._SHORT[data[i]])
+            for b in data[i + 1:i + n]:
+                gram = (gram * int(Q._GRAM) + int(Q._SHORT[b])) & low
+            own.append(((gram ^ (gram >> 15)) * 0x85EBCA6B & low) >> (32 - Q.BUCKET_BITS))
+        kinds.append(own)
+    return kinds
+
+
+def test_scores_equal_a_plain_forward_pass(spark, docs):
+    import math
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    model = Q.fit(docs, labels)
+    texts = ["one two two three", "", None, "über the the river 日本", "a", "ab", " \t ", "word " * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["score"] for r in Q.score(rows, model).collect()}
+    for i, text in enumerate(texts):
+        kinds = plain_buckets(text or "")
+        total = sum(sum(float(model.weights[b]) for b in own) / max(len(own), 1) for own in kinds) / Q.KINDS
+        assert abs(got[i] - 1 / (1 + math.exp(-(total + model.bias)))) < 1e-6
+
+
+def test_rows_that_repeat_an_id_are_one_sample(spark, docs):
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    many = docs.select("doc_id", "text").unionByName(
+        spark.range(10000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("zz text "), F.col("id")).alias("text")))
+    one, two = Q.fit(many.repartition(3), labels), Q.fit(many.orderBy("text").repartition(8), labels)
+    assert (one.weights == two.weights).all() and one.bias == two.bias
