@@ -9,10 +9,10 @@ distributed pass for each step:
   domain of the features, not by the observations. It lies in cached blocks,
   one for each partition, with the running prediction of each row.
 * A level of a tree needs, for each of its nodes, the sums of gradients and
-  weights of every bin of every feature. Each block counts its own; one tree
-  aggregate adds them up. Joint sums of pairs or triples of features, where
-  they are few (``JOINT_CELLS``), give two or three levels at once. The driver
-  gets sums only.
+  weights of every bin of every feature. Each block counts its own; tasks add
+  them up, ``FAN_IN`` at a time, and the last one takes the splits. Joint sums of
+  pairs or triples of features, where they are few (``JOINT_CELLS``), give two or
+  three levels at once. The driver gets the tree only, not the sums.
 * A category's column parts "is it" from "is it not", a number's bins are cut
   anywhere. Gain and leaves lean on ``l2`` (λ); a side needs ``least`` weight.
 * Columns (one for each category, one for each number) are drawn once for
@@ -54,7 +54,9 @@ from farebox.session import materialize, ship_package
 
 CHECKPOINT = 25
 #: Code vectors of a block, where ``blocks`` doesn't say otherwise: a task has to be worth its start.
-BLOCK_ROWS = 1 << 14
+BLOCK_ROWS = 1 << 16
+#: Sums that a task adds up.
+FAN_IN = 16
 #: Joint cells of a level's nodes up to which several levels come from one pass, and how many at most.
 JOINT_CELLS, JOINT_LEVELS = 1 << 16, 3
 MAX_BINS = 256
@@ -305,30 +307,34 @@ def _side(tables: Tables, plan: Plan, levels: int, f: int, goes: np.ndarray) ->
 class Grower:
     """Grows one tree from level sums."""
 
-    def __init__(self, plan: Plan, number: int, scale: float, collect):
-        self.plan, self.number, self.scale, self.collect = plan, number, scale, collect
+    def __init__(self, plan: Plan, number: int, scale: float):
+        self.plan, self.number, self.scale = plan, number, scale
         self.drawn = plan.drawn(number)
         self.tree = Tree.empty(plan.depth)
         self.totals = np.zeros((2 ** (plan.depth + 1) - 1, 2))           # gradient and weight of each node, in heap order
 
-    def grow(self) -> Tree:
+    def grow(self, blocks: RDD) -> Tree:
         plan, level = self.plan, 0
         while level < plan.depth and plan.live:
             levels = plan.span(level)
-            flat, at = self.collect(self.tree, self.number, level, levels), 0
-            tables = {}
-            for key in plan.keys(levels):
-                shape = [plan.bins[f] for f in key]
-                size = prod(shape) << level
-                g, h = flat[at:at + size] / self.scale, flat[at + size:at + 2 * size]
-                tables[key] = np.stack([g, h], axis=-1).reshape(1 << level, *shape, 2)
-                at += 2 * size
-            for node in range(1 << level):
-                self.descend(2 ** level - 1 + node, {k: t[node] for k, t in tables.items()}, levels)
+            self.tree, self.totals = level_splits(blocks, self, level, levels)
             level += levels
         self.settle()
         return self.tree
 
+    def advance(self, flat: np.ndarray, level: int, levels: int) -> tuple[Tree, np.ndarray]:
+        """The tree and its nodes' totals, some levels further, from their joint sums over all blocks."""
+        plan, at, tables = self.plan, 0, {}
+        for key in plan.keys(levels):
+            shape = [plan.bins[f] for f in key]
+            size = prod(shape) << level
+            g, h = flat[at:at + size] / self.scale, flat[at + size:at + 2 * size]
+            tables[key] = np.stack([g, h], axis=-1).reshape(1 << level, *shape, 2)
+            at += 2 * size
+        for node in range(1 << level):
+            self.descend(2 ** level - 1 + node, {k: t[node] for k, t in tables.items()}, levels)
+        return self.tree, self.totals
+
     def descend(self, place: int, tables: Tables, levels: int) -> None:
         """Splits a node, and its descendants as far as the tables reach."""
         split = self.split(place, _marginals(tables, self.plan))
@@ -392,9 +398,20 @@ def blocks_of(rows: DataFrame, codes: list[str], label: str, weight: str | None,
     return Frame(dealt.rdd.mapPartitions(lambda part: [Block.of([tuple(r) for r in part], n, base, scale)]), plan, base, scale, spread)
 
 
-def level_sums(blocks: RDD, tree: Tree, number: int, level: int, levels: int, plan: Plan) -> np.ndarray:
-    """The sums of some levels' joint cells over all blocks, added up in a tree of tasks."""
-    return blocks.map(lambda b: b.sums(tree, number, level, levels, plan)).treeReduce(lambda a, b: a + b)
+def level_sums(blocks: RDD, tree: Tree, number: int, level: int, levels: int, plan: Plan) -> RDD:
+    """The sums of some levels' joint cells over all blocks, added up in a tree of tasks: one element in one partition."""
+    sums = blocks.map(lambda b: b.sums(tree, number, level, levels, plan))
+    while (parts := sums.getNumPartitions()) > 1:
+        width = -(-parts // FAN_IN)
+        sums = (sums.mapPartitionsWithIndex(lambda i, own, width=width: ((i % width, s) for s in own))
+                .reduceByKey(lambda a, b: a + b, width).values())
+    return sums
+
+
+def level_splits(blocks: RDD, grower: Grower, level: int, levels: int) -> tuple[Tree, np.ndarray]:
+    """The grower's tree and totals some levels further; the splits are taken where the sums are."""
+    sums = level_sums(blocks, grower.tree, grower.number, level, levels, grower.plan)
+    return sums.map(lambda flat: grower.advance(flat, level, levels)).collect()[0]
 
 
 def boost(frame: Frame, trees: int) -> list[Tree]:
@@ -403,7 +420,7 @@ def boost(frame: Frame, trees: int) -> list[Tree]:
     blocks, grown, kept = frame.blocks.persist(StorageLevel.MEMORY_AND_DISK), [], []
     kept.append(blocks)
     for number in range(trees):
-        tree = Grower(plan, number, scale, lambda t, k, level, levels, own=blocks: level_sums(own, t, k, level, levels, plan)).grow()
+        tree = Grower(plan, number, scale).grow(blocks)
         grown.append(tree)
         blocks = blocks.map(lambda b, t=tree: b.after(t, plan, scale)).persist(StorageLevel.MEMORY_AND_DISK)
         if number % CHECKPOINT == CHECKPOINT - 1:
@@ -517,8 +534,8 @@ class BoostedTrees(Estimator, _Boosted, HasLabelCol, HasWeightCol, HasSeed, Defa
 def root_candidates(frame: Frame) -> list[dict]:
     """Every split that the first tree's root may take: feature, cut, gain, and both sides' sums."""
     plan = frame.plan
-    grower = Grower(plan, 0, frame.scale, None)
-    flat, at, sums = level_sums(frame.blocks, grower.tree, 0, 0, 1, plan), 0, {}
+    grower = Grower(plan, 0, frame.scale)
+    flat, at, sums = level_sums(frame.blocks, grower.tree, 0, 0, 1, plan).collect()[0], 0, {}
     for f in plan.live:
         n = plan.bins[f]
         sums[f] = np.stack([flat[at:at + n] / frame.scale, flat[at + n:at + 2 * n]], axis=-1)

@@ -1,10 +1,12 @@
 """Histogram boosting against a plain row-by-row booster; layout; scoring by distinct vectors."""
 
 import json
+import pickle
 import random
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
@@ -78,6 +80,23 @@ def test_joint_levels_and_partitions_change_nothing(spark, monkeypatch):
     assert len(set(found)) == 1
 
 
+def test_driver_gets_trees_not_sums(spark, monkeypatch):
+    """However many blocks and bins there are, a pass sends the driver one tree."""
+    rows = [(i % 300, i % 7, i % 40, float(i % 11), 1.0) for i in range(4200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sent, whole = [], RDD.collect
+
+    def watched(self):
+        found = whole(self)
+        sent.append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", watched)
+    fitted = [booster(maxIter=2, maxDepth=5, blocks=n).fit(df) for n in (1, 2, B.FAN_IN * 2 + 3)]
+    assert len({f.getOrDefault(f.trees) for f in fitted}) == 1
+    assert len(sent) >= 12 and max(sent) < 10_000
+
+
 def test_rows_and_columns_are_drawn_by_tree():
     plan = B.Plan([40, 5, 9], [True, True, False], columns=0.9, rows=0.9)
     drawn = [np.concatenate(plan.drawn(t)) for t in range(50)]
