@@ -423,8 +423,9 @@ def gbt_scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     remove_at_exit(spark, path)
     loaded, loaded_meta = ml.load_model(spark, path)
     version = loaded_meta.first()["model_version"]
-    valid = _validated_requests(spark, sf_dir).filter(F.col("reason").isNull())
-    return score(valid, ml.PipelineScorer(loaded), version)
+    # Scoring reads the requests twice (distinct vectors, then all rows): they are parsed and judged once, then stored.
+    judged = materialize(spark, _validated_requests(spark, sf_dir), "judged-records")
+    return score(judged.filter(F.col("reason").isNull()), ml.PipelineScorer(loaded), version)
 
 
 def gbt_profile_24h(spark: SparkSession, sf_dir: str) -> DataFrame:

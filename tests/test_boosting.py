@@ -97,6 +97,19 @@ def test_driver_gets_trees_not_sums(spark, monkeypatch):
     assert len(sent) >= 12 and max(sent) < 10_000
 
 
+def test_requests_are_parsed_once(spark, tmp_path, monkeypatch):
+    """Scoring reads the requests twice, so it reads a stored copy of what was parsed and judged."""
+    from farebox.plans import queries as Q
+    spark.sql("""select id event_id, timestamp'2024-01-01 07:00:00' + make_interval(0, 0, 0, 0, cast(id % 200 as int)) ts, id % 90 user_id,
+                 'view' event_type, cast(id % 50 as double) value, '{}' props from range(3000)""").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setitem(ml.GBT_PARAMS, "maxIter", 2)
+    scored = Q.gbt_scored_requests(spark, str(tmp_path))
+    plan = scored._jdf.queryExecution().toString()
+    assert "parseJson" not in plan and "parse_json" not in plan
+    valid = Q._validated_requests(spark, str(tmp_path)).where("reason is null")
+    assert scored.select("request_id", "pos").exceptAll(valid.select("request_id", "pos")).isEmpty() and scored.count() == valid.count() > 0
+
+
 def test_rows_and_columns_are_drawn_by_tree():
     plan = B.Plan([40, 5, 9], [True, True, False], columns=0.9, rows=0.9)
     drawn = [np.concatenate(plan.drawn(t)) for t in range(50)]
