@@ -13,12 +13,16 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round makes every node's larger neighbours, then its smaller ones,
     point at the smallest of its neighbourhood (two grouped minima and two
-    joins). Rounds are logarithmic in the longest chain. Each round's links go
-    to a shared scratch table, so lineage doesn't grow.
+    joins). Rounds are logarithmic in the longest chain; the last one changes
+    nothing, so links that point at their smallest already take one. Each round's
+    links go to a shared scratch table, so lineage doesn't grow.
     """
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch(edges, "edges", small_rows=True)
-    before = None
+    before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
@@ -30,7 +34,7 @@ def connected_components(links: DataFrame) -> DataFrame:
                  .unionByName(low.select("u", F.col("low").alias("v")))
                  .where("u != v").distinct())
         edges = scratch(small, "edges", small_rows=True)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = state(edges)
         if now == before:
             break
         before = now

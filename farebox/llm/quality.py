@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from farebox.llm.common import bounded_sample_ids, map_batches
+from farebox.llm.common import bounded_sample_ids, map_batches, release_memory
 from farebox.llm.words import PLAIN, mix, text_buffer, words_of
 
 PER_CLASS = 900
@@ -174,7 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column | None = None, per_clas
               .join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))   # of rows that repeat an id one, always the same
     # The driver takes the rows over piece by piece: all at once they would lie there twice.
     rows = map_batches(sample.repartition(PIECES, "doc_id"), _sparse, "doc_id long, buckets binary, shares binary").toLocalIterator()
-    return train([row[1:] for row in sorted((r[0], classes[r[0]], bytes(r[1]), bytes(r[2])) for r in rows)])
+    try:
+        return train([row[1:] for row in sorted((r[0], classes[r[0]], bytes(r[1]), bytes(r[2])) for r in rows)])
+    finally:
+        release_memory()               # the driver goes on without the sample
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

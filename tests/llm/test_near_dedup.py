@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from farebox.llm import near_dedup as N
 from farebox.llm.components import connected_components
@@ -72,3 +73,23 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(31)}, 40: 40, 45: 40, 50: 40}
     assert connected_components(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("links, rounds", [([(5, 1), (3, 1), (9, 7)], 1), ([(2, 1), (3, 2), (4, 3), (5, 4)], None), ([(1, 1)], 1)])
+def test_components_stop_where_a_round_changes_nothing(spark, monkeypatch, links, rounds):
+    from farebox.llm import components
+    stored, whole = [], components.scratch
+
+    def watched(df, name, **more):
+        stored.append(name)
+        return whole(df, name, **more)
+
+    monkeypatch.setattr(components, "scratch", watched)
+    found = {tuple(r) for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    low = {n: n for pair in links for n in pair if pair[0] != pair[1]}
+    for _ in low:
+        for a, b in links:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    assert found == set(low.items())
+    assert rounds is None or stored.count("edges") == rounds + 1

@@ -89,3 +89,13 @@ def test_rows_that_repeat_an_id_are_one_sample(spark, docs):
         spark.range(10000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("zz text "), F.col("id")).alias("text")))
     one, two = Q.fit(many.repartition(3), labels), Q.fit(many.orderBy("text").repartition(8), labels)
     assert (one.weights == two.weights).all() and one.bias == two.bias
+
+
+def test_driver_gives_the_sample_back(spark, monkeypatch):
+    """Once the model is fitted, the driver returns the sample's memory."""
+    given, whole = [], Q.train
+    monkeypatch.setattr(Q, "train", lambda rows: given.append("train") or whole(rows))
+    monkeypatch.setattr(Q, "release_memory", lambda: given.append("release"))
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(8)], "doc_id long, text string")
+    Q.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int"))
+    assert given == ["train", "release"]
